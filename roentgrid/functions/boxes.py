@@ -126,37 +126,59 @@ def parse_boxes(col) -> Column:
     return F.transform(found, numbers)
 
 
+def _let(value: Column, body) -> Column:
+    # Bind an expression to a lambda variable, so that it is evaluated once however
+    # often the body uses it.
+    return F.transform(F.array(value), body)[0]
+
+
 def _union_area(boxes: Column) -> Column:
-    # Sweep over the slabs between neighbouring x edges; within a slab the covered
-    # length is the union of the y intervals of the boxes spanning it.
-    by_y = F.array_sort(F.transform(boxes, lambda b: F.struct(b[1].alias("lo"), b[3].alias("hi"), b[0].alias("l"), b[2].alias("r"))))
-    xs = F.array_sort(F.array_distinct(F.flatten(F.transform(boxes, lambda b: F.array(b[0], b[2])))))
-    slabs = F.arrays_zip(F.slice(xs, F.lit(1), F.size(xs) - 1).alias("a"), F.slice(xs, F.lit(2), F.size(xs) - 1).alias("b"))
+    # Sweep over the slabs between neighbouring x edges. Within a slab the covered
+    # length is the union of the y intervals of the boxes spanning it, which come in
+    # order of their lower end.
+    def covered(by_y, a, b):
+        def extend(acc, v):
+            spans = (v["l"] <= a) & (v["r"] >= b) & (v["hi"] > acc["end"])
+            longer = F.struct(
+                (acc["len"] + v["hi"] - F.greatest(v["lo"], acc["end"])).alias("len"), v["hi"].alias("end")
+            )
+            return F.when(spans, longer).otherwise(acc)
 
-    def covered(slab):
         start = F.struct(F.lit(0.0).alias("len"), F.lit(float("-inf")).alias("end"))
+        return F.aggregate(by_y, start, extend, lambda acc: acc["len"])
 
-        def extend(acc, iv):
-            spans = (iv["l"] <= slab["a"]) & (iv["r"] >= slab["b"]) & (iv["hi"] > acc["end"])
-            return F.when(
-                spans,
-                F.struct(
-                    (acc["len"] + iv["hi"] - F.greatest(iv["lo"], acc["end"])).alias("len"),
-                    iv["hi"].alias("end"),
-                ),
-            ).otherwise(acc)
+    def sweep(bs):
+        by_y = F.sort_array(
+            F.transform(bs, lambda b: F.struct(b[1].alias("lo"), b[3].alias("hi"), b[0].alias("l"), b[2].alias("r")))
+        )
+        edges = F.sort_array(F.concat(F.transform(bs, lambda b: b[0]), F.transform(bs, lambda b: b[2])))
+        start = F.struct(F.lit(0.0).alias("area"), F.lit(float("-inf")).alias("at"))
 
-        return F.aggregate(by_y, start, extend, lambda acc: acc["len"])
+        def slabs(ys):
+            def step(acc, x):
+                area = F.when(
+                    (x > acc["at"]) & (acc["at"] > float("-inf")),
+                    acc["area"] + (x - acc["at"]) * covered(ys, acc["at"], x),
+                ).otherwise(acc["area"])
+                return F.struct(area.alias("area"), x.alias("at"))
 
-    return F.when(F.size(xs) < 2, F.lit(0.0)).otherwise(
-        F.aggregate(slabs, F.lit(0.0), lambda acc, s: acc + (s["b"] - s["a"]) * covered(s))
-    )
+            return F.aggregate(edges, start, step, lambda acc: acc["area"])
+
+        return _let(by_y, slabs)
+
+    return _let(boxes, sweep)
 
 
 def _area(b: Column) -> Column:
     return (b[2] - b[0]) * (b[3] - b[1])
 
 
+def _common(p: Column, q: Column) -> Column:
+    width = F.least(p[2], q[2]) - F.greatest(p[0], q[0])
+    height = F.least(p[3], q[3]) - F.greatest(p[1], q[1])
+    return F.greatest(F.lit(0.0), width) * F.greatest(F.lit(0.0), height)
+
+
 def union_iou(a, b, fmt: str = "xyxy") -> Column:
     """IoU of the unions of two box lists.
 
@@ -164,17 +186,27 @@ def union_iou(a, b, fmt: str = "xyxy") -> Column:
     A pair of single boxes takes a closed form, anything else the slab sweep.
     """
     a, b = [F.filter(F.transform(_c(x), lambda y: to_xyxy(y, fmt)), is_valid) for x in (a, b)]
-    p, q = a[0], b[0]
-    single = F.greatest(F.lit(0.0), F.least(p[2], q[2]) - F.greatest(p[0], q[0])) * F.greatest(
-        F.lit(0.0), F.least(p[3], q[3]) - F.greatest(p[1], q[1])
-    )
-    ua, ub, uab = _union_area(a), _union_area(b), _union_area(F.concat(a, b))
-    return (
-        F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
-        .when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0))
-        .when((F.size(a) == 1) & (F.size(b) == 1), single / (_area(p) + _area(q) - single))
-        .otherwise(F.greatest(F.lit(0.0), ua + ub - uab) / uab)
-    )
+
+    def single(s):
+        p, q = s["a"][0], s["b"][0]
+        return _let(_common(p, q), lambda c: c / (_area(p) + _area(q) - c))
+
+    def general(s):
+        parts = F.struct(
+            _union_area(s["a"]).alias("a"), _union_area(s["b"]).alias("b"), _union_area(F.concat(s["a"], s["b"])).alias("ab")
+        )
+        return _let(parts, lambda u: F.greatest(F.lit(0.0), u["a"] + u["b"] - u["ab"]) / u["ab"])
+
+    def score(s):
+        na, nb = F.size(s["a"]), F.size(s["b"])
+        return (
+            F.when((na == 0) & (nb == 0), F.lit(1.0))
+            .when((na == 0) | (nb == 0), F.lit(0.0))
+            .when((na == 1) & (nb == 1), single(s))
+            .otherwise(general(s))
+        )
+
+    return _let(F.struct(a.alias("a"), b.alias("b")), score)
 
 
 def grounded_report(sentences, boxes) -> Column:

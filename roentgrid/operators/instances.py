@@ -1,14 +1,16 @@
 """Builders of studies and of training/evaluation instances.
 
 Lists whose length is set by the data (images of a study, boxes of a phrase) come
-in parts through ``collect_parts``: almost always one, more for a huge group.
+in parts through ``collect_parts``: almost always one, more for a huge group. Their
+``ordinal`` is a source position; if it is not a dense integer, give the ``bucket``
+that cuts it into even ranges.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
@@ -66,7 +68,7 @@ def study_views(split: DataFrame, reports: DataFrame, root: str, ordinal: str) -
     )
 
 
-def studies(split: DataFrame, reports: DataFrame, root: str, ordinal: str, mode: str = "standard", seed: int = 0) -> DataFrame:
+def studies(split: DataFrame, reports: DataFrame, root: str, ordinal: str, mode: str = "standard", seed: int = 0, bucket: Column | None = None) -> DataFrame:
     """One row per study with a non-empty report.
 
     standard: ``image_paths`` of all images, in parts. frontal_only: one
@@ -75,7 +77,7 @@ def studies(split: DataFrame, reports: DataFrame, root: str, ordinal: str, mode:
     """
     views = study_views(split, reports, root, ordinal)
     if mode == "standard":
-        found = collect_parts(views, ["study_id"], "ordinal", F.col("image_path"), name="image_paths")
+        found = collect_parts(views, ["study_id"], "ordinal", F.col("image_path"), name="image_paths", bucket=bucket)
     elif mode == "frontal_only":
         frontal = views.where(F.col("priority").isNotNull())
         best = F.min(F.struct("priority", "ordinal", "image_path"))
@@ -106,10 +108,10 @@ def studies(split: DataFrame, reports: DataFrame, root: str, ordinal: str, mode:
     return found.join(info, "study_id")
 
 
-def study_image_lists(split: DataFrame, reports: DataFrame, root: str, ordinal: str) -> DataFrame:
+def study_image_lists(split: DataFrame, reports: DataFrame, root: str, ordinal: str, bucket: Column | None = None) -> DataFrame:
     """Frontal and lateral image lists per study, in parts."""
     views = study_views(split, reports, root, ordinal).where(F.col("kind").isNotNull())
-    return collect_parts(views, ["study_id", "kind"], "ordinal", F.col("image_path"), name="image_paths")
+    return collect_parts(views, ["study_id", "kind"], "ordinal", F.col("image_path"), name="image_paths", bucket=bucket)
 
 
 # -- location instances ------------------------------------------------------------
@@ -167,12 +169,12 @@ def _phrase_columns(boxes: str) -> dict:
     }
 
 
-def phrase_instances_ms(df: DataFrame, fmt: str = "xyxy", ordinal: str = "ordinal", part_size: int = 4096) -> DataFrame:
+def phrase_instances_ms(df: DataFrame, fmt: str = "xyxy", ordinal: str = "ordinal", part_size: int = 4096, bucket: Column | None = None) -> DataFrame:
     """Per image and phrase all boxes, normalised by the first row's image size."""
     raw = F.array("x", "y", "w", "h")
     grouped = collect_parts(
         df, ["split", "dicom_id", "label_text"], ordinal, raw, part_size, "raw",
-        first={"iw": "image_width", "ih": "image_height", "category": "category_name"},
+        first={"iw": "image_width", "ih": "image_height", "category": "category_name"}, bucket=bucket,
     )
 
     def convert(b):

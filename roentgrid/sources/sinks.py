@@ -45,7 +45,9 @@ def write_with_quarantine(df: DataFrame, path: str, error_path: str, error: str
 def write_generations(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """(predictions, references, image_paths array) as CSV with the paths as a JSON list."""
     out = df.select("predictions", "references", F.to_json("image_paths").alias("image_paths"))
-    out.write.mode(mode).csv(path, header=True, escape='"')
+    out.write.mode(mode).csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def run_tag(model, revision, revisioned: str = "maira-2") -> Column:
