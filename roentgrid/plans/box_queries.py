@@ -88,7 +88,7 @@ PARSED = f"({_parsed('gt', 'gt_text')} union all {_parsed('pred', 'pred_text')})
 
 @query("c7_parse_boxes", f"select example_id, side, pos, v[1] as a, v[2] as b, v[3] as c, v[4] as d from {PARSED} p")
 def c7(d: Data):
-    rows = d.view("v_grounded_text")
+    rows = d.view("v_grounded_text", spread_rows=True)
     out = None
     for side in ("gt", "pred"):
         part = rows.select("example_id", F.lit(side).alias("side"), F.posexplode(bx.parse_boxes(f"{side}_text")).alias("pos", "v"))
@@ -111,7 +111,7 @@ iou as (select t.example_id, coalesce(a.iou, 1) as iou from (select example_id f
 @query("c8_union_iou", f"with {IOU} select example_id, round(iou + 1e-9, 6) as iou from iou")
 def c8(d: Data):
     score = bx.union_iou(bx.parse_boxes("gt_text"), bx.parse_boxes("pred_text"), "cxcywh")
-    return d.view("v_grounded_text").select("example_id", r6(score + 1e-9).alias("iou"))
+    return d.view("v_grounded_text", spread_rows=True).select("example_id", r6(score + 1e-9).alias("iou"))
 
 
 @query(
@@ -173,7 +173,7 @@ def c11(d: Data):
 )
 def c12(d: Data):
     found = bx.parse_boxes(F.concat("gt_text", F.lit(" "), "pred_text"))
-    return d.view("v_grounded_text").groupBy(bx.num_boxes_bin(found).alias("bin")).agg(F.count("*").alias("n"))
+    return d.view("v_grounded_text", spread_rows=True).groupBy(bx.num_boxes_bin(found).alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -182,5 +182,5 @@ def c12(d: Data):
         from v_grounded_text t join iou on t.example_id = iou.example_id""",
 )
 def c13(d: Data):
-    rows = grounding_scores(d.view("v_grounded_text"))
+    rows = grounding_scores(d.view("v_grounded_text", spread_rows=True))
     return rows.select("example_id", r6(F.col("bbox_iou") + 1e-9).alias("bbox_iou"), "clean_gt", "clean_pred")

@@ -2,6 +2,8 @@
 
 from . import (  # noqa: F401
     box_queries,
+    instance_queries,
+    join_queries,
     text_queries,
 )
 from .registry import ORACLES, QUERIES

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import sql as sqlfn
 from ..functions import text, vocab
 from ..operators import instances, joins
+from ..operators.skew import spread
 from .registry import d_list, d_squeeze, d_strip, query
 from .views import Data
 
@@ -236,7 +237,7 @@ def d_description(x, dialect):
         {d_description('gt_text', 'eval')} as gt_eval from v_grounded_text""",
 )
 def b16(d: Data):
-    return d.view("v_grounded_text").select(
+    return d.view("v_grounded_text", spread_rows=True).select(
         "example_id", text.extract_description("gt_text").alias("gt_label"),
         text.extract_description("pred_text").alias("pred_label"), text.extract_description("gt_text", "eval").alias("gt_eval"),
     )
@@ -249,7 +250,7 @@ def d_eval_text(x):
 
 @query("b17_eval_text", f"select example_id, {d_eval_text('gt_text')} as clean_gt, {d_eval_text('pred_text')} as clean_pred from v_grounded_text")
 def b17(d: Data):
-    return d.view("v_grounded_text").select("example_id", text.clean_eval_text("gt_text").alias("clean_gt"), text.clean_eval_text("pred_text").alias("clean_pred"))
+    return d.view("v_grounded_text", spread_rows=True).select("example_id", text.clean_eval_text("gt_text").alias("clean_gt"), text.clean_eval_text("pred_text").alias("clean_pred"))
 
 
 @query(
@@ -298,7 +299,7 @@ def b20(d: Data):
 
 @query("b21_drop_repeats")
 def b21(d: Data):
-    rows = d.table("documents").select("doc_id", F.length("text").alias("before"), text.drop_repeats("text").alias("t"))
+    rows = spread(d.table("documents")).select("doc_id", F.length("text").alias("before"), text.drop_repeats("text").alias("t"))
     return rows.select("doc_id", "before", F.length("t").alias("after"), F.md5("t").alias("digest"))
 
 

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -255,13 +257,13 @@ class Data:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def view(self, name: str) -> DataFrame:
+    def view(self, name: str, spread_rows: bool = False) -> DataFrame:
         sql = view_sql("spark")[name].strip()
         used = [t for t in TABLES if re.search(rf"\b(from|join) {t}\b", sql)]
         # Table names become placeholders; other braces are data and are doubled.
         sql = sql.replace("{", "{{").replace("}", "}}")
         sql = re.sub(rf"\b(from|join) ({'|'.join(used)})\b", r"\1 {\2}", sql)
-        return self.spark.sql(sql, **{t: self.table(t) for t in used})
+        return self.spark.sql(sql, **{t: spread(self.table(t)) if spread_rows else self.table(t) for t in used})
 
     def location_docs(self) -> DataFrame:
         """v_loc_boxes and v_loc_snippets as one map document per image."""
