@@ -90,12 +90,12 @@ def with_image_size(boxes: DataFrame, sizes: DataFrame, key: str = "image_id") -
     return boxes.join(sizes.select(key, "width", "height"), key)
 
 
-def mini_report_query(report, location) -> Column:
-    """Query text of a report and location."""
-    return F.concat(
-        F.lit('Report: "'), text.squeeze_ws(report), F.lit('" | Location: "'),
-        F.col(location) if isinstance(location, str) else location, F.lit('"'),
-    )
+def mini_report_query(report, location, clean: bool = True) -> Column:
+    """Query text of a report and location; ``clean=False`` if the report is squeezed already."""
+    report = F.col(report) if isinstance(report, str) else report
+    location = F.col(location) if isinstance(location, str) else location
+    body = text.squeeze_ws(report) if clean else report
+    return F.concat(F.lit('Report: "'), body, F.lit('" | Location: "'), location, F.lit('"'))
 
 
 def build_eval_set(docs: DataFrame, locations: DataFrame, responses: DataFrame, flags: DataFrame) -> DataFrame:
@@ -106,27 +106,19 @@ def build_eval_set(docs: DataFrame, locations: DataFrame, responses: DataFrame,
     flags(query, mentions_abnormalities, mentions_devices) keyed by mini-report text.
     ``keep`` tells whether there is a mini-report or a box.
     """
-    rows = locations.join(docs, "dicom_id").withColumn("query", mini_report_query("original_report", "location"))
-    # Join on the digest and check the text, so that long texts are not sort keys.
-    answers = responses.select(
-        F.sha2("query", 256).alias("query_key"), F.col("query").alias("query_text"), "reasoning", "mini_report"
-    )
-    rows = rows.withColumn("query_key", F.sha2("query", 256))
-    rows = rows.join(
-        answers, (rows["query_key"] == answers["query_key"]) & (rows["query"] == answers["query_text"]), "left"
-    ).drop("query_key", "query_text", "query", "original_report")
+    # Texts meet by their SHA-256 digest: whole reports are squeezed once per image and
+    # never travel further than the join that brings them to their locations.
+    squeezed = docs.select("dicom_id", text.squeeze_ws("original_report").alias("report"))
+    rows = locations.join(squeezed, "dicom_id")
+    rows = rows.withColumn("query_key", F.sha2(mini_report_query("report", "location", clean=False), 256)).drop("report")
+    answers = responses.select(F.sha2("query", 256).alias("query_key"), "reasoning", "mini_report")
+    rows = rows.join(answers, "query_key", "left").drop("query_key")
     known = F.col("mini_report") != "N/A"
     rows = rows.withColumns(
         {"reasoning": F.when(known, F.col("reasoning")), "mini_report": F.when(known, F.col("mini_report"))}
-    )
-    notes = flags.select(
-        F.sha2("query", 256).alias("report_key"), F.col("query").alias("report_text"),
-        "mentions_abnormalities", "mentions_devices",
-    )
-    rows = rows.withColumn("report_key", F.sha2("mini_report", 256))
-    rows = rows.join(
-        notes, (rows["report_key"] == notes["report_key"]) & (rows["mini_report"] == notes["report_text"]), "left"
-    ).drop("report_key", "report_text")
+    ).withColumn("report_key", F.sha2("mini_report", 256))
+    notes = flags.select(F.sha2("query", 256).alias("report_key"), "mentions_abnormalities", "mentions_devices")
+    rows = rows.join(notes, "report_key", "left").drop("report_key")
     return rows.withColumn("keep", F.col("mini_report").isNotNull() | F.col("bbox").isNotNull())
 
 

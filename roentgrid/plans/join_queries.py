@@ -100,10 +100,9 @@ def d8(d: Data):
     docs = d.location_docs()
     locations = instances.merged_location_docs(docs)
     langs = d.table("documents").select(F.col("doc_id").cast("string").alias("dicom_id"), "lang")
-    asked = locations.join(docs.select("dicom_id", "original_report"), "dicom_id").join(langs, "dicom_id")
-    asked = asked.where(F.col("lang").isin("en", "fr") & (F.col("location") != "spine"))
-    query_text = joins.mini_report_query("original_report", "location")
-    asked = asked.select(query_text.alias("query")).distinct()
+    texts = docs.select("dicom_id", text.squeeze_ws("original_report").alias("report")).join(langs, "dicom_id")
+    asked = locations.where("location <> 'spine'").join(texts.where(F.col("lang").isin("en", "fr")), "dicom_id")
+    asked = asked.select(joins.mini_report_query("report", "location", clean=False).alias("query")).distinct()
     n = F.length("query")
     answers = asked.select(
         "query", F.lit("why").alias("reasoning"),
