@@ -26,8 +26,7 @@ def _blocks(items: DataFrame, block: int) -> DataFrame:
     value = F.struct("item_id", "item_type", "copies", "embedding")
     unique = unique.withColumn("__o", F.struct("__h", "item_id", "item_type"))
     parts = collect_parts(unique, ["pair_id", "side"], "__o", value, block, "items", bucket=hash_bucket(F.col("__h")))
-    columns = {c: F.transform("items", lambda x, c=c: x[c]) for c in ("item_id", "item_type", "copies", "embedding")}
-    return parts.select("pair_id", "side", *[v.alias(c) for c, v in columns.items()])
+    return parts.select("pair_id", "side", *[F.col("items")[c].alias(c) for c in ("item_id", "item_type", "copies", "embedding")])
 
 
 def best_matches(items: DataFrame, affinity: dict | None = None, block: int = BLOCK) -> DataFrame:

@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     box_queries,
     instance_queries,
     join_queries,
+    metric_queries,
     sampling_queries,
     text_queries,
 )
