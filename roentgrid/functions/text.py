@@ -189,7 +189,7 @@ EVAL_DESCRIPTION = r"(?d)Description.*?:(.*)"
 def extract_description(col, dialect: str = "label") -> Column:
     """Description part of a generation, null if there is none (dialects label, eval)."""
     pattern = {"label": LABEL_DESCRIPTION, "eval": EVAL_DESCRIPTION}[dialect]
-    return F.when(_c(col).rlike(pattern), strip(F.regexp_extract(_c(col), pattern, 1)))
+    return strip(F.try_element_at(F.regexp_extract_all(_c(col), F.lit(pattern), F.lit(1)), F.lit(1)))
 
 
 def remove_boxes(col) -> Column:
@@ -206,7 +206,8 @@ def remove_grounding(col, dialect: str = "boxes") -> Column:
 def clean_eval_text(col) -> Column:
     """Text as compared in evaluation: no boxes, description only, tidy periods."""
     text = squeeze_ws(remove_boxes(col))
-    text = F.coalesce(extract_description(text, "eval"), text)
+    # A squeezed text is one line, so dropping all up to the description leaves it.
+    text = F.trim(F.regexp_replace(text, "^.*?Description.*?:", ""))
     for old, new in ((": .", "."), (" .", "."), (":", ".")):
         text = F.replace(text, F.lit(old), F.lit(new))
     return text

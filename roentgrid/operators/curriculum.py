@@ -83,8 +83,11 @@ def curriculum_weights(scored: DataFrame, metric_weights: dict[str, float], step
     scored(dataset, category, one column per metric). Dataset rows have a null category.
     """
     metrics = list(metric_weights)
-    per_dataset = dataset_weights(stats.dataset_metrics(scored, metric_weights), metric_weights)
-    per_category = category_weights(stats.category_metrics(scored, metrics), metric_weights)
+    # Both levels read the same sums, so the scored rows are aggregated once.
+    sums = stats.metric_sums(scored, metrics)
+    per_dataset = dataset_weights(stats.means_of(sums, ["dataset"], metrics), metric_weights)
+    in_category = stats.means_of(sums.where(F.col("category").isNotNull()), ["dataset", "category"], metrics)
+    per_category = category_weights(in_category, metric_weights)
     none = F.lit(None).cast("string")
     both = per_dataset.select("dataset", none.alias("subtask"), none.alias("category"), "weight").unionByName(
         per_category.select("dataset", "subtask", "category", "weight")

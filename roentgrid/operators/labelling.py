@@ -22,10 +22,12 @@ def register_reply_schema(name: str, fields: dict) -> None:
 
 def location_queries(docs: DataFrame) -> DataFrame:
     """One query per report and location: snippet and default locations, not 'unknown'."""
-    rows = docs.where(text.squeeze_ws("original_report") != "")
+    # Reports are squeezed once, before they are repeated for their locations.
     names = text.with_default_locations(F.map_keys("location2report_snippet"))
-    rows = rows.withColumn("location", F.explode(names))
-    return rows.select("dicom_id", joins.mini_report_query("original_report", "location").alias("query"))
+    rows = docs.where(F.col("original_report").rlike("[^" + vocab.WHITESPACE[1:]))
+    rows = rows.select("dicom_id", text.squeeze_ws("original_report").alias("report"), names.alias("names"))
+    rows = rows.select("dicom_id", "report", F.explode("names").alias("location"))
+    return rows.select("dicom_id", joins.mini_report_query("report", "location", clean=False).alias("query"))
 
 
 def build_queries(df: DataFrame, mode: str) -> DataFrame:
@@ -35,7 +37,8 @@ def build_queries(df: DataFrame, mode: str) -> DataFrame:
     description: gt_report and prediction. tagged: gt_report and raw_prediction.
     """
     if mode == "sentence_list":
-        query = text.grounded_list_text("grounded_report")["text"]
+        df = df.withColumn("__said", text.grounded_list_text("grounded_report")["text"])
+        query = F.col("__said")
         reason = F.when(F.from_json("grounded_report", "array<string>").isNull(), "malformed list").when(
             query.isNull(), "no sentences"
         )
@@ -43,19 +46,20 @@ def build_queries(df: DataFrame, mode: str) -> DataFrame:
         query = F.col("mini_report")
         reason = F.when(query.isNull(), "missing").when(query == "N/A", "not available")
     elif mode in ("description", "tagged"):
+        said = F.col("__said")
         if mode == "description":
-            said = text.extract_description("prediction")
-            absent = F.when(
-                ~F.coalesce(F.lower("prediction").contains("description"), F.lit(False)), "no description"
-            ).when(said.isNull(), "malformed description")
+            df = df.withColumn("__said", text.extract_description("prediction"))
+            named = F.coalesce(F.lower("prediction").contains("description"), F.lit(False))
+            absent = F.when(~named, "no description").when(said.isNull(), "malformed description")
         else:
-            said = text.strip_tags("raw_prediction")
+            df = df.withColumn("__said", text.strip_tags("raw_prediction"))
             absent = F.when(said.isNull(), "no prediction")
         query = F.concat(F.lit("[GT]: "), "gt_report", F.lit("\n\n[GEN]: "), said)
         reason = F.when(F.coalesce(F.col("gt_report"), F.lit("")) == "", "no report").otherwise(absent)
     else:
         raise ValueError(f"unknown mode: {mode}")
-    return df.withColumns({"reason": reason, "query": F.when(reason.isNull(), query)})
+    df = df.withColumn("reason", reason)
+    return df.withColumn("query", F.when(F.col("reason").isNull(), query)).drop("__said")
 
 
 def pending_queries(queries: DataFrame, done: DataFrame, cap: int | None = None) -> DataFrame:

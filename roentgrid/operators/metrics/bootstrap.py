@@ -1,7 +1,7 @@
 """Bootstrap estimates.
 
-Every draw is a hash of (seed, iteration, draw number), made from the rows
-themselves and matched to row numbers by an equi-join on uniform keys; sums per
+Every draw is a hash of (seed, iteration, draw number), generated in blocks over all
+tasks and matched to row numbers by an equi-join on uniform keys; sums per
 iteration are aggregated before they are shuffled.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ...functions.hashing import hash_int, hash_order
 from ..sampling import hash_rank
+from ..skew import draws
 from .labels import _scores
 
 
@@ -19,6 +20,11 @@ def _iterations(n_boot: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
 
 
+def _draw_numbers(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Draw numbers idx = 1..n for every row of counts(by..., n)."""
+    return draws(counts, list(by), "n", "idx").withColumn("idx", F.col("idx") + 1)
+
+
 def _summary(df: DataFrame, value: str) -> list[Column]:
     return [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")]
 
@@ -27,7 +33,7 @@ def bootstrap_mean(df: DataFrame, value: str, key: list[str], n_boot: int = 1000
     """(mean, std) of the means of n_boot resamples of the rows with a value."""
     rows = hash_rank(df.where(F.col(value).isNotNull()).select(*key, value), [], key, seed, "idx")
     n = rows.agg(F.count("*")).scalar()
-    drawn = rows.select("idx", _iterations(n_boot).alias("b"))
+    drawn = _draw_numbers(rows.agg(F.count("*").alias("n"))).select("idx", _iterations(n_boot).alias("b"))
     drawn = drawn.select("b", (hash_int(hash_order(seed, F.lit("boot"), "b", "idx")) % n + 1).alias("idx"))
     means = drawn.join(rows.select("idx", value), "idx").groupBy("b").agg(F.avg(value).alias("m"))
     return means.agg(*_summary(means, "m"))
@@ -68,11 +74,11 @@ def bootstrap_by_category(df: DataFrame, value: str, category: str, key: list[st
     clean = df.where(F.col(value).isNotNull() & F.col(category).isNotNull()).select(*key, category, value)
     rows, sizes = _indexed(clean, category, value, key, seed)
     n = clean.agg(F.count("*")).scalar()
-    c = clean.agg(F.countDistinct(category)).scalar()
     sure = sizes.withColumn("b", _iterations(n_boot)).select(
         "b", (F.col("start") + hash_int(hash_order(seed, F.lit("sure"), "b", category)) % F.col("size") + 1).alias("idx")
     )
-    free = rows.where(F.col("idx") <= n - c).select("idx", _iterations(n_boot).alias("b"))
+    left = clean.agg((F.count("*") - F.countDistinct(category)).alias("n"))
+    free = _draw_numbers(left).select("idx", _iterations(n_boot).alias("b"))
     free = free.select("b", (hash_int(hash_order(seed, F.lit("free"), "b", "idx")) % n + 1).alias("idx"))
     drawn = sure.unionByName(free).join(rows, "idx")
     sums = drawn.groupBy("b", category).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
@@ -104,10 +110,8 @@ def multilabel_draws(labels: DataFrame, key: str, n_boot: int, ensure_all_classe
         "b", "class", (hash_int(hash_order(seed, F.lit("sure"), "b", "class")) % F.col("size") + 1).alias("place")
     )
     sure = sure.join(positive, ["class", "place"]).join(samples, key).select("b", "idx").distinct()
-    fixed = sure.groupBy("b").agg(F.count("*").alias("fixed"))
-    free = samples.select("idx", _iterations(n_boot).alias("b")).join(fixed, "b", "left")
-    free = free.where(F.col("idx") <= n - F.coalesce("fixed", F.lit(0)))
-    free = free.select("b", (hash_int(hash_order(seed, F.lit("free"), "b", "idx")) % n + 1).alias("idx"))
+    left = sure.groupBy("b").agg((F.lit(0) - F.count("*")).alias("fixed")).select("b", (n + F.col("fixed")).alias("n"))
+    free = _draw_numbers(left, ("b",)).select("b", (hash_int(hash_order(seed, F.lit("free"), "b", "idx")) % n + 1).alias("idx"))
     return sure.unionByName(free), samples
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import text
+from ..skew import shuffle_partitions
 
 
 def _blank_tokens(col: str) -> Column:
@@ -41,7 +42,7 @@ def _matches(pairs: DataFrame, tokens, orders: list[int]) -> DataFrame:
     """Per pair and n: clipped n-gram matches; and the token counts of both sides."""
     rows = pairs.select("pair_id", tokens("hyp").alias("h"), tokens("ref").alias("r"))
     # Tokens are made before the exchange so that they are split once per text.
-    rows = rows.repartition("pair_id")
+    rows = rows.repartition(shuffle_partitions(pairs), "pair_id")
     empty = F.array().cast("array<struct<n: int, gram: string, h: int, r: int>>")
     grams = F.concat(*[F.coalesce(_grams(F.col(s), n, side), empty) for n in orders for s, side in (("h", "hyp"), ("r", "ref"))])
     rows = rows.select("pair_id", F.size("h").alias("hyp_len"), F.size("r").alias("ref_len"), F.explode_outer(grams).alias("g"))

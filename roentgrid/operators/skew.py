@@ -28,6 +28,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    """Configured number of shuffle partitions.
+
+    Given explicitly to ``repartition``, it keeps adaptive execution from merging
+    partitions that are small on the wire but expensive to process.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ordinal_bucket(col, rows: int = BUCKET_ROWS) -> Column:
     """Bucket of a unique integer ordinal: at most ``rows`` rows each, in order."""
     c = F.col(col) if isinstance(col, str) else col
@@ -73,33 +82,40 @@ def collect_parts(
 ) -> DataFrame:
     """Ordered lists per group, in parts of at most ``part_size`` items.
 
-    Gives (by..., part, n_parts, items). Ordinary groups have a single part 0; a
-    larger one continues in parts 1, 2, ... and stays whole. ``ordinal`` must be
-    unique within a group (an integer, unless ``bucket`` is given). ``first`` maps
-    output names to columns whose value at the lowest ordinal is kept per group.
+    Gives (by..., part, n_parts, items). Ordinary groups have a single part 0 and take
+    one plain aggregation; a larger one continues in parts 1, 2, ... and stays whole.
+    ``ordinal`` must be unique within a group (an integer, unless ``bucket`` is given).
+    ``first`` maps output names to columns whose value at the lowest ordinal is kept.
     """
     first = first or {}
     df = df.withColumns({"__value": value, "__g": F.struct(*_cols(by))})
-    ranked = group_rank(df, by, [F.col(ordinal)], ordinal_bucket(ordinal) if bucket is None else bucket, "__rank")
-    ranked = ranked.withColumn("part", F.floor((F.col("__rank") - 1) / part_size).cast("bigint"))
-    lists = ranked.groupBy("__g", "part").agg(
-        F.array_sort(F.collect_list(F.struct("__rank", F.col("__value").alias("v")))).alias("__l")
+    firsts = [F.min_by(c, ordinal).alias(n) for n, c in first.items()]
+    # At most rows / part_size groups are large.
+    large = df.groupBy("__g").agg(F.count("*").alias("__n"), *firsts).where(F.col("__n") > part_size)
+
+    def listed(order):
+        items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__value").alias("v"))))
+        return F.transform(items, lambda x: x["v"]).alias(name)
+
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    plain = df.join(large.select("__g"), "__g", "left_anti").groupBy("__g").agg(listed(ordinal), *firsts)
+    plain = plain.withColumns({"part": zero, "n_parts": one})
+
+    ranked = group_rank(
+        df.join(large.select("__g"), "__g", "left_semi"), by, [F.col(ordinal)],
+        ordinal_bucket(ordinal) if bucket is None else bucket, "__rank",
     )
+    ranked = ranked.withColumn("part", F.floor((F.col("__rank") - 1) / part_size).cast("bigint"))
+    parts = ranked.groupBy("__g", "part").agg(listed("__rank"))
     # One narrow row per group and part, joined part by part, so that a huge group
     # is spread over its parts here as well.
-    heads = df.groupBy("__g").agg(F.count("*").alias("__n"), *[F.min_by(c, ordinal).alias(n) for n, c in first.items()])
-    heads = heads.withColumn("n_parts", F.ceil(F.col("__n") / part_size).cast("bigint"))
-    heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_parts") - 1)))
-    return lists.join(heads, ["__g", "part"]).select(
-        *[F.col("__g")[c].alias(c) for c in by],
-        "part",
-        "n_parts",
-        F.transform("__l", lambda x: x["v"]).alias(name),
-        *first,
-    )
+    heads = large.withColumn("n_parts", F.ceil(F.col("__n") / part_size).cast("bigint")).drop("__n")
+    heads = heads.withColumn("part", F.explode(F.sequence(zero, F.col("n_parts") - 1)))
+    both = plain.unionByName(parts.join(heads, ["__g", "part"]))
+    return both.select(*[F.col("__g")[c].alias(c) for c in by], "part", "n_parts", name, *first)
 
 
-def draws(df: DataFrame, by: list[str], count: str, name: str = "draw", block: int = 1 << 16) -> DataFrame:
+def draws(df: DataFrame, by: list[str], count: str, name: str = "draw", block: int = 1 << 12) -> DataFrame:
     """One row per draw 0..count-1 of each input row, generated block by block.
 
     ``by`` identifies the input row; blocks are spread over the tasks.
@@ -110,7 +126,7 @@ def draws(df: DataFrame, by: list[str], count: str, name: str = "draw", block: i
     )
     ends = F.least(F.col(count) - 1, F.col("__start") + block - 1)
     return (
-        starts.repartition(*_cols(by), "__start")
+        starts.repartition(shuffle_partitions(df), *_cols(by), "__start")
         .withColumn(name, F.explode(F.sequence(F.col("__start"), ends)))
         .drop("__start")
     )

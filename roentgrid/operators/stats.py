@@ -60,6 +60,20 @@ def combined(metric_weights: dict[str, float], columns: dict[str, str] | None =
     return out
 
 
+def metric_sums(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """Sums and counts per dataset and category, from which all means follow."""
+    return df.groupBy("dataset", "category").agg(
+        *[f for m in metrics for f in (F.sum(m).alias(f"sum_{m}"), F.count(m).alias(f"n_{m}"))], F.count("*").alias("size")
+    )
+
+
+def means_of(sums: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """Metric means and sizes per group of ``metric_sums``."""
+    return sums.groupBy(*by).agg(
+        *[F.try_divide(F.sum(f"sum_{m}"), F.sum(f"n_{m}")).alias(m) for m in metrics], F.sum("size").alias("size")
+    )
+
+
 def dataset_metrics(df: DataFrame, metric_weights: dict[str, float]) -> DataFrame:
     """Mean of each metric, their weighted sum and the number of rows per dataset."""
     means = df.groupBy("dataset").agg(*[F.avg(m).alias(m) for m in metric_weights], F.count("*").alias("size"))

@@ -122,11 +122,11 @@ def d8(d: Data):
 @query(
     "d9_unprocessed",
     """select study_id, location, count(*) as n from v_predictions p where location is not null and not exists
-       (select 1 from v_predictions q where q.study_id = p.study_id and q.location = p.location and length(q.prediction) % 2 = 0) group by 1, 2""",
+       (select 1 from v_predictions q where q.study_id = p.study_id and q.location = p.location and q.prediction like '%A clear%') group by 1, 2""",
 )
 def d9(d: Data):
     rows = d.view("v_predictions").where("location is not null")
-    done = rows.where(F.length("prediction") % 2 == 0)
+    done = rows.where("prediction like '%A clear%'")
     left = joins.unprocessed(rows, done, ["study_id", "location"])
     return left.groupBy("study_id", "location").agg(F.count("*").alias("n"))
 

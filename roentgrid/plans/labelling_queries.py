@@ -33,7 +33,7 @@ _TAG = "'<b>' || pred_text || '</b> '"
         case when coalesce(gt, '') <> '' then '[GT]: ' || gt || chr(10) || chr(10) || '[GEN]: ' || {d_strip("regexp_replace(t, '<[^<>]+>', '', 'g')")} end as tagged from b""",
 )
 def j1_comparisons(d: Data):
-    rows = d.view("v_grounded_text", spread_rows=True).selectExpr(
+    rows = d.view("v_grounded_text").selectExpr(
         "example_id", f"{_GT} as gt_report", f"{_PRED} as prediction", f"{_TAG} as raw_prediction"
     )
     one = labelling.build_queries(rows, "description").select("example_id", "raw_prediction", "gt_report", "reason", F.col("query").alias("described"))
@@ -61,12 +61,12 @@ def j1_sentences(d: Data):
 
 @query(
     "j2_pending_queries",
-    """with p as (select distinct length(query)::varchar || '_' || sha256(query) as key, query from v_replies where query not in (select query from v_replies where request_id % 97 = 0))
+    """with p as (select distinct length(query)::varchar || '_' || sha256(query) as key, query from v_replies where query not in (select query from v_replies where event_type = 'signup' and error is not null))
        select 'all' as kind, key, query from p union all (select 'capped', key, query from p order by key limit 20)""",
 )
 def j2(d: Data):
     r = d.view("v_replies")
-    done = r.where("request_id % 97 = 0")
+    done = r.where("event_type = 'signup' and error is not null")
     every = labelling.pending_queries(r, done).select(F.lit("all").alias("kind"), "key", "query")
     return every.unionByName(labelling.pending_queries(r, done, 20).select(F.lit("capped").alias("kind"), "key", "query"))
 

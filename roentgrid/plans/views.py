@@ -153,7 +153,7 @@ select event_id as request_id,
             when event_id % 10 = 3 then concat('{"reason": "', event_type, '", "mentions_abnormalities": "no"}')
             when event_id % 10 = 4 then 'Sorry {"reason": "x", '
             else concat('Sure: {"reason": " ', event_type, '", "mentions_abnormalities": "', case when user_id % 2 = 0 then 'yes' else 'no' end, '", "mentions_devices": "', case when user_id % 3 = 0 then 'yes' else 'no' end, '"} done') end as reply,
-       case when event_id % 17 = 0 then 'rate limit' end as error, user_id, props
+       case when event_id % 17 = 0 then 'rate limit' end as error, event_type, user_id, props
 from events""",
         "v_pool": """
 select d.doc_id as id, d.source as category, d.lang as location, d.n_chars % 3 <> 0 as has_box,
@@ -255,15 +255,16 @@ class Data:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # The given files have one row group each; spread() is idle on larger tables.
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
-    def view(self, name: str, spread_rows: bool = False) -> DataFrame:
+    def view(self, name: str) -> DataFrame:
         sql = view_sql("spark")[name].strip()
         used = [t for t in TABLES if re.search(rf"\b(from|join) {t}\b", sql)]
         # Table names become placeholders; other braces are data and are doubled.
         sql = sql.replace("{", "{{").replace("}", "}}")
         sql = re.sub(rf"\b(from|join) ({'|'.join(used)})\b", r"\1 {\2}", sql)
-        return self.spark.sql(sql, **{t: spread(self.table(t)) if spread_rows else self.table(t) for t in used})
+        return self.spark.sql(sql, **{t: self.table(t) for t in used})
 
     def location_docs(self) -> DataFrame:
         """v_loc_boxes and v_loc_snippets as one map document per image."""
