@@ -7,11 +7,14 @@ the best value per item leaves the task, never the matrix.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import text
 from ...functions.hashing import hash_bucket, hash_order
+from ...sources.sinks import work_folder
 from ..skew import collect_parts
 
 BLOCK = 512
@@ -210,21 +213,31 @@ def report_facts(sentences: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.groupBy("report_id", "fact").agg(first).select("report_id", "at.sentence_no", "at.fact_no", "fact")
 
 
-def fact_score(pairs: DataFrame, extractor, encoder, block: int = BLOCK) -> DataFrame:
+def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    path = os.path.join(folder, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def fact_score(pairs: DataFrame, extractor, encoder, folder: str | None = None, block: int = BLOCK) -> DataFrame:
     """Similarity of the facts of two reports.
 
     pairs(pair_id, hyp, ref). ``extractor`` maps rows (key, text) to (key, facts) and
-    ``encoder`` maps them to (key, embedding); each sees every distinct text once.
+    ``encoder`` maps them to (key, embedding). Model runs are the dear part: each sees
+    every distinct text once, and their results are written to ``folder`` (by default
+    a new one in the session's checkpoint folder) rather than computed again.
     """
-    long = pairs.select(
-        "pair_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in ("hyp", "ref")])).alias("s")
-    ).select("pair_id", "s.side", F.posexplode(text.sentences("s.text")).alias("sentence_no", "sentence"))
+    folder = folder or work_folder(pairs.sparkSession, "facts")
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in ("hyp", "ref")])
+    long = pairs.select("pair_id", F.explode(sides).alias("s"))
+    long = long.select("pair_id", "s.side", F.posexplode(text.sentences("s.text")).alias("sentence_no", "sentence"))
     long = long.select(F.struct("pair_id", "side").alias("report_id"), "sentence_no", text.strip("sentence").alias("sentence"))
-    keyed = long.select(text.text_key("sentence").alias("key"), F.col("sentence").alias("text")).distinct()
-    facts = extractor(keyed).join(keyed, "key").select(F.col("text").alias("sentence"), "facts")
+    keyed = long.select(text.text_key("sentence").alias("key"), F.col("sentence").alias("text")).dropDuplicates(["key"])
+    facts = _stored(extractor(keyed), folder, "extracted").join(keyed, "key").select(F.col("text").alias("sentence"), "facts")
     found = report_facts(long, facts).withColumn("fact", text.strip("fact")).where(F.col("fact") != "")
-    unique = found.select(text.text_key("fact").alias("key"), F.col("fact").alias("text")).distinct()
-    items = found.withColumn("key", text.text_key("fact")).join(encoder(unique), "key").select(
+    found = _stored(found.withColumn("key", text.text_key("fact")), folder, "found")
+    unique = found.select("key", F.col("fact").alias("text")).dropDuplicates(["key"])
+    items = found.join(_stored(encoder(unique), folder, "encoded"), "key").select(
         "report_id.pair_id", "report_id.side", F.col("key").alias("item_id"), F.lit("").alias("item_type"), "embedding"
     )
     return max_mean_cosine(items, pairs, block)
