@@ -18,6 +18,8 @@ from .skew import draws, group_rank
 MAX_CLASSES = 10_000
 # Sequence positions a single data row may serve before it is replicated.
 MAX_FAN_OUT = 1 << 16
+# Most rows of a table of quotas that is broadcast.
+MAX_BROADCAST = 1 << 17
 
 
 def hash_rank(df: DataFrame, by: list[str], key: list[str], seed, name: str = "rank") -> DataFrame:
@@ -88,18 +90,23 @@ def waterfill_quotas(sizes: DataFrame, by: list[str], n: int, multiple_of: int =
     return s.select(*by, "size", quota.cast("bigint").alias("quota"))
 
 
-def take_quotas(df: DataFrame, by: list[str], key: list[str], quotas: DataFrame, seed) -> DataFrame:
+def take_quotas(df: DataFrame, by: list[str], key: list[str], quotas: DataFrame, seed, total: int | None = None) -> DataFrame:
     """Draw each group's quota; ``copies`` exceeds 1 only where the group is too small.
 
+    At most ``total`` groups have a quota, so up to MAX_BROADCAST of them are broadcast.
+
     Without replacement the lowest hash ranks are taken; with replacement every draw
     picks a hashed rank.
     """
-    q = quotas.select(F.struct(*by).alias("__g"), F.col("size").alias("__size"), F.col("quota").alias("__quota"))
+    q = quotas.where(F.col("quota") > 0).select(
+        F.struct(*by).alias("__g"), F.col("size").alias("__size"), F.col("quota").alias("__quota")
+    )
+    near = F.broadcast(q) if total is not None and total <= MAX_BROADCAST else q
     short = draws(q.where(F.col("__quota") > F.col("__size")), ["__g"], "__quota")
     pick = hash_int(hash_order(seed, F.lit("draw"), *[F.col("__g")[c] for c in by], "draw")) % F.col("__size") + 1
     picks = short.groupBy("__g", pick.alias("__rank")).agg(F.count("*").alias("__copies"))
     ranked = hash_rank(df.withColumn("__g", F.struct(*by)), by, key, seed, "__rank")
-    rows = ranked.join(q, "__g").where(F.col("__rank") <= F.col("__quota"))
+    rows = ranked.join(near, "__g").where(F.col("__rank") <= F.col("__quota"))
     rows = rows.join(picks, ["__g", "__rank"], "left")
     copies = F.when(F.col("__quota") <= F.col("__size"), F.lit(1).cast("bigint")).otherwise(F.col("__copies"))
     return rows.withColumn("copies", copies).where(F.col("copies").isNotNull()).select(*df.columns, "copies")
@@ -112,7 +119,7 @@ def expand_copies(df: DataFrame) -> DataFrame:
 
 def uniform_quota(df: DataFrame, n: int, by: list[str], key: list[str], seed) -> DataFrame:
     """n rows split evenly over the groups, with replacement where a group is short."""
-    return take_quotas(df, by, key, uniform_quotas(group_sizes(df, by), by, n), seed)
+    return take_quotas(df, by, key, uniform_quotas(group_sizes(df, by), by, n), seed, n)
 
 
 def waterfill(df: DataFrame, n: int, by: list[str], key: list[str], multiple_of: int = 1, seed=0) -> DataFrame:
@@ -130,7 +137,7 @@ def epoch_sample(df: DataFrame, batches: int, batch_size: int, key: list[str], s
     """batches * batch_size rows: without replacement if there are enough, else i.i.d."""
     whole = df.withColumn("__all", F.lit(0))
     quotas = group_sizes(whole, ["__all"]).withColumn("quota", F.lit(batches * batch_size).cast("bigint"))
-    return take_quotas(whole, ["__all"], key, quotas, seed).drop("__all")
+    return take_quotas(whole, ["__all"], key, quotas, seed, 1).drop("__all")
 
 
 def shuffle(df: DataFrame, key: list[str], seed) -> DataFrame:
@@ -227,7 +234,8 @@ def _read_rows(positions: DataFrame, df: DataFrame, by: list[str], key: list[str
     load = positions.groupBy(*by).agg(F.count("*").alias("__load"))
     plan = sizes.join(load, by)
     plan = plan.withColumn("__salts", F.ceil(F.col("__load") / F.col("size") / MAX_FAN_OUT).cast("bigint"))
-    plan = plan.select(*by, "size", "__salts")
+    # One row per scheduled class, and no schedule has more than MAX_CLASSES.
+    plan = F.broadcast(plan.select(*by, "size", "__salts"))
     at = positions.join(plan, by).withColumns(
         {
             "__row": F.col("turn") % F.col("size") + 1,
@@ -324,7 +332,8 @@ def core_sample(df: DataFrame, n: int, key: list[str], seed=42, with_share: floa
         "take", F.when(F.col("has_report"), n_with).otherwise(F.least(n - n_with, F.col("rows"))).cast("bigint")
     ).withColumn("quota", F.ceil(F.col("take") / F.col("groups")).cast("bigint"))
     ranked = hash_rank(rows, strata, key, f"{seed}-stratum", "__in_stratum")
-    ranked = ranked.join(sizes.select("has_report", "take", "quota"), "has_report")
+    # One row with and one without reports.
+    ranked = ranked.join(F.broadcast(sizes.select("has_report", "take", "quota")), "has_report")
     ranked = ranked.withColumn("__tier", F.when(F.col("__in_stratum") <= F.col("quota"), 0).otherwise(1))
     ranked = _by_tier(ranked, ["has_report"], "__tier", key, seed, "__rank")
     chosen = ranked.where(F.col("__rank") <= F.col("take"))

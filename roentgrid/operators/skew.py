@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 1 << 16
+# A group with more than one MAX_HOT-th of all rows is hot.
+MAX_HOT = 4096
 
 
 def _cols(names):
@@ -70,6 +72,16 @@ def group_rank(df: DataFrame, by: list[str], order: list, bucket: Column, name:
     return running_totals(df, by, order, bucket, **{name: F.lit(1).cast("bigint")})
 
 
+def hot_groups(df: DataFrame, group: str, at_least: int = 1) -> DataFrame:
+    """Groups that hold more than 1 / MAX_HOT of all rows (and more than ``at_least``).
+
+    There can be at most MAX_HOT of them, so the result is safe to broadcast.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
+    total = df.agg(F.count("*")).scalar()
+    return sizes.where((F.col("__n") > at_least) & (F.col("__n") * MAX_HOT > total)).select(group)
+
+
 def collect_parts(
     df: DataFrame,
     by: list[str],
@@ -82,36 +94,40 @@ def collect_parts(
 ) -> DataFrame:
     """Ordered lists per group, in parts of at most ``part_size`` items.
 
-    Gives (by..., part, n_parts, items). Ordinary groups have a single part 0 and take
-    one plain aggregation; a larger one continues in parts 1, 2, ... and stays whole.
-    ``ordinal`` must be unique within a group (an integer, unless ``bucket`` is given).
-    ``first`` maps output names to columns whose value at the lowest ordinal is kept.
+    Gives (by..., part, n_parts, items). Ordinary groups have a single part 0; a larger
+    one continues in parts 1, 2, ... and stays whole. ``ordinal`` must be unique within
+    a group (an integer, unless ``bucket`` is given). ``first`` maps output names to
+    columns whose value at the lowest ordinal is kept per group.
     """
     first = first or {}
     df = df.withColumns({"__value": value, "__g": F.struct(*_cols(by))})
-    firsts = [F.min_by(c, ordinal).alias(n) for n, c in first.items()]
-    # At most rows / part_size groups are large.
-    large = df.groupBy("__g").agg(F.count("*").alias("__n"), *firsts).where(F.col("__n") > part_size)
-
-    def listed(order):
-        items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__value").alias("v"))))
-        return F.transform(items, lambda x: x["v"]).alias(name)
-
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    plain = df.join(large.select("__g"), "__g", "left_anti").groupBy("__g").agg(listed(ordinal), *firsts)
-    plain = plain.withColumns({"part": zero, "n_parts": one})
-
-    ranked = group_rank(
-        df.join(large.select("__g"), "__g", "left_semi"), by, [F.col(ordinal)],
-        ordinal_bucket(ordinal) if bucket is None else bucket, "__rank",
+    hot = hot_groups(df, "__g", part_size)
+    part = F.floor((F.col("__rank") - 1) / part_size).cast("bigint")
+    n_parts = F.ceil(F.col("__n") / part_size).cast("bigint")
+    listed = F.array_sort(F.collect_list(F.struct(F.col("__rank").alias("o"), F.col("__value").alias("v"))))
+    items = F.transform(listed, lambda x: x["v"]).alias(name)
+
+    # All other groups: one exchange on the group serves the window and the lists.
+    w = Window.partitionBy("__g")
+    cold = df.join(F.broadcast(hot), "__g", "left_anti").withColumns(
+        {"__rank": F.row_number().over(w.orderBy(ordinal)), "__n": F.count("*").over(w)}
+    )
+    at_start = [F.first_value(c).over(w.orderBy(ordinal)).alias(f"__f_{n}") for n, c in first.items()]
+    cold = cold.select("__g", "__rank", "__n", "__value", *at_start).withColumn("part", part)
+    plain = cold.groupBy("__g", "part").agg(
+        F.max("__n").alias("__n"), items, *[F.first(f"__f_{n}").alias(n) for n in first]
     )
-    ranked = ranked.withColumn("part", F.floor((F.col("__rank") - 1) / part_size).cast("bigint"))
-    parts = ranked.groupBy("__g", "part").agg(listed("__rank"))
-    # One narrow row per group and part, joined part by part, so that a huge group
-    # is spread over its parts here as well.
-    heads = large.withColumn("n_parts", F.ceil(F.col("__n") / part_size).cast("bigint")).drop("__n")
-    heads = heads.withColumn("part", F.explode(F.sequence(zero, F.col("n_parts") - 1)))
-    both = plain.unionByName(parts.join(heads, ["__g", "part"]))
+    plain = plain.select("__g", "part", n_parts.alias("n_parts"), name, *first)
+
+    # Hot groups: ranked bucket by bucket and listed part by part, with one narrow row
+    # per part for what belongs to the whole group.
+    rows = df.join(F.broadcast(hot), "__g", "left_semi")
+    ranked = group_rank(rows, by, [F.col(ordinal)], ordinal_bucket(ordinal) if bucket is None else bucket, "__rank")
+    parts = ranked.withColumn("part", part).groupBy("__g", "part").agg(items)
+    heads = rows.groupBy("__g").agg(F.count("*").alias("__n"), *[F.min_by(c, ordinal).alias(n) for n, c in first.items()])
+    heads = heads.withColumn("n_parts", n_parts)
+    heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_parts") - 1)))
+    both = plain.unionByName(parts.join(heads, ["__g", "part"]).select("__g", "part", "n_parts", name, *first))
     return both.select(*[F.col("__g")[c].alias(c) for c in by], "part", "n_parts", name, *first)
 
 

@@ -62,3 +62,15 @@ def test_spread(spark):
     small = spark.range(10).coalesce(1)
     assert skew.spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert skew.spread(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
+
+
+def test_hot_groups(spark, monkeypatch):
+    df = spark.createDataFrame(hot_rows(), "g string, i bigint, v bigint")
+    monkeypatch.setattr(skew, "MAX_HOT", 4)
+    assert [r["g"] for r in skew.hot_groups(df, "g").collect()] == ["hot"]
+    rows = hot_rows()
+    got = skew.collect_parts(df, ["g"], "i", F.col("v"), 13, "vs", first={"start": "i"}, bucket=skew.ordinal_bucket("i", 8)).collect()
+    assert sum(len(r["vs"]) for r in got) == len(rows)
+    hot = sorted((r for r in got if r["g"] == "hot"), key=lambda r: r["part"])
+    assert [x for r in hot for x in r["vs"]] == [v for g, _, v in rows if g == "hot"]
+    assert {(r["n_parts"], r["start"]) for r in hot} == {(8, 0)}
