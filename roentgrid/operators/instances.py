@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
@@ -295,41 +295,46 @@ def pseudo_reports(labels: DataFrame, images: DataFrame, boxes: DataFrame, ordin
     """
     order = F.try_element_at(F.create_map(*[F.lit(x) for kv in CLASS_ORDER.items() for x in kv]), "class_name")
     local = text.is_localizable("class_name")
-    known = labels.distinct().where(text.class_phrase("class_name").isNotNull())
-    lists = collect_parts(boxes, ["image_id", "class_name"], ordinal, bx.format_box("box"), part_size, "found")
-    found = known.where(F.col("class_name") != "No finding").join(
-        lists.where(local).select(
-            "image_id", "class_name", F.col("part").alias("box_part"), F.array_join("found", " ").alias("found")
-        ),
-        ["image_id", "class_name"], "left",
+    none = F.col("class_name") == "No finding"
+    keys = ["image_id", "class_name"]
+    # One row per image and class, at most as many per image as there are classes: how
+    # many parts its boxes come in, and where they start in the report.
+    sizes = boxes.groupBy(*keys).agg(F.count("*").alias("n"))
+    known = labels.select(*keys).distinct().where(text.class_phrase("class_name").isNotNull()).join(sizes, keys, "left")
+    tier = F.when(none, 2).when(local, 0).otherwise(1)
+    box_parts = F.when(local & F.col("n").isNotNull(), F.ceil(F.col("n") / part_size)).otherwise(1)
+    known = known.select(*keys, tier.alias("tier"), order.alias("class_no"), box_parts.alias("box_parts"))
+    w = Window.partitionBy("image_id")
+    before = w.orderBy("tier", "class_no").rowsBetween(Window.unboundedPreceding, -1)
+    known = known.withColumns(
+        {
+            "start": F.coalesce(F.sum("box_parts").over(before), F.lit(0)),
+            "pieces": F.sum("box_parts").over(w),
+            "classes": F.count("*").over(w),
+        }
     )
-    first = F.coalesce("box_part", F.lit(0)) == 0
-    pieces = found.select(
+    phrase = F.when(
+        none, F.when(F.col("classes") > 1, "No other relevant findings are noted.").otherwise("No finding")
+    ).otherwise(text.class_phrase("class_name"))
+    known = known.select("*", phrase.alias("phrase"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("box_parts") - 1)).alias("part"))
+    lists = collect_parts(boxes, keys, ordinal, bx.format_box("box"), part_size, "found")
+    lists = lists.select(*keys, "part", F.array_join("found", " ").alias("found"))
+    pieces = known.join(lists, [*keys, "part"], "left").withColumn("place", F.col("start") + F.col("part"))
+    lead = F.when(F.col("part") > 0, "").when(F.col("place") > 0, F.concat(F.lit(". "), "phrase")).otherwise(F.col("phrase"))
+    tail = F.when((F.col("tier") == 0) & F.col("found").isNotNull(), F.concat(F.lit(" "), "found")).otherwise("")
+    # A report is one text unless some class has several parts of boxes; then every
+    # piece is a part. Either way a group below holds one piece per class at most.
+    split = F.col("pieces") > F.col("classes")
+    pieces = pieces.select(
         "image_id",
-        F.when(local, 0).otherwise(1).alias("tier"),
-        order.alias("class_no"),
-        F.coalesce("box_part", F.lit(0)).cast("bigint").alias("box_part"),
-        F.concat(
-            F.when(first, F.concat(F.lit(". "), text.class_phrase("class_name"))).otherwise(""),
-            F.when(F.col("found").isNotNull(), F.concat(F.lit(" "), "found")).otherwise(""),
-        ).alias("piece"),
+        F.when(split, F.col("place")).otherwise(0).cast("bigint").alias("part"),
+        F.when(split, F.col("pieces")).otherwise(1).cast("bigint").alias("n_parts"),
+        "place",
+        F.concat(lead, tail, F.when(F.col("place") == F.col("pieces") - 1, ".").otherwise("")).alias("piece"),
     )
-    flags = known.groupBy("image_id").agg(
-        F.max(F.col("class_name") == "No finding").alias("none"), F.max(F.col("class_name") != "No finding").alias("some")
-    )
-    closing = flags.where("none").select(
-        "image_id", F.lit(2).alias("tier"), F.lit(0).alias("class_no"), F.lit(0).cast("bigint").alias("box_part"),
-        F.when(F.col("some"), ". No other relevant findings are noted.").otherwise(". No finding").alias("piece"),
-    )
-    rows = pieces.unionByName(closing).withColumn("piece_no", F.struct("tier", "class_no", "box_part"))
-    # Pieces come in order of (tier, class, part of the boxes).
-    bucket = F.struct("tier", "class_no", F.floor(F.col("box_part") / 4096))
-    texts = collect_parts(rows, ["image_id"], "piece_no", F.col("piece"), part_size, "pieces", bucket=bucket)
-    last = F.col("part") == F.col("n_parts") - 1
-    body = F.array_join("pieces", "")
-    texts = texts.select(
-        "image_id", "part", "n_parts",
-        F.concat(F.when(F.col("part") == 0, F.substring(body, 3, 2147483647)).otherwise(body), F.when(last, ".").otherwise("")).alias("report"),
+    listed = F.array_sort(F.collect_list(F.struct("place", "piece")))
+    texts = pieces.groupBy("image_id", "part", "n_parts").agg(
+        F.array_join(F.transform(listed, lambda x: x["piece"]), "").alias("report")
     )
     return images.select("image_id").distinct().join(texts, "image_id", "left").select(
         "image_id", F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),

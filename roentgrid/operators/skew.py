@@ -78,7 +78,7 @@ def hot_groups(df: DataFrame, group: str, at_least: int = 1) -> DataFrame:
     There can be at most MAX_HOT of them, so the result is safe to broadcast.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
-    total = df.agg(F.count("*")).scalar()
+    total = sizes.agg(F.sum("__n")).scalar()
     return sizes.where((F.col("__n") > at_least) & (F.col("__n") * MAX_HOT > total)).select(group)
 
 
