@@ -44,74 +44,76 @@ def instances(df: DataFrame, dataset: str, task: str, subtask: str, key: list[st
 
 # -- studies ---------------------------------------------------------------------
 
-def study_views(split: DataFrame, reports: DataFrame, root: str, ordinal: str) -> DataFrame:
-    """One row per image of a study with a report: path, view kind and priority.
-
-    Studies whose report is empty are left out. ``kind`` is frontal, lateral or
-    null; ``priority`` is 0 for PA, 1 for AP.
-    """
-    info = joins.study_reports(reports, ordinal).where(F.col("full_report") != "")
-    path = text.image_path(F.lit(root), "part_id", F.col("s.subject_id"), "study_id", "dicom_id")
-    rows = split.alias("s").join(info.select("study_id", "part_id"), "study_id")
+def image_views(split: DataFrame) -> DataFrame:
+    """Images with their view ``kind`` (frontal, lateral or null) and frontal ``priority``
+    (0 for PA, 1 for AP)."""
     named_ap = F.col("procedure_text").contains("AP")
-    priority = F.when(F.col("view_position") == "PA", 0).when(
-        (F.col("view_position") == "AP") | named_ap, 1
-    )
-    lateral = F.col("view_position").isin("LATERAL", "LL")
-    return rows.select(
-        "study_id", "dicom_id", F.col("s." + ordinal).alias("ordinal"), path.alias("image_path"),
-        F.when(F.col("view_position").isin("PA", "AP"), "frontal")
-        .when(lateral, "lateral")
-        .when(named_ap, "frontal")
-        .alias("kind"),
-        priority.alias("priority"),
+    view = F.col("view_position")
+    return split.withColumns(
+        {
+            "kind": F.when(view.isin("PA", "AP"), "frontal")
+            .when(view.isin("LATERAL", "LL"), "lateral")
+            .when(named_ap, "frontal"),
+            "priority": F.when(view == "PA", 0).when((view == "AP") | named_ap, 1),
+        }
     )
 
 
+IMAGE = ("subject_id", "dicom_id")
+
+
+def _told(found: DataFrame, reports: DataFrame, ordinal: str) -> DataFrame:
+    """Add the study's non-empty report; studies without one are left out."""
+    info = joins.study_reports(reports, ordinal).where(F.col("full_report") != "")
+    return found.join(info.withColumnRenamed("subject_id", "report_subject_id"), "study_id")
+
+
+def _path(root: str, image):
+    path = text.image_path(F.lit(root), "part_id", image["subject_id"], "study_id", image["dicom_id"])
+    return F.when(image.isNotNull(), path)
+
+
 def studies(split: DataFrame, reports: DataFrame, root: str, ordinal: str, mode: str = "standard", seed: int = 0, bucket: Column | None = None) -> DataFrame:
     """One row per study with a non-empty report.
 
     standard: ``image_paths`` of all images, in parts. frontal_only: one
     ``image_path``, PA before AP, then source order. frontal_lateral: one of each
-    kind drawn by hash, with the number of images of the kind.
+    kind drawn by hash, with the number of images of the kind. Images are reduced to
+    their study before they meet the reports.
     """
-    views = study_views(split, reports, root, ordinal)
+    views = image_views(split)
+    image = F.struct(*IMAGE)
     if mode == "standard":
-        found = collect_parts(views, ["study_id"], "ordinal", F.col("image_path"), name="image_paths", bucket=bucket)
-    elif mode == "frontal_only":
-        frontal = views.where(F.col("priority").isNotNull())
-        best = F.min(F.struct("priority", "ordinal", "image_path"))
-        found = frontal.groupBy("study_id").agg(best.alias("b")).select("study_id", "b.image_path")
-    elif mode == "frontal_lateral":
-        order = hash_order(seed, "image_path")
+        found = _told(collect_parts(views, ["study_id"], ordinal, image, name="images", bucket=bucket), reports, ordinal)
+        return found.withColumn("image_paths", F.transform("images", lambda x: _path(root, x))).drop("images")
+    if mode == "frontal_only":
+        best = F.min(F.struct("priority", ordinal, *IMAGE)).alias("image")
+        found = _told(views.where(F.col("priority").isNotNull()).groupBy("study_id").agg(best), reports, ordinal)
+        return found.withColumn("image_path", _path(root, F.col("image"))).drop("image")
+    if mode == "frontal_lateral":
+        order = hash_order(seed, "dicom_id")
 
         def one(kind):
-            return F.min(F.when(F.col("kind") == kind, F.struct(order.alias("h"), "image_path")))
-
-        found = (
-            views.where(F.col("kind").isNotNull())
-            .groupBy("study_id")
-            .agg(
-                F.count_if(F.col("kind") == "frontal").alias("n_frontal"),
-                F.count_if(F.col("kind") == "lateral").alias("n_lateral"),
-                one("frontal").alias("f"),
-                one("lateral").alias("l"),
-            )
-            .select(
-                "study_id", "n_frontal", "n_lateral",
-                F.col("f.image_path").alias("frontal_path"), F.col("l.image_path").alias("lateral_path"),
-            )
+            return F.min(F.when(F.col("kind") == kind, F.struct(order.alias("h"), *IMAGE))).alias(kind)
+
+        known = views.where(F.col("kind").isNotNull())
+        found = known.groupBy("study_id").agg(
+            F.count_if(F.col("kind") == "frontal").alias("n_frontal"),
+            F.count_if(F.col("kind") == "lateral").alias("n_lateral"),
+            one("frontal"),
+            one("lateral"),
         )
-    else:
-        raise ValueError(f"unknown mode: {mode}")
-    info = joins.study_reports(reports, ordinal).where(F.col("full_report") != "")
-    return found.join(info, "study_id")
+        paths = {f"{k}_path": _path(root, F.col(k)) for k in ("frontal", "lateral")}
+        return _told(found, reports, ordinal).withColumns(paths).drop("frontal", "lateral")
+    raise ValueError(f"unknown mode: {mode}")
 
 
 def study_image_lists(split: DataFrame, reports: DataFrame, root: str, ordinal: str, bucket: Column | None = None) -> DataFrame:
     """Frontal and lateral image lists per study, in parts."""
-    views = study_views(split, reports, root, ordinal).where(F.col("kind").isNotNull())
-    return collect_parts(views, ["study_id", "kind"], "ordinal", F.col("image_path"), name="image_paths", bucket=bucket)
+    views = image_views(split).where(F.col("kind").isNotNull())
+    lists = collect_parts(views, ["study_id", "kind"], ordinal, F.struct(*IMAGE), name="images", bucket=bucket)
+    paths = F.transform("images", lambda x: _path(root, x))
+    return _told(lists, reports, ordinal).withColumn("image_paths", paths).drop("images")
 
 
 # -- location instances ------------------------------------------------------------

@@ -169,7 +169,7 @@ def rate_plan(requests: DataFrame, key: str, tokens: str, per_minute: int, token
     """
     rows = requests.withColumn("__h", hash_order(seed, key))
     rows = running_totals(
-        rows, [], ["__h", key], hash_bucket(F.col("__h")),
+        rows, [], ["__h", key], hash_bucket(F.col("__h")), few=True,
         cum_requests=F.lit(1).cast("bigint"), cum_tokens=F.col(tokens).cast("bigint"),
     )
     minute = F.greatest(

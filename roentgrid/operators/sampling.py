@@ -22,10 +22,14 @@ MAX_FAN_OUT = 1 << 16
 MAX_BROADCAST = 1 << 17
 
 
-def hash_rank(df: DataFrame, by: list[str], key: list[str], seed, name: str = "rank") -> DataFrame:
-    """Rank from 1 within ``by`` in hash order of the row key."""
+def hash_rank(df: DataFrame, by: list[str], key: list[str], seed, name: str = "rank", at_most=None, few: bool = False) -> DataFrame:
+    """Rank from 1 within ``by`` in hash order of the row key.
+
+    Without groups there are only as many buckets as hash prefixes, which is few.
+    """
     df = df.withColumn("__h", hash_order(seed, *key))
-    return group_rank(df, by, ["__h", *key], hash_bucket(F.col("__h")), name).drop("__h")
+    bucket = hash_bucket(F.col("__h"))
+    return group_rank(df, by, ["__h", *key], bucket, name, at_most, few or not by).drop("__h")
 
 
 def group_sizes(df: DataFrame, by: list[str]) -> DataFrame:
@@ -101,11 +105,15 @@ def take_quotas(df: DataFrame, by: list[str], key: list[str], quotas: DataFrame,
     q = quotas.where(F.col("quota") > 0).select(
         F.struct(*by).alias("__g"), F.col("size").alias("__size"), F.col("quota").alias("__quota")
     )
-    near = F.broadcast(q) if total is not None and total <= MAX_BROADCAST else q
+    # Every bucket up to a quota holds a row of the quota, so the buckets that matter
+    # number at most total plus one per group.
+    few = total is not None and 2 * total <= MAX_BROADCAST
+    near = F.broadcast(q) if few else q
     short = draws(q.where(F.col("__quota") > F.col("__size")), ["__g"], "__quota")
     pick = hash_int(hash_order(seed, F.lit("draw"), *[F.col("__g")[c] for c in by], "draw")) % F.col("__size") + 1
     picks = short.groupBy("__g", pick.alias("__rank")).agg(F.count("*").alias("__copies"))
-    ranked = hash_rank(df.withColumn("__g", F.struct(*by)), by, key, seed, "__rank")
+    limits = q.select(F.col("__g").alias("__rt_group"), F.col("__quota").alias("__limit"))
+    ranked = hash_rank(df.withColumn("__g", F.struct(*by)), by, key, seed, "__rank", limits, few)
     rows = ranked.join(near, "__g").where(F.col("__rank") <= F.col("__quota"))
     rows = rows.join(picks, ["__g", "__rank"], "left")
     copies = F.when(F.col("__quota") <= F.col("__size"), F.lit(1).cast("bigint")).otherwise(F.col("__copies"))
@@ -130,14 +138,14 @@ def waterfill(df: DataFrame, n: int, by: list[str], key: list[str], multiple_of:
 def random_subset(df: DataFrame, n: int, key: list[str], multiple_of: int = 1, seed=0) -> DataFrame:
     """n rows, rounded up to a multiple, without replacement; at most all rows."""
     size = _round_up(n, multiple_of)
-    return hash_rank(df, [], key, seed, "__rank").where(F.col("__rank") <= size).drop("__rank")
+    return hash_rank(df, [], key, seed, "__rank", size).where(F.col("__rank") <= size).drop("__rank")
 
 
 def epoch_sample(df: DataFrame, batches: int, batch_size: int, key: list[str], seed=0) -> DataFrame:
     """batches * batch_size rows: without replacement if there are enough, else i.i.d."""
     whole = df.withColumn("__all", F.lit(0))
     quotas = group_sizes(whole, ["__all"]).withColumn("quota", F.lit(batches * batch_size).cast("bigint"))
-    return take_quotas(whole, ["__all"], key, quotas, seed, 1).drop("__all")
+    return take_quotas(whole, ["__all"], key, quotas, seed, batches * batch_size).drop("__all")
 
 
 def shuffle(df: DataFrame, key: list[str], seed) -> DataFrame:
@@ -309,10 +317,11 @@ def nested_sequence(df: DataFrame, weights: dict, inner: dict[str, dict], outer_
 
 # -- evaluation samples --------------------------------------------------------------------
 
-def _by_tier(df: DataFrame, by: list[str], tier: str, key: list[str], seed, name: str) -> DataFrame:
+def _by_tier(df: DataFrame, by: list[str], tier: str, key: list[str], seed, name: str, n: int) -> DataFrame:
+    # Ranks up to n within at most two groups.
     df = df.withColumn("__h", hash_order(seed, *key))
     bucket = F.concat(F.col(tier).cast("string"), hash_bucket(F.col("__h")))
-    return group_rank(df, by, [tier, "__h", *key], bucket, name).drop("__h")
+    return group_rank(df, by, [tier, "__h", *key], bucket, name, n, 4 * n <= MAX_BROADCAST).drop("__h")
 
 
 def core_sample(df: DataFrame, n: int, key: list[str], seed=42, with_share: float = 0.70) -> DataFrame:
@@ -335,7 +344,7 @@ def core_sample(df: DataFrame, n: int, key: list[str], seed=42, with_share: floa
     # One row with and one without reports.
     ranked = ranked.join(F.broadcast(sizes.select("has_report", "take", "quota")), "has_report")
     ranked = ranked.withColumn("__tier", F.when(F.col("__in_stratum") <= F.col("quota"), 0).otherwise(1))
-    ranked = _by_tier(ranked, ["has_report"], "__tier", key, seed, "__rank")
+    ranked = _by_tier(ranked, ["has_report"], "__tier", key, seed, "__rank", n)
     chosen = ranked.where(F.col("__rank") <= F.col("take"))
     return chosen.select(*df.columns)
 
@@ -357,7 +366,7 @@ def location_core_sample(entries: DataFrame, location: str, n: int, key: list[st
     row = F.struct(*[c for c in entries.columns if c != image])
     other = other.groupBy(image).agg(F.min_by(row, F.struct(*key)).alias("r")).select(image, "r.*")
     pool = first.unionByName(rest).unionByName(other.withColumn("__tier", F.lit(2)))
-    ranked = _by_tier(pool, [], "__tier", key, seed, "__rank")
+    ranked = _by_tier(pool, [], "__tier", key, seed, "__rank", n)
     return ranked.where(F.col("__rank") <= n).withColumnRenamed("__tier", "tier").select(*entries.columns, "tier")
 
 
@@ -369,7 +378,7 @@ def extend_sample(core: DataFrame, entries: DataFrame, done: DataFrame, n: int,
     if core_only:
         return left
     pool = sampling_pool(entries, core, done, key).select(*core.columns).withColumn("tier", F.lit(1))
-    ranked = _by_tier(left.unionByName(pool), [], "tier", key, seed, "__rank")
+    ranked = _by_tier(left.unionByName(pool), [], "tier", key, seed, "__rank", n)
     return ranked.where(F.col("__rank") <= n).drop("__rank")
 
 

@@ -45,11 +45,16 @@ def ordinal_bucket(col, rows: int = BUCKET_ROWS) -> Column:
     return F.floor(c / rows).cast("bigint")
 
 
-def running_totals(df: DataFrame, by: list[str], order: list, bucket: Column, **values: Column) -> DataFrame:
+def running_totals(
+    df: DataFrame, by: list[str], order: list, bucket: Column, at_most: int | DataFrame | None = None, few: bool = False, **values: Column
+) -> DataFrame:
     """Add inclusive running sums within ``by`` along ``order``.
 
     ``bucket`` must never decrease along ``order``; together with ``by`` it bounds
-    the rows a single window task sees.
+    the rows a single window task sees. ``at_most`` (a number, or a table of group
+    struct ``__rt_group`` and ``__limit``) drops the buckets in front of which the
+    first sum has reached the limit already: their rows are never shuffled. ``few``
+    states that the buckets left are few enough to broadcast.
     """
     # A struct key lets null group values match each other in a plain equi-join, so
     # the join and the window below share one partitioning.
@@ -61,15 +66,25 @@ def running_totals(df: DataFrame, by: list[str], order: list, bucket: Column, **
     offsets = totals.select(
         *keys, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in values]
     )
+    first = F.col(f"__o_{next(iter(values))}")
+    if isinstance(at_most, int):
+        offsets = offsets.where(first < at_most)
+    elif at_most is not None:
+        limits = F.broadcast(at_most) if few else at_most
+        offsets = offsets.join(limits, "__rt_group").where(first < F.col("__limit")).drop("__limit")
+    if few:
+        offsets = F.broadcast(offsets)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = base.join(offsets, keys)
     out = out.withColumns({n: F.sum(f"__v_{n}").over(inside) + F.col(f"__o_{n}") for n in values})
     return out.drop(*keys, *[f"__v_{n}" for n in values], *[f"__o_{n}" for n in values])
 
 
-def group_rank(df: DataFrame, by: list[str], order: list, bucket: Column, name: str = "rank") -> DataFrame:
-    """Row number from 1 within ``by`` along ``order``."""
-    return running_totals(df, by, order, bucket, **{name: F.lit(1).cast("bigint")})
+def group_rank(
+    df: DataFrame, by: list[str], order: list, bucket: Column, name: str = "rank", at_most: int | DataFrame | None = None, few: bool = False
+) -> DataFrame:
+    """Row number from 1 within ``by`` along ``order``; rows far beyond ``at_most`` may be dropped."""
+    return running_totals(df, by, order, bucket, at_most, few, **{name: F.lit(1).cast("bigint")})
 
 
 def hot_groups(df: DataFrame, group: str, at_least: int = 1) -> DataFrame:

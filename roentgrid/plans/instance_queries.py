@@ -45,8 +45,8 @@ def e2(d: Data):
 @query(
     "e3_frontal_lateral",
     f"""select study_id, count(case when kind = 'frontal' then 1 end) as n_frontal, count(case when kind = 'lateral' then 1 end) as n_lateral,
-        arg_min(case when kind = 'frontal' then image_path end, case when kind = 'frontal' then md5('7|' || image_path) end) as frontal_path,
-        arg_min(case when kind = 'lateral' then image_path end, case when kind = 'lateral' then md5('7|' || image_path) end) as lateral_path,
+        arg_min(case when kind = 'frontal' then image_path end, case when kind = 'frontal' then md5('7|' || dicom_id) end) as frontal_path,
+        arg_min(case when kind = 'lateral' then image_path end, case when kind = 'lateral' then md5('7|' || dicom_id) end) as lateral_path,
         string_agg(case when kind = 'frontal' then image_path end, ' ' order by ordinal) as frontal_paths
         from {IMAGES} a where kind is not null group by 1""",
 )
