@@ -394,9 +394,11 @@ def h4(d: Data):
 def scored(d: Data):
     """Generated texts with their box and word scores."""
     rows = grounding_scores(d.view("v_grounded_text"))
-    texts = rows.select(F.col("example_id").alias("pair_id"), F.col("clean_pred").alias("hyp"), F.col("clean_gt").alias("ref"))
-    words = overlap.rouge_n(texts, (1,)).withColumnsRenamed({"pair_id": "example_id", "rouge_1": "text_score"})
-    return rows.select("example_id", "dataset", "category", "bbox_iou").join(words, "example_id")
+    # The box score travels inside the pair key, which saves scoring the rows a second
+    # time for a join.
+    pair = F.struct("example_id", "dataset", "category", "bbox_iou").alias("pair_id")
+    texts = rows.select(pair, F.col("clean_pred").alias("hyp"), F.col("clean_gt").alias("ref"))
+    return overlap.rouge_n(texts, (1,)).select("pair_id.*", F.col("rouge_1").alias("text_score"))
 
 
 _TOK = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
