@@ -202,7 +202,7 @@ def i12(d: Data):
     f"""with s as (select doc_id, generate_subscripts(s, 1) - 1 as no, unnest(s) as s from (select doc_id, {d_sentences('text')} as s from documents) a where len(s) > 0),
         f as (select doc_id, no, unnest(case when length(s) % 3 = 0 then [0, 1] else [0] end) as fno, s from s where length(s) % 3 = 0 or regexp_matches(s, '\\p{{L}}')),
         g as (select doc_id, no, fno, case when length(s) % 3 <> 0 then s when fno = 0 then 'size ' || (length(s) % 20)::varchar else 'start ' || substr(s, 1, 2) end as fact from f)
-        select doc_id, no as sentence_no, fno as fact_no, md5(fact) as digest from (select *, row_number() over (partition by doc_id, fact order by no, fno) as rn from g) z where rn = 1""",
+        select doc_id, no::int as sentence_no, fno as fact_no, md5(fact) as digest from (select *, row_number() over (partition by doc_id, fact order by no, fno) as rn from g) z where rn = 1""",
 )
 def i10(d: Data):
     rows = d.table("documents").select(F.col("doc_id").alias("report_id"), F.posexplode(text.sentences("text")).alias("sentence_no", "sentence"))

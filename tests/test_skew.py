@@ -74,3 +74,14 @@ def test_hot_groups(spark, monkeypatch):
     hot = sorted((r for r in got if r["g"] == "hot"), key=lambda r: r["part"])
     assert [x for r in hot for x in r["vs"]] == [v for g, _, v in rows if g == "hot"]
     assert {(r["n_parts"], r["start"]) for r in hot} == {(8, 0)}
+
+
+def test_rank_limits_keep_every_row_up_to_the_limit(spark):
+    df = spark.createDataFrame(hot_rows(), "g string, i bigint, v bigint").withColumn("h", hash_order(1, "i"))
+    bucket = hash_bucket(F.col("h"), 1)
+    full = {r["i"]: r["rank"] for r in skew.group_rank(df, ["g"], ["h"], bucket).collect()}
+    limits = spark.createDataFrame([(("hot",), 9), ((None,), 2)], "__rt_group struct<g: string>, __limit int")
+    for at_most, want in ((5, lambda g: 5), (limits, lambda g: {"hot": 9, None: 2}.get(g, 0))):
+        got = {r["i"]: r["rank"] for r in skew.group_rank(df, ["g"], ["h"], bucket, "rank", at_most, True).collect()}
+        assert all(full[i] == rank for i, rank in got.items())
+        assert {i for g, i, _ in hot_rows() if full[i] <= want(g)} <= set(got) and len(got) < len(full)
