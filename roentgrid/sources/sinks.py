@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,16 +12,27 @@ from ..functions.text import safe_name
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables under the session's shared checkpoint folder.
+    """A new folder for intermediate tables under a folder that all executors share.
 
-    Only where the session names none, as in tests, a temporary folder is used.
+    That is the session's ``spark.checkpoint.dir`` or, where none is named, its warehouse.
+    On a cluster one of the two must be set.
     """
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    conf = spark.sparkContext.getConf()
+    root = spark.conf.get("spark.checkpoint.dir", "") or conf.get("spark.checkpoint.dir", "")
     if not root:
-        root = tempfile.mkdtemp(prefix="roentgrid-")
+        if not spark.sparkContext.master.startswith("local") and not conf.contains("spark.sql.warehouse.dir"):
+            raise ValueError("set spark.checkpoint.dir or spark.sql.warehouse.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table and read it back: later steps neither recompute it nor lose it with an executor."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
     """One JSON object per line, null fields kept, text written as UTF-8."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)

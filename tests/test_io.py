@@ -129,3 +129,23 @@ def test_watermarked_scores(spark, tmp_path):
     stream = streams.stream_scores(streams.stream_log(spark, log, schema), ["id"], "ts", "1 hour")
     streams.append_to(stream, out).awaitTermination()
     assert spark.read.parquet(out + "/data").count() == 2
+
+
+def test_work_folder_needs_a_shared_folder():
+    import pytest
+
+    from roentgrid.sources.sinks import work_folder
+
+    class Conf(dict):
+        def contains(self, key):
+            return key in self
+
+    class Session:
+        def __init__(self, master, **conf):
+            self.conf = {"spark.sql.warehouse.dir": "file:/here/spark-warehouse"}
+            self.sparkContext = type("Context", (), {"master": master, "getConf": lambda _: Conf(conf)})()
+
+    with pytest.raises(ValueError):
+        work_folder(Session("spark://host:7077"), "x")
+    assert work_folder(Session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://a/b"}), "x").startswith("hdfs://a/b/x-")
+    assert work_folder(Session("local[2]"), "x").startswith("file:/here/spark-warehouse/x-")
