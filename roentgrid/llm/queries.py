@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, packing
+from . import bestfit, packing, phrases, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,16 @@ def query(name: str):
     return wrap
 
 
+@query("op5_phrase_index")
+def op5(spark, folder):
+    return phrases.report(phrases.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+@query("op6_bk_tree")
+def op6(spark, folder):
+    return simhash.components(simhash.fingerprints(table(spark, folder, "documents"))).select("doc_id", "fingerprint", "component_id")
+
+
 @query("op9_concat_and_cut")
 def op9(spark, folder):
     return packing.piece_digests(packing.concat_and_cut(table(spark, folder, "documents")))
