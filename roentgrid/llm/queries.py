@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, packing, phrases, simhash
+from . import bestfit, multi_index, packing, phrases, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,12 @@ def query(name: str):
     return wrap
 
 
+@query("op4_multi_index")
+def op4(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return multi_index.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @query("op5_phrase_index")
 def op5(spark, folder):
     return phrases.report(phrases.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
