@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, multi_index, packing, phrases, simhash
+from . import bestfit, multi_index, packing, phrases, pu_quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,12 @@ def query(name: str):
     return wrap
 
 
+@query("op2_lexicon_automata")
+def op2(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+
+
 @query("op4_multi_index")
 def op4(spark, folder):
     vectors = table(spark, folder, "embeddings")
@@ -40,6 +46,12 @@ def op6(spark, folder):
     return simhash.components(simhash.fingerprints(table(spark, folder, "documents"))).select("doc_id", "fingerprint", "component_id")
 
 
+@query("op8_pu_quality")
+def op8(spark, folder):
+    docs = table(spark, folder, "documents")
+    return pu_quality.score(docs, pu_quality.learn(docs, table(spark, folder, "labels")))
+
+
 @query("op9_concat_and_cut")
 def op9(spark, folder):
     return packing.piece_digests(packing.concat_and_cut(table(spark, folder, "documents")))
