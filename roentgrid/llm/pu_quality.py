@@ -21,7 +21,7 @@ from .phrases import hashed_words
 POSITIVES = 8_000
 UNLABELLED = 16_000
 FOLDS, HELD_OUT = 3, 1
-HIDDEN, ROUNDS, RATE = 16, 600, 0.01
+HIDDEN, ROUNDS, RATE = 16, 300, 0.01
 CHUNK_BYTES = 1 << 21
 
 _KIND = np.full(256, 7, np.uint8)
@@ -32,7 +32,7 @@ KINDS = 8
 _MARK = np.full(256, 32, np.uint8)
 _MARKS = [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]
 _MARK[_MARKS] = np.arange(len(_MARKS))
-FEATURES = KINDS + len(_MARKS) + KINDS * KINDS + 7
+FEATURES = KINDS + len(_MARKS) + KINDS * KINDS + 10
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -83,6 +83,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     # Distinct words against what a text of this length has.
     out[:, at + 5] = np.log1p(distinct) / np.log1p(np.maximum(words, 1))
     out[:, at + 6] = np.log1p(size) / 10
+    # Words that repeat the last one or the one before, and distinct pairs of words.
+    for lag in (1, 2):
+        again = (hashes[lag:] == hashes[:-lag]) & (owner[lag:] == owner[:-lag])
+        out[:, at + 6 + lag] = np.sqrt(np.bincount(owner[lag:][again], minlength=n) / np.maximum(words, 1))
+    both, o = hashes[1:] * np.uint64(3) + hashes[:-1], owner[1:]
+    both, o = both[o == owner[:-1]], o[o == owner[:-1]]
+    order = np.lexsort((both, o))
+    both, o = both[order], o[order]
+    new = np.r_[True, (both[1:] != both[:-1]) | (o[1:] != o[:-1])] if len(both) else np.zeros(0, bool)
+    out[:, at + 9] = np.bincount(o[new], minlength=n) / np.maximum(words - 1, 1)
     return out
 
 
@@ -108,12 +118,16 @@ class Network:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 5) -> Network:
-    """Minimise the non-negative risk of the logistic loss by Adam over the whole sample."""
+    """Minimise the non-negative risk of the sigmoid loss by Adam over the whole sample.
+
+    The loss is bounded, so an error in the prior moves no more documents than its size.
+    """
     both = np.concatenate([positive, unlabelled])
     mean, spread = both.mean(0), both.std(0) + 1e-3
     p, u = (np.clip((x - mean) / spread, -8, 8) for x in (positive, unlabelled))
     rng = np.random.default_rng(seed)
     weights = [rng.normal(0, 1 / np.sqrt(FEATURES), (FEATURES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(())]
+    weights = [w.astype(np.float32) for w in weights]
     first, second = [np.zeros_like(x) for x in weights], [np.zeros_like(x) for x in weights]
 
     def back(x, slope):
@@ -125,19 +139,18 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     def logits(x):
         return np.tanh(x @ weights[0] + weights[1]) @ weights[2] + weights[3]
 
-    for step in range(1, ROUNDS + 1):
-        gp, gu = logits(p), logits(u)
-        sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        if negative >= 0:
-            grads = [a + b for a, b in zip(back(p, prior * ((sp - 1) - sp) / len(p)), back(u, su / len(u)), strict=True)]
-        else:  # the estimate is below what a risk can be: step back on it alone
-            grads = [-a - b for a, b in zip(back(p, -prior * sp / len(p)), back(u, su / len(u)), strict=True)]
+    for step in range(1, ROUNDS + 1):  # the prior is a plain number, so all stays in single precision
+        sp, su = 1 / (1 + np.exp(-logits(p))), 1 / (1 + np.exp(-logits(u)))
+        # Risk of the unlabelled as bad, less what its good share adds: never below 0.
+        if su.mean() >= prior * sp.mean():
+            grads = [a + b for a, b in zip(back(p, -2 * prior * sp * (1 - sp) / len(p)), back(u, su * (1 - su) / len(u)), strict=True)]
+        else:
+            grads = back(p, -prior * sp * (1 - sp) / len(p))
         for k, g in enumerate(grads):
             g = g + 1e-4 * weights[k]
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
-            weights[k] = weights[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            weights[k] = weights[k] - np.float32(RATE) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return Network(mean.astype(np.float32), spread.astype(np.float32), [w.astype(np.float32) for w in weights])
 
 
@@ -172,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
     unlabelled = _feature_rows(sampled(docs, docs, UNLABELLED), UNLABELLED)
     if not len(positive) or not len(unlabelled):
         return None
-    return fit(positive.astype(float), unlabelled.astype(float), min(max(good / total, 0.01), 0.99))
+    return fit(positive, unlabelled, min(max(good / total, 0.01), 0.99))
 
 
 def _scores(model: Network | None, column: pa.Array) -> np.ndarray:
