@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, multi_index, packing, phrases, pu_quality, simhash, toxicity
+from . import bestfit, multi_index, packing, phrases, pii, pu_quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,11 @@ def query(name: str):
     return wrap
 
 
+@query("op1_context_patterns")
+def op1(spark, folder):
+    return pii.report(pii.detect(table(spark, folder, "documents")))
+
+
 @query("op2_lexicon_automata")
 def op2(spark, folder):
     docs = table(spark, folder, "documents")
