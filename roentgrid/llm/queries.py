@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, multi_index, packing, phrases, pii, pu_quality, simhash, toxicity
+from . import bestfit, license_scan, multi_index, packing, phrases, pii, pu_quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,12 @@ def op6(spark, folder):
     return simhash.components(simhash.fingerprints(table(spark, folder, "documents"))).select("doc_id", "fingerprint", "component_id")
 
 
+@query("op7_notice_classifier")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents")
+    return license_scan.licenses(docs, license_scan.learn(docs))
+
+
 @query("op8_pu_quality")
 def op8(spark, folder):
     docs = table(spark, folder, "documents")
