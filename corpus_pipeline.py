@@ -8,6 +8,7 @@ document in a sequence.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roentgrid.llm import common, packing, phrases, pii, pu_quality, simhash
 from roentgrid.sources.sinks import stored
@@ -31,8 +32,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts masked."""
-    return pii.redacted(docs)
+    """All documents, with personal data in their texts masked; n_chars is that of the new text."""
+    return pii.redacted(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

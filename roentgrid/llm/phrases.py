@@ -11,6 +11,8 @@ Terms are 64-bit hashes of words, so a false match would take ten collisions in
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,11 +37,26 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)[_LOWER]
 
 
-def hashed_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in ``data`` and their byte positions; no word spans a text start."""
+@lru_cache(maxsize=4)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.r_[np.uint64(1), np.cumprod(np.full(n - 1, base))]
+
+
+def powers_of(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; kept for the lengths of usual chunks."""
+    if n > SHARD_BYTES:
+        return np.r_[np.uint64(1), np.cumprod(np.full(n - 1, base))]
+    return _powers(base, 1 << max(1, (n - 1).bit_length()))[:n]
+
+
+def hashed_words(data: np.ndarray, starts: np.ndarray, of_word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in ``data``, their first bytes and their ends; no word spans a text start.
+
+    ``of_word`` marks the byte values that words consist of; A-Z and a-z count as the same.
+    """
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    inside = _WORD[data]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = of_word[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[starts] = True
     opens, closes = inside.copy(), inside.copy()
@@ -47,17 +64,13 @@ def hashed_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     closes[:-1] &= ~inside[1:] | cut[1:-1]
     begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     # A polynomial hash by differences of prefix sums, all modulo 2 ** 64.
-    powers = np.cumprod(np.full(len(data), _BASE))
-    powers *= _CODES[data]
-    sums = np.cumsum(powers)
+    sums = powers_of(_BASE, len(data)) * _CODES[data]
+    np.cumsum(sums, out=sums)
     before = np.where(begin > 0, sums[begin - 1], np.uint64(0))
     hashes = sums[end - 1] - before
-    del powers, sums
-    # Divide by BASE ** begin.
-    steps = np.cumprod(np.full(len(data), _INVERSE))[begin]
-    hashes *= steps
+    hashes *= powers_of(_INVERSE, len(data))[begin]
     hashes ^= hashes >> np.uint64(29)
-    return hashes, begin
+    return hashes, begin, end
 
 
 def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -73,7 +86,7 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             for i, j in batches_of(offsets, shard_bytes):
                 low = offsets[i]
                 starts = offsets[i : j + 1] - low
-                hashes, begin = hashed_words(data[low : offsets[j]], starts)
+                hashes, begin, _ = hashed_words(data[low : offsets[j]], starts)
                 order = np.argsort(hashes, kind="stable").astype(np.uint32)
                 hashes = hashes[order]
                 heads = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
@@ -120,7 +133,7 @@ def blocks_of(benchmark: DataFrame, words: int = WORDS, block_words: int = BLOCK
     items, size = [], 0
     for row in benchmark.select("item_id", whole_text().alias("text")).toLocalIterator():
         data = np.frombuffer(row["text"].encode(), np.uint8)
-        hashes, _ = hashed_words(data, np.array([0]))
+        hashes, _, _ = hashed_words(data, np.array([0]))
         if len(hashes):
             items.append((row["item_id"], hashes))
             size += len(hashes)

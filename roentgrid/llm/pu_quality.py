@@ -55,7 +55,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     pairs = np.bincount(pair[same], minlength=n * KINDS * KINDS).reshape(n, -1)
     out[:, at : at + KINDS * KINDS] = np.sqrt(pairs * per)
     at += KINDS * KINDS
-    hashes, begin = hashed_words(data, offsets)
+    hashes, begin, _ = hashed_words(data, offsets)
     owner = row[begin]
     words = np.bincount(owner, minlength=n)
     order = np.lexsort((hashes, owner))
@@ -155,20 +155,20 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
 
 
 def sampled(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """Rows of ``docs`` whose id is among the ``most`` first of ``ids`` in hash order."""
+    """(doc_id, text) of the ``most`` first of ``ids`` in hash order that are in ``docs``; one text where an id repeats."""
     chosen = ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most ``most`` ids
+    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most ``most`` ids
+    return rows.groupBy("doc_id").agg(F.min(whole_text()).alias("text"))
 
 
-def _feature_rows(docs: DataFrame, most: int) -> np.ndarray:
+def _feature_rows(docs: DataFrame) -> np.ndarray:
     def run(batches):
         for batch in batches:
             rows = [x.tobytes() for x in batch_features(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["x"])
 
-    # Ids may repeat: at most ``most`` rows.
-    found = docs.select(whole_text().alias("text")).mapInArrow(run, "x binary").orderBy("x").limit(most).collect()
-    return np.frombuffer(b"".join(r["x"] for r in found), np.float32).reshape(-1, FEATURES)
+    found = docs.select("text").mapInArrow(run, "x binary").collect()
+    return np.frombuffer(b"".join(sorted(r["x"] for r in found)), np.float32).reshape(-1, FEATURES)
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Network | None:
@@ -181,8 +181,8 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
     good, total = rows.agg(F.sum(F.col("q").cast("long")), F.count("*")).first()
     if not good:
         return None
-    positive = _feature_rows(sampled(docs, rows.where("q = 1"), POSITIVES), POSITIVES)
-    unlabelled = _feature_rows(sampled(docs, docs, UNLABELLED), UNLABELLED)
+    positive = _feature_rows(sampled(docs, rows.where("q = 1"), POSITIVES))
+    unlabelled = _feature_rows(sampled(docs, docs, UNLABELLED))
     if not len(positive) or not len(unlabelled):
         return None
     return fit(positive, unlabelled, min(max(good / total, 0.01), 0.99))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, license_scan, multi_index, packing, phrases, pii, pu_quality, simhash, toxicity
+from . import bestfit, license_scan, mixing, multi_index, packing, phrases, pii, pu_quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def op2(spark, folder):
     return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
 
 
+@query("op3_context_mixing")
+def op3(spark, folder):
+    return mixing.score(table(spark, folder, "documents"))
+
+
 @query("op4_multi_index")
 def op4(spark, folder):
     vectors = table(spark, folder, "embeddings")

@@ -225,9 +225,8 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
     known = {r["t"]: r["count"] for r in rows.groupBy("t").count().collect()}
     if not known.get(1) or not known.get(0):
         return None
-    text = docs.select("doc_id", "text")
-    parts = [sampled(text, rows.where(F.col("t") == t), most).select(F.lit(t).alias("toxic"), "text") for t, most in ((1, TOXIC), (0, CLEAN))]
-    sample = parts[0].unionByName(parts[1]).limit(2 * (TOXIC + CLEAN))
+    parts = [sampled(docs, rows.where(F.col("t") == t), most).select(F.lit(t).alias("toxic"), "text") for t, most in ((1, TOXIC), (0, CLEAN))]
+    sample = parts[0].unionByName(parts[1])
     numbers = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(numbers) < 2:
         return None
