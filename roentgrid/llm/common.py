@@ -49,6 +49,11 @@ def batches_of(offsets: np.ndarray, most: int):
         i = min(j, n)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(__row, __key): rows as one struct next to their keys, whatever their columns are called."""
+    return docs.select(F.struct(*docs.columns).alias("__row"), row_key().alias("__key"))
+
+
 def keep(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
     """Rows of ``docs`` whose key is (left_semi) or is not (left_anti) in ``decided`` (column __key)."""
-    return docs.withColumn("__key", row_key()).join(decided.select("__key"), "__key", how).select(*docs.columns)
+    return keyed(docs).join(decided.select("__key"), "__key", how).select("__row.*")

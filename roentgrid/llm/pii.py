@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import stored
-from .common import row_key, whole_text
+from .common import keyed, row_key, whole_text
 
 KINDS = ["email", "ip", "card", "phone"]
 # The forms of the four kinds. A run of characters is tried from its start only, or from the
@@ -56,21 +56,29 @@ def located(text: Column, form: str) -> Column:
     ``before`` and ``after`` are the ends of the texts between matches next to it. Offsets
     are running sums of lengths, taken in blocks so that the work stays near linear.
     """
-    values = F.regexp_extract_all(text, F.lit(form), F.lit(0))
-    gaps = F.split(text, form, -1)
-    parts = F.transform(
-        values,
-        lambda v, i: F.struct(
-            F.length(gaps[i]).alias("gap"), F.length(v).alias("size"), v.alias("value"),
-            F.right(gaps[i], F.lit(CONTEXT)).alias("before"), F.left(gaps[i + 1], F.lit(CONTEXT)).alias("after"),
-        ),
-    )
-    return F.when(F.size(values) > 0, _running(parts)).otherwise(F.array().cast(SPANS))
+    found = F.struct(F.regexp_extract_all(text, F.lit(form), F.lit(0)).alias("values"), F.split(text, form, -1).alias("gaps"))
+
+    def parts(m):
+        return F.transform(
+            m["values"],
+            lambda v, i: F.struct(
+                F.length(m["gaps"][i]).alias("gap"), F.length(v).alias("size"), v.alias("value"),
+                F.right(m["gaps"][i], F.lit(CONTEXT)).alias("before"), F.left(m["gaps"][i + 1], F.lit(CONTEXT)).alias("after"),
+            ),
+        )
+
+    none = F.array().cast(SPANS)
+    return once(found, lambda m: F.when(F.size(m["values"]) > 0, once(parts(m), _running)).otherwise(none))
 
 
 SPANS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often a lambda inside refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _running(parts: Column) -> Column:
     blocks = F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(BLOCK)), lambda at: F.slice(parts, at + 1, F.lit(BLOCK)))
 
@@ -82,7 +90,7 @@ def _running(parts: Column) -> Column:
 
     def block(state, xs):
         inner = F.aggregate(xs, F.struct(state["at"].alias("at"), F.array().cast(SPANS).alias("out")), place)
-        return F.struct(inner["at"].alias("at"), F.concat(state["out"], F.array(inner["out"])).alias("out"))
+        return once(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(state["out"], F.array(r["out"])).alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
     return F.flatten(F.aggregate(blocks, start, block, lambda s: s["out"]))
@@ -248,6 +256,6 @@ def masked(text: Column, spans: Column) -> Column:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with all spans masked in their texts; other columns and texts without spans are kept as they are."""
     hits = detect(docs).where(F.size("spans") > 0).select("__key", "spans").dropDuplicates(["__key"])
-    joined = docs.withColumn("__key", row_key()).join(hits.withColumnRenamed("spans", "__spans"), "__key", "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__spans")))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    joined = keyed(docs).join(hits, "__key", "left")
+    text = F.when(F.col("spans").isNull(), F.col("__row.text")).otherwise(masked(F.col("__row.text"), F.col("spans")))
+    return joined.select(*[text.alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])

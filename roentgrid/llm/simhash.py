@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import stored
-from .common import row_key, whole_text
+from .common import keyed, row_key, whole_text
 
 WORDS = 3
 RADIUS = 2
@@ -239,5 +239,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     chosen = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("__fp")).agg(F.min(first).alias("f"))
     chosen = chosen.select(F.struct(F.col("f.id").alias("id"), F.col("f.h").alias("h")).alias("__key"))
     # Rows that are alike in key are copies: one of them.
-    kept = docs.withColumn("__key", row_key()).join(chosen, "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+    return keyed(docs).join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).select("__row.*")
