@@ -78,7 +78,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, at] = words * per[:, 0]
     out[:, at + 1] = distinct / np.maximum(words, 1)
     out[:, at + 2] = np.log1p(words) / 10
-    out[:, at + 3] = 1 - own_lines / np.maximum(lines, 1)
+    out[:, at + 3] = (lines - own_lines) / np.maximum(lines, 1)
     out[:, at + 4] = np.log1p(lines) / 10
     # Distinct words against what a text of this length has.
     out[:, at + 5] = np.log1p(distinct) / np.log1p(np.maximum(words, 1))
