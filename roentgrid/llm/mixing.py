@@ -148,7 +148,7 @@ def _spelled(data, begin, end):
     size = end - begin + 1
     last = np.cumsum(size) - 1
     at = _ranges(begin, size)
-    text = _LOWER[data[np.minimum(at, len(data) - 1)]]
+    text = _LOWER[np.append(data, np.uint8(32))[at]]
     text[last] = 32
     heads = last - size + 1
     word = np.repeat(np.arange(len(size)), size)
