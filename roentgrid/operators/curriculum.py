@@ -70,7 +70,7 @@ def apply_weights(instances: DataFrame, dataset_w: dict | None, category_w: dict
     if len(groups) > sampling.MAX_CLASSES:
         raise ValueError("too many categories")
     names: dict[str, list] = {}
-    for r in sorted(groups, key=lambda r: (r[0], r[1])):
+    for r in sorted(groups, key=lambda r: (str(r[0] or ""), r[1] is not None, str(r[1]))):
         names.setdefault(r[0], []).append(r[1])
     outer = {d: (dataset_w or {}).get(d, 1.0) if dataset_w else 1.0 for d in names}
     inner = {d: {c: ((category_w or {}).get(d) or {}).get(c, 1.0) for c in cats} for d, cats in names.items()}
@@ -96,9 +96,12 @@ def curriculum_weights(scored: DataFrame, metric_weights: dict[str, float], step
 
 
 def curriculum_step(scored: DataFrame, metric_weights: dict[str, float], step: int, every: int, path: str) -> DataFrame | None:
-    """Append this evaluation's weights to the history; return them when due for use."""
+    """Store this evaluation's weights in the history; return them when due for use.
+
+    A step that is run again replaces its weights.
+    """
     weights = curriculum_weights(scored, metric_weights, step)
-    weights.write.mode("append").partitionBy("global_step").parquet(path)
+    weights.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("global_step").parquet(path)
     if step % every:
         return None
     return scored.sparkSession.read.parquet(path).where(F.col("global_step") == step)

@@ -64,7 +64,7 @@ IMAGE = ("subject_id", "dicom_id")
 
 def _told(found: DataFrame, reports: DataFrame, ordinal: str) -> DataFrame:
     """Add the study's non-empty report; studies without one are left out."""
-    info = joins.study_reports(reports, ordinal).where(F.col("full_report") != "")
+    info = joins.study_reports(reports, ordinal, told=True)
     return found.join(info.withColumnRenamed("subject_id", "report_subject_id"), "study_id")
 
 
@@ -185,7 +185,7 @@ def phrase_instances_ms(df: DataFrame, fmt: str = "xyxy", ordinal: str = "ordina
 
     rows = grouped.withColumns({"boxes": F.transform("raw", convert), "phrase": F.col("label_text")})
     return instances(
-        rows, "phrase_ms", "phrase_grounding", "phrase", ["dicom_id", "phrase"],
+        rows, "phrase_ms", "phrase_grounding", "phrase", ["split", "dicom_id", "phrase", "part"],
         split="split", image_key="dicom_id", category="category", part="part", n_parts="n_parts",
         **_phrase_columns("boxes"),
     )
@@ -266,7 +266,7 @@ def phrase_instances_vd(boxes: DataFrame, ordinal: str = "ordinal", fmt: str = "
         ["split", "image_id", "class_name"], ordinal, box, part_size, "boxes",
     ).withColumn("phrase", text.class_phrase("class_name"))
     return instances(
-        rows, "phrase_vd", "phrase_grounding", "phrase", ["image_id", "class_name"],
+        rows, "phrase_vd", "phrase_grounding", "phrase", ["split", "image_id", "class_name", "part"],
         split="split", image_key="image_id", part="part", n_parts="n_parts", **_phrase_columns("boxes"),
     )
 

@@ -39,8 +39,11 @@ def output_split(col="split") -> Column:
     return F.when(c.isin("validation", "validate"), "val").otherwise(c)
 
 
-def study_reports(reports: DataFrame, ordinal: str) -> DataFrame:
-    """(study_id, part_id, subject_id, full_report), the last report of a study winning."""
+def study_reports(reports: DataFrame, ordinal: str, told: bool = False) -> DataFrame:
+    """(study_id, part_id, subject_id, full_report), the last report of a study winning.
+
+    ``told`` leaves empty reports out first, so that they do not hide an earlier one.
+    """
     parts = text.path_parts("path")
     rows = reports.select(
         parts["study_id"].alias("study_id"),
@@ -49,6 +52,8 @@ def study_reports(reports: DataFrame, ordinal: str) -> DataFrame:
         text.full_report("findings", "impression").alias("full_report"),
         ordinal,
     ).where(F.col("study_id").isNotNull())
+    if told:
+        rows = rows.where(F.col("full_report") != "")
     return last_per_key(rows, ["study_id"], ordinal).drop(ordinal)
 
 
@@ -98,12 +103,13 @@ def mini_report_query(report, location, clean: bool = True) -> Column:
     return F.concat(F.lit('Report: "'), body, F.lit('" | Location: "'), location, F.lit('"'))
 
 
-def build_eval_set(docs: DataFrame, locations: DataFrame, responses: DataFrame, flags: DataFrame) -> DataFrame:
+def build_eval_set(docs: DataFrame, locations: DataFrame, responses: DataFrame, flags: DataFrame, ordinal: str | None = None) -> DataFrame:
     """One row per image and location with its box, mini-report and flags.
 
     docs(dicom_id, original_report), locations(dicom_id, location, bbox) holding
     the box, snippet and default locations; responses(query, reasoning, mini_report);
-    flags(query, mentions_abnormalities, mentions_devices) keyed by mini-report text.
+    flags(query, mentions_abnormalities, mentions_devices) keyed by mini-report text. Of
+    several entries for a query the last by ``ordinal`` counts, or without one the greatest.
     ``keep`` tells whether there is a mini-report or a box.
     """
     # Texts meet by their SHA-256 digest: whole reports are squeezed once per image and
@@ -111,13 +117,20 @@ def build_eval_set(docs: DataFrame, locations: DataFrame, responses: DataFrame,
     squeezed = docs.select("dicom_id", text.squeeze_ws("original_report").alias("report"))
     rows = locations.join(squeezed, "dicom_id")
     rows = rows.withColumn("query_key", F.sha2(mini_report_query("report", "location", clean=False), 256)).drop("report")
-    answers = responses.select(F.sha2("query", 256).alias("query_key"), "reasoning", "mini_report")
-    rows = rows.join(answers, "query_key", "left").drop("query_key")
+
+    def last(log, key, *columns):
+        kept = F.max_by(F.struct(*columns), ordinal) if ordinal else F.max(F.struct(*columns))
+        return log.groupBy(F.sha2("query", 256).alias(key)).agg(kept.alias("__e")).select(key, "__e.*")
+
+    rows = rows.join(last(responses, "query_key", "reasoning", "mini_report"), "query_key", "left").drop("query_key")
     known = F.col("mini_report") != "N/A"
     rows = rows.withColumns(
         {"reasoning": F.when(known, F.col("reasoning")), "mini_report": F.when(known, F.col("mini_report"))}
-    ).withColumn("report_key", F.sha2("mini_report", 256))
-    notes = flags.select(F.sha2("query", 256).alias("report_key"), "mentions_abnormalities", "mentions_devices")
+    )
+    # Rows without a mini-report would all share the null key; theirs match nothing and are spread.
+    nothing = F.concat(F.lit("-"), F.pmod(F.xxhash64("dicom_id", "location"), F.lit(4096)).cast("string"))
+    rows = rows.withColumn("report_key", F.coalesce(F.sha2("mini_report", 256), nothing))
+    notes = last(flags, "report_key", "mentions_abnormalities", "mentions_devices")
     rows = rows.join(notes, "report_key", "left").drop("report_key")
     return rows.withColumn("keep", F.col("mini_report").isNotNull() | F.col("bbox").isNotNull())
 

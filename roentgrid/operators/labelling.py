@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from ..functions.hashing import hash_bucket, hash_order
 from . import joins
-from .skew import running_totals
+from .skew import group_rank
 
 # Reply schemas by name: field -> allowed values (None: non-blank text, "text": any text).
 REPLY_SCHEMAS: dict[str, dict] = dict(vocab.REPLY_SCHEMAS)
@@ -162,20 +162,26 @@ def estimate_tokens(df: DataFrame, request: str = "request", count: Column | Non
 
 
 def rate_plan(requests: DataFrame, key: str, tokens: str, per_minute: int, tokens_per_minute: int, seed="plan") -> DataFrame:
-    """Add ``minute``: the window in which a request fits under both caps.
+    """Add ``minute``, so that no minute exceeds either cap, and a ``reason`` where there is none.
 
-    Requests are taken in hash order of their key; the window is the larger of the
-    requests and the tokens in front of it, each divided by its cap.
+    A request of which m fit into a minute under both caps belongs to the class of the
+    largest power of two up to m, and that many of its class share a minute. Classes follow
+    each other from the largest requests on, each in hash order of the keys; at most twice
+    the minutes needed are used. A request above the token cap gets no minute.
     """
-    rows = requests.withColumn("__h", hash_order(seed, key))
-    rows = running_totals(
-        rows, [], ["__h", key], hash_bucket(F.col("__h")), few=True,
-        cum_requests=F.lit(1).cast("bigint"), cum_tokens=F.col(tokens).cast("bigint"),
-    )
-    minute = F.greatest(
-        F.floor((F.col("cum_requests") - 1) / per_minute), F.floor((F.col("cum_tokens") - F.col(tokens)) / tokens_per_minute)
-    )
-    return rows.withColumn("minute", minute.cast("bigint")).drop("__h", "cum_requests", "cum_tokens")
+    cost = F.greatest(F.coalesce(F.col(tokens), F.lit(0)).cast("bigint"), F.lit(1))
+    fits = F.least(F.lit(per_minute).cast("bigint"), F.floor(F.lit(tokens_per_minute) / cost).cast("bigint"))
+    rows = requests.withColumns({"__class": F.when(fits > 0, F.length(F.bin(fits)) - 1), "__h": hash_order(seed, key)})
+    # At most 63 classes.
+    sizes = rows.where(F.col("__class").isNotNull()).groupBy("__class").agg(F.count("*").alias("__n"))
+    minutes = F.ceil(F.col("__n") / F.pow(F.lit(2), F.col("__class"))).cast("bigint")
+    before = Window.orderBy("__class").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("__class", F.coalesce(F.sum(minutes).over(before), F.lit(0)).alias("__first"))
+    rows = group_rank(rows, ["__class"], ["__h", key], hash_bucket(F.col("__h")), "__rank")
+    rows = rows.join(F.broadcast(first), "__class", "left")
+    minute = F.col("__first") + F.floor((F.col("__rank") - 1) / F.pow(F.lit(2), F.col("__class"))).cast("bigint")
+    reason = F.when(F.col("__class").isNull(), "more tokens than a minute allows")
+    return rows.withColumns({"minute": minute.cast("bigint"), "reason": reason}).drop("__class", "__h", "__rank", "__first")
 
 
 # -- replies ---------------------------------------------------------------------------------
@@ -241,12 +247,9 @@ def retry_set(attempts: DataFrame, max_attempts: int) -> DataFrame:
 
 
 def exhausted_errors(attempts: DataFrame, max_attempts: int) -> DataFrame:
-    """(key, errors in order) of requests that used all attempts without success.
-
-    A request stops at max_attempts, so the list is at most that long.
-    """
+    """(key, errors in order of the attempts) of requests that used all attempts without success."""
     failed = retry_set(attempts, max_attempts).where(F.col("status") == "exhausted").select("key")
-    rows = attempts.join(failed, "key", "left_semi").where(F.col("attempt") <= max_attempts)
+    rows = attempts.join(failed, "key", "left_semi")
     listed = F.array_sort(F.collect_list(F.struct("attempt", "error")))
     return rows.groupBy("key").agg(F.transform(listed, lambda x: x["error"]).alias("errors"))
 

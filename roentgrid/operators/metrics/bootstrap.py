@@ -46,12 +46,13 @@ def poisson_bootstrap_mean(df: DataFrame, value: str, key: list[str], n_boot: in
     rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("v"))
     rows = rows.withColumn("b", _iterations(n_boot))
     u = hash_int(hash_order(seed, F.lit("poisson"), "b", *key)) / F.lit(float(1 << 60))
-    # Inverse distribution function of Poisson(1) up to 12, beyond double precision of u.
-    total, p, count = 0.0, 2.718281828459045**-1, F.lit(0)
-    for k in range(13):
-        p = p if k == 0 else p / k
+    # Inverse distribution function of Poisson(1), until its sum in doubles no longer grows.
+    total, p, count, k = 0.0, 2.718281828459045**-1, F.lit(0), 0
+    while total + p > total:
         total += p
         count = count + F.when(u >= total, 1).otherwise(0)
+        k += 1
+        p /= k
     rows = rows.withColumn("k", count)
     means = rows.groupBy("b").agg(F.try_divide(F.sum(F.col("v") * F.col("k")), F.sum("k")).alias("m"))
     return means.agg(*_summary(means, "m"))

@@ -62,7 +62,8 @@ def memoized(df: DataFrame, text: str, model: Callable[[DataFrame], DataFrame],
         if MISSING not in str(e):
             raise
     model(wanted).write.mode("append").parquet(cache)
-    return keyed.join(spark.read.parquet(cache), "key").drop("key")
+    # Runs at the same time may have stored a text twice.
+    return keyed.join(spark.read.parquet(cache).dropDuplicates(["key"]), "key").drop("key")
 
 
 def _mean_row(df: DataFrame) -> DataFrame:

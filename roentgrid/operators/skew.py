@@ -20,16 +20,6 @@ def _cols(names):
     return [F.col(n) for n in names]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores if the input has fewer splits than that.
-
-    Worth its shuffle in front of heavy row-wise work on a small or unsplittable file;
-    a large input has more splits than cores and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shuffle_partitions(df: DataFrame) -> int:
     """Configured number of shuffle partitions.
 

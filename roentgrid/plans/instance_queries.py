@@ -186,7 +186,7 @@ def e11(d: Data):
 def e12(d: Data):
     docs = d.location_docs()
     anatomy = instances.locate_instances(docs).unionByName(instances.describe_instances(docs)).unionByName(instances.locate_describe_instances(docs))
-    ms = instances.phrase_instances_ms(d.view("v_phrases"), bucket=hash_bucket60()).where("part = 0")
+    ms = instances.phrase_instances_ms(d.view("v_phrases"), bucket=hash_bucket60()).dropDuplicates(["split", "image_key", "phrase"])
     pc = instances.grounded_report_instances(d.grounded_docs(), d.view("v_master"), "ordinal")
     both = instances.multitask({"cig": anatomy, "ms": ms, "pc": pc.drop("boxes")})
     return both.groupBy("dataset", "subtask", "split").agg(F.count("*").alias("n"))

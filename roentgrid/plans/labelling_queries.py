@@ -116,8 +116,10 @@ def j4(d: Data):
 
 @query(
     "j5_rate_plan",
-    f"""select doc_id, tokens::bigint as tokens, greatest((rn - 1) // 50, floor((cum - tokens) / 20000))::bigint as minute from
-        (select doc_id, tokens, row_number() over w as rn, sum(tokens) over w as cum from {_TOKENS} t window w as (order by md5('plan|' || doc_id::varchar), doc_id rows unbounded preceding)) x""",
+    f"""with c as (select doc_id, tokens, case when m > 0 then length(bin(m)) - 1 end as k from (select doc_id, tokens::bigint as tokens, least(50, 20000 // greatest(tokens::bigint, 1))::bigint as m from {_TOKENS} t) t),
+        r as (select doc_id, tokens, k, row_number() over (partition by k order by md5('plan|' || doc_id::varchar), doc_id) as rn from c),
+        s as (select k, sum(minutes) over (order by k) - minutes as start from (select k, ceil(count(*) / (2 ** k))::bigint as minutes from c where k is not null group by k) q)
+        select doc_id, tokens, (start + floor((rn - 1) / (2 ** r.k)))::bigint as minute, case when r.k is null then 'more tokens than a minute allows' end as reason from r left join s on r.k = s.k""",
 )
 def j5(d: Data):
     rows = labelling.estimate_tokens(requests(d)).select("doc_id", "tokens")

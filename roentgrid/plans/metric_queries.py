@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from ..functions import text, vocab
 from ..operators import plugins
 from ..operators.metrics import bootstrap, labels, overlap, similarity
-from ..operators.skew import spread
 from ..sources.sinks import work_folder
 from .registry import d_squeeze, d_strip, query, r6
 from .sampling_queries import _TOK, rounded
@@ -76,12 +75,12 @@ def i2(d: Data):
 
 @query("i3_rouge_l")
 def i3(d: Data):
-    return rounded(overlap.rouge_l(spread(pairs(d))), "rouge_l")
+    return rounded(overlap.rouge_l(pairs(d)), "rouge_l")
 
 
 @query("i4_rouge_lsum")
 def i4(d: Data):
-    return rounded(overlap.rouge_lsum(spread(pairs(d))), "rouge_lsum")
+    return rounded(overlap.rouge_lsum(pairs(d)), "rouge_lsum")
 
 
 # -- labels ------------------------------------------------------------------------------------

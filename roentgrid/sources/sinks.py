@@ -111,6 +111,7 @@ def eval_snapshot(results: DataFrame, step: int | Column) -> DataFrame:
 
 
 def append_eval_snapshot(results: DataFrame, weights: DataFrame, step: int, path: str) -> None:
-    """Append the results and the weights of one evaluation, partitioned by step."""
-    eval_snapshot(results, step).write.mode("append").partitionBy("global_step").parquet(os.path.join(path, "results"))
-    eval_snapshot(weights, step).write.mode("append").partitionBy("global_step").parquet(os.path.join(path, "weights"))
+    """Store the results and the weights of one evaluation, partitioned by step; a step that is run again replaces its own."""
+    for rows, name in ((results, "results"), (weights, "weights")):
+        out = eval_snapshot(rows, step).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("global_step").parquet(os.path.join(path, name))

@@ -81,7 +81,19 @@ def test_rate_plan_keeps_caps(spark):
     df = spark.createDataFrame([(i, i % 7 + 1) for i in range(100)], "k int, tokens int")
     per = labelling.rate_plan(df, "k", "tokens", 10, 30).groupBy("minute").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()
     assert sum(r["n"] for r in per) == 100 and max(r["n"] for r in per) <= 10
-    assert max(r["t"] for r in per) <= 30 + 6
+    assert max(r["t"] for r in per) <= 30
+
+
+def test_rate_plan_with_uneven_requests(spark):
+    sizes = [10_000] * 20 + [1] * 3000 + [3333] * 50 + [10_001, 0] + list(range(1, 2000, 7))
+    df = spark.createDataFrame(list(enumerate(sizes)), "k int, tokens int")
+    plan = labelling.rate_plan(df, "k", "tokens", 50, 10_000)
+    per = plan.where("reason is null").groupBy("minute").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()
+    assert sum(r["n"] for r in per) == len(sizes) - 1
+    assert max(r["n"] for r in per) <= 50 and max(r["t"] for r in per) <= 10_000
+    needed = sum(max(1 / 50, t / 10_000) for t in sizes if t <= 10_000)
+    assert max(r["minute"] for r in per) + 1 <= 2 * needed + 14
+    assert [r["tokens"] for r in plan.where("reason is not null").collect()] == [10_001]
 
 
 def test_queries(spark):
