@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text_key
-from .metrics import overlap
+from .metrics import labels as label_metrics
+from .metrics import overlap, similarity
 
 MISSING = "PATH_NOT_FOUND"
 
@@ -84,6 +85,21 @@ for _n in (1, 2):
     register_metric(f"ROUGE-{_n}", lambda pairs, n=_n: overlap.rouge_n(pairs, (n,)))
 register_metric("ROUGE-L", lambda pairs: overlap.rouge_l(pairs))
 register_metric("ROUGE-Lsum", lambda pairs: overlap.rouge_lsum(pairs))
+# Metrics over a model's outputs, which are given as options: labels(pair_id, class, y_true,
+# y_pred), entities and items as in ``similarity``, or an extractor and an encoder.
+register_metric("CheXbert", lambda pairs, labels: _of_pairs(pairs, label_metrics.label_accuracy(labels, "pair_id")[1], "chexbert"))
+register_metric("RadGraph", lambda pairs, entities: _of_pairs(pairs, similarity.entity_rewards(entities, pairs), "radgraph"))
+register_metric("RaTEScore", lambda pairs, items, affinity: _of_pairs(pairs, similarity.entity_affinity_f1(items, pairs, affinity), "ratescore"))
+register_metric(
+    "CXRFEScore",
+    lambda pairs, extractor, encoder, folder=None: _of_pairs(pairs, similarity.fact_score(pairs, extractor, encoder, folder), "cxrfescore"),
+)
+
+
+def _of_pairs(pairs: DataFrame, scores: DataFrame, prefix: str) -> DataFrame:
+    """One row per pair, its score columns named after the metric; null where there is none."""
+    named = scores.select("pair_id", *[F.col(c).alias(f"{prefix}_{c}") for c in scores.columns if c != "pair_id"])
+    return pairs.select("pair_id").join(named, "pair_id", "left")
 
 
 def drop_empty_refs(pairs: DataFrame) -> DataFrame:

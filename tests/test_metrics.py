@@ -246,3 +246,19 @@ def test_memoized_runs_misses_only(spark, tmp_path):
     second = spark.createDataFrame([("bb",), ("ccc",)], "t string")
     assert sorted(r["n"] for r in plugins.memoized(second, "t", model, cache).collect()) == [2, 3]
     assert sorted(open(log).read().split()) == ["a", "bb", "ccc"]
+
+
+def test_metrics_over_model_outputs_by_name(spark):
+    from roentgrid.operators import plugins
+
+    pairs = spark.createDataFrame([(1, "a b", "a c"), (2, "x", "x")], "pair_id int, hyp string, ref string")
+    labels = spark.createDataFrame([(1, "p", 1, 1), (1, "q", 0, 1)], "pair_id int, class string, y_true int, y_pred int")
+    entity = "pair_id int, side string, entity_id int, tokens string, label string, relation string, target_tokens string"
+    entities = spark.createDataFrame([(1, s, 1, "x", "obs", None, None) for s in ("hyp", "ref")], entity)
+    items = spark.createDataFrame([(2, s, "i", "t", [1.0, 0.0]) for s in ("hyp", "ref")], "pair_id int, side string, item_id string, item_type string, embedding array<double>")
+    options = {"CheXbert": {"labels": labels}, "RadGraph": {"entities": entities}, "RaTEScore": {"items": items, "affinity": {}}}
+    got = {r["pair_id"]: r for r in plugins.compute_metrics(pairs, options).collect()}
+    assert got[1]["chexbert_accuracy"] == 0.5 and got[2]["chexbert_accuracy"] is None
+    assert got[1]["radgraph_simple"] == 1.0 and got[2]["radgraph_simple"] == 0.0
+    assert got[2]["ratescore_f1"] == pytest.approx(1.0) and got[1]["ratescore_f1"] == 0.5
+    assert {"CheXbert", "CXRFEScore", "RadGraph", "RaTEScore"} <= set(plugins.METRICS) and len(plugins.METRICS) >= 12
