@@ -256,11 +256,17 @@ class Decisions:
 
 
 def _chunks(batch):
+    """Runs of rows as (rows, bytes, offsets); given a batch of texts, those of like length come together.
+
+    Texts are read in step, so a run takes as many steps as its longest text.
+    """
     data, offsets = text_bytes(batch.column("text"))
+    order = np.argsort(-np.diff(offsets), kind="stable")
+    data, offsets = text_bytes(batch.column("text").take(pa.array(order)))
     for i, j in batches_of(offsets, CHUNK_BYTES):
         for a in range(i, j, CHUNK_ROWS):
             b = min(j, a + CHUNK_ROWS)
-            yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            yield order[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -274,7 +280,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
         for batch in batches:
-            for _, _, data, offsets in _chunks(batch):
+            for _, data, offsets in _chunks(batch):
                 held.append(tokens(data, offsets)[0])
                 size += len(held[-1])
                 if size > MERGE:
@@ -345,7 +351,7 @@ def predictor_counts(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     def count(batches):
         vocabulary, counter = sent.value, Counter()
         for batch in batches:
-            for _, _, data, offsets in _chunks(batch):
+            for _, data, offsets in _chunks(batch):
                 d = Decisions(data, offsets, vocabulary)
                 index, place = d.run()
                 counter.add(d.slots(index, place), d.bit[index])
@@ -402,27 +408,40 @@ def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, index, place, sl
     weights = [np.tile(w, n) for w in state.weights.T]
     refined = np.tile(state.refined(), n)
     number, seen, logs = np.zeros(n * GATES), np.zeros((2, n * KINDS * CELLS)), np.zeros(len(order), np.float32)
-    scale = np.float32((CELLS - 1) / (2 * REACH))
+    scale, half = np.float32((CELLS - 1) / (2 * REACH)), np.float32(0.5)
     for a, b, m in zip(ends[:-1], ends[1:], active, strict=True):
         own, ys, gs = [v[a:b] for v in x], y[a:b], gate[a:b]
-        z = sum(w[gs] * v for w, v in zip(weights, own, strict=True))
+        z = weights[0][gs]
+        z *= own[0]
+        for w, v in zip(weights[1:], own[1:], strict=True):
+            z += w[gs] * v
         np.clip(z, -REACH, REACH, out=z)
-        p = 1 / (1 + np.exp(-z))
-        cell = kind[a:b] + ((z + np.float32(REACH)) * scale + np.float32(0.5)).astype(np.int64)
-        final = np.float32(0.5) * (p + refined[cell])
-        logs[a:b] = np.log10(np.abs(final + ys - 1))
+        p = np.exp(-z)
+        p += 1
+        np.reciprocal(p, out=p)
+        z += REACH
+        z *= scale
+        z += half
+        cell = z.astype(np.int64)
+        cell += kind[a:b]
+        np.add(p, refined[cell], out=logs[a:b])
         # What this turn says is used from the next one on.
-        error = ys - p
-        count = np.bincount(gs, minlength=m * GATES)
-        number[: m * GATES] += count
+        error = (ys - p).astype(np.float64)
+        gates, size = m * GATES, m * KINDS * CELLS
+        count = np.bincount(gs, minlength=gates)
+        number[:gates] += count
         step = RATE / np.sqrt(np.maximum(count, 1))
         for w, v in zip(weights, own, strict=True):
-            w[: m * GATES] += (step * np.bincount(gs, weights=error * v, minlength=m * GATES)).astype(np.float32)
-        size = m * KINDS * CELLS
+            w[:gates] += step * np.bincount(gs, weights=error * v, minlength=gates)
         count, ones = np.bincount(cell, minlength=size), np.bincount(cell, weights=ys, minlength=size)
-        refined[:size] += ((ones - count * refined[:size]) / (count + 60)).astype(np.float32)
+        refined[:size] += (ones - count * refined[:size]) / (count + 60)
         seen[0, :size] += ones
         seen[1, :size] += count
+    # So far the sum of both estimates of outcome 1.
+    logs *= half
+    logs += y
+    logs -= 1
+    np.log10(np.abs(logs, out=logs), out=logs)
     spelled = d.kind[index] >= 2
     total = np.bincount(docs, weights=np.where(spelled, 0, logs), minlength=n)[rank]
     spelling = np.bincount(place[order[spelled]], weights=logs[spelled], minlength=len(d.token))
@@ -438,11 +457,11 @@ def tuned(docs: DataFrame, vocabulary: Vocabulary, counts: np.ndarray) -> tuple[
         (vocabulary, odds), state, counter = sent.value, State(), Counter()
         odds, number = odds.astype(np.float32), np.zeros(GATES)
         for batch in batches:
-            for i, j, data, offsets in _chunks(batch):
+            for rows, data, offsets in _chunks(batch):
                 d = Decisions(data, offsets, vocabulary)
                 index, place = d.run()
                 slots = d.slots(index, place)
-                _, _, weights, seen, outcomes = mixed(d, odds, j - i, state, index, place, slots)
+                _, _, weights, seen, outcomes = mixed(d, odds, len(rows), state, index, place, slots)
                 met = seen.sum(0) > 0
                 state.weights[met] = ((weights * seen[..., None]).sum(0)[met] / seen.sum(0)[met, None]).astype(np.float32)
                 state.seen += outcomes
@@ -493,8 +512,8 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, frequen
         odds = odds.astype(np.float32)
         base = np.log10((np.r_[vocabulary.counts, 0] + 0.5) / below)
         for batch in batches:
-            for i, j, data, offsets in _chunks(batch):
-                d, n = Decisions(data, offsets, vocabulary), j - i
+            for rows, data, offsets in _chunks(batch):
+                d, n = Decisions(data, offsets, vocabulary), len(rows)
                 index, place = d.run()
                 total, spelling = mixed(d, odds, n, state, index, place, d.slots(index, place))[:2]
                 frequent = d.known < len(vocabulary.hashes)
@@ -504,7 +523,7 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, frequen
                 lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (rare, spelling[~frequent].astype(np.float32))]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id")[i:j], batch.column("held_out")[i:j], pa.array(np.bincount(d.doc, minlength=n)),
+                        batch.column("doc_id").take(pa.array(rows)), batch.column("held_out").take(pa.array(rows)), pa.array(np.bincount(d.doc, minlength=n)),
                         pa.array(np.bincount(d.doc[frequent], minlength=n)), pa.array(np.bincount(d.doc, weights=each, minlength=n)), *lists,
                         pa.array(total), pa.array(np.diff(offsets)),
                     ],
