@@ -378,38 +378,45 @@ class State:
         return (self.seen[0] / self.seen[1]).astype(np.float32)
 
 
-def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, index, place, slots):
+class Turns:
+    """The decisions of n texts in the order they are taken: turn by turn a block of each text that still goes on."""
+
+    def __init__(self, d: Decisions, n: int):
+        long = np.bincount(d.doc, weights=(d.begin[1:] - d.begin[:-1])[d.which], minlength=n).astype(np.int64)
+        # Texts by falling length: those that still go on at a turn come first.
+        self.rank = np.argsort(np.argsort(-long, kind="stable"))
+        turns = -(-long // BLOCK)
+        doc = np.repeat(np.arange(n), turns)
+        turn = np.arange(len(doc)) - np.repeat(np.cumsum(turns) - turns, turns)
+        heads = (np.cumsum(long) - long)[doc] + turn * BLOCK
+        sizes = np.minimum(BLOCK, long[doc] - turn * BLOCK)
+        runs = np.lexsort((self.rank[doc], turn))
+        order = _ranges(heads[runs], sizes[runs])
+        self.ends = np.r_[0, np.cumsum(np.bincount(turn, weights=sizes))].astype(np.int64) if len(turn) else [0]
+        self.active = np.bincount(turn)
+        self.docs = np.repeat(self.rank[doc[runs]], sizes[runs])
+        index, place = d.run()
+        self.index, self.place = index[order], place[order]
+
+
+def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, slots):
     """log10 probabilities, mixed, refined and learned online, all n texts in step.
 
     Gives each text's without the spelling, each token's spelling, and what was learned:
     weights and number of decisions per text and gate, and the outcomes per kind and cell.
     """
-    expect, follows = d.expected(index, place)
-    long = np.bincount(d.doc, weights=(d.begin[1:] - d.begin[:-1])[d.which], minlength=n).astype(np.int64)
-    # Texts by falling length: those that still go on at a turn come first.
-    by_length = np.argsort(-long, kind="stable")
-    rank = np.argsort(by_length)
-    turns = -(-long // BLOCK)
-    doc = np.repeat(np.arange(n), turns)
-    turn = np.arange(len(doc)) - np.repeat(np.cumsum(turns) - turns, turns)
-    heads = (np.cumsum(long) - long)[doc] + turn * BLOCK
-    sizes = np.minimum(BLOCK, long[doc] - turn * BLOCK)
-    runs = np.lexsort((rank[doc], turn))
-    order = _ranges(heads[runs], sizes[runs])
-    ends = np.r_[0, np.cumsum(np.bincount(turn, weights=sizes))].astype(np.int64) if len(turn) else [0]
-    active = np.bincount(turn)
-    docs = np.repeat(rank[doc[runs]], sizes[runs])
-    index = index[order]
-    x = [odds[k][slot[order]] for k, slot in enumerate(slots)] + [expect[order]]
+    index, docs = turns.index, turns.docs
+    expect, follows = d.expected(index, turns.place)
+    x = [odds[k][slot] for k, slot in enumerate(slots)] + [expect]
     y = d.bit[index].astype(np.float32)
     kind = docs * KINDS + d.kind[index]
-    gate = (kind * STATES + follows[order]) * MET + (x[1] != 0)
+    gate = (kind * STATES + follows) * MET + (x[1] != 0)
     kind *= CELLS
     weights = [np.tile(w, n) for w in state.weights.T]
     refined = np.tile(state.refined(), n)
-    number, seen, logs = np.zeros(n * GATES), np.zeros((2, n * KINDS * CELLS)), np.zeros(len(order), np.float32)
+    number, seen, logs = np.zeros(n * GATES), np.zeros((2, n * KINDS * CELLS)), np.zeros(len(index), np.float32)
     scale, half = np.float32((CELLS - 1) / (2 * REACH)), np.float32(0.5)
-    for a, b, m in zip(ends[:-1], ends[1:], active, strict=True):
+    for a, b, m in zip(turns.ends[:-1], turns.ends[1:], turns.active, strict=True):
         own, ys, gs = [v[a:b] for v in x], y[a:b], gate[a:b]
         z = weights[0][gs]
         z *= own[0]
@@ -443,8 +450,8 @@ def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, index, place, sl
     logs -= 1
     np.log10(np.abs(logs, out=logs), out=logs)
     spelled = d.kind[index] >= 2
-    total = np.bincount(docs, weights=np.where(spelled, 0, logs), minlength=n)[rank]
-    spelling = np.bincount(place[order[spelled]], weights=logs[spelled], minlength=len(d.token))
+    total = np.bincount(docs, weights=np.where(spelled, 0, logs), minlength=n)[turns.rank]
+    spelling = np.bincount(turns.place[spelled], weights=logs[spelled], minlength=len(d.token))
     return total, spelling, np.stack(weights, 1).reshape(n, GATES, -1), number.reshape(n, GATES), seen.reshape(2, n, -1).sum(1)
 
 
@@ -459,14 +466,14 @@ def tuned(docs: DataFrame, vocabulary: Vocabulary, counts: np.ndarray) -> tuple[
         for batch in batches:
             for rows, data, offsets in _chunks(batch):
                 d = Decisions(data, offsets, vocabulary)
-                index, place = d.run()
-                slots = d.slots(index, place)
-                _, _, weights, seen, outcomes = mixed(d, odds, len(rows), state, index, place, slots)
+                turns = Turns(d, len(rows))
+                slots = d.slots(turns.index, turns.place)
+                _, _, weights, seen, outcomes = mixed(d, odds, len(rows), state, turns, slots)
                 met = seen.sum(0) > 0
                 state.weights[met] = ((weights * seen[..., None]).sum(0)[met] / seen.sum(0)[met, None]).astype(np.float32)
                 state.seen += outcomes
                 number += seen.sum(0)
-                counter.add(slots, d.bit[index])
+                counter.add(slots, d.bit[turns.index])
         # One more block for the weights, times the decisions they are learned on, and the outcomes.
         blob = np.concatenate([(state.weights * number[:, None]).ravel(), number, (state.seen - State().seen).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([blob.tobytes()], pa.binary())], ["block", "counts"])
@@ -514,8 +521,8 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, frequen
         for batch in batches:
             for rows, data, offsets in _chunks(batch):
                 d, n = Decisions(data, offsets, vocabulary), len(rows)
-                index, place = d.run()
-                total, spelling = mixed(d, odds, n, state, index, place, d.slots(index, place))[:2]
+                turns = Turns(d, n)
+                total, spelling = mixed(d, odds, n, state, turns, d.slots(turns.index, turns.place))[:2]
                 frequent = d.known < len(vocabulary.hashes)
                 each = np.where(frequent, base[d.known], 0.0)
                 rare, ends = d.token[~frequent].view(np.int64), np.cumsum(np.bincount(d.doc[~frequent], minlength=n))

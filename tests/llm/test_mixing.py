@@ -50,8 +50,8 @@ def test_scores_do_not_depend_on_partitions(spark, scored):
     def run(own):
         offsets = np.r_[0, np.cumsum([len(x) for x in own])]
         d = mixing.Decisions(np.frombuffer(b"".join(own), np.uint8), offsets, vocabulary)
-        index, place = d.run()
-        total, spelling = mixing.mixed(d, odds.astype(np.float32), len(own), mixing.State(), index, place, d.slots(index, place))[:2]
+        turns = mixing.Turns(d, len(own))
+        total, spelling = mixing.mixed(d, odds.astype(np.float32), len(own), mixing.State(), turns, d.slots(turns.index, turns.place))[:2]
         return total + np.bincount(d.doc, weights=spelling, minlength=len(own))
 
     assert np.allclose(run(data), np.concatenate([run([x]) for x in data]), rtol=1e-4)
