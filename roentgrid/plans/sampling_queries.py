@@ -268,7 +268,9 @@ def g7(d: Data):
 @query("g7_nested_sequence")
 def g7_nested(d: Data):
     rows = d.view("v_pool")
-    names = sampling.group_sizes(rows, ["location", "category"]).limit(sampling.MAX_CLASSES).collect()
+    names = sampling.group_sizes(rows, ["location", "category"]).limit(sampling.MAX_CLASSES + 1).collect()
+    if len(names) > sampling.MAX_CLASSES:
+        raise ValueError(f"more than {sampling.MAX_CLASSES} classes")
     inner: dict = {}
     for r in sorted(names):
         inner.setdefault(r[0], {})[r[1]] = 1.0 + int(r[1][3:]) % 3

@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header line, columns cast while reading (ids stay strings)."""
-    return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True, enforceSchema=False)
+def read_csv_table(spark: SparkSession, path: str, schema: str, line_breaks: bool = False) -> DataFrame:
+    """CSV with a header line, columns cast while reading (ids stay strings).
+
+    With ``line_breaks``, quoted fields may hold line breaks; a file is then read by one task.
+    """
+    return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=line_breaks, enforceSchema=False)
 
 
 def read_json_docs(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,15 +40,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAS
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(file, offset, line) of every line that is not an object of the schema.
 
-    ``offset`` is the position of the line among the lines of its file.
+    ``offset`` counts the lines in front of it in its file, however that is split: lines are
+    numbered within each split, and the counts of earlier splits are added.
     """
+    place = {"file": "file_path", "__split": "file_block_start"}
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("offset"),
-        F.col("value").alias("line"),
+        *[F.col(f"_metadata.{m}").alias(c) for c, m in place.items()], F.monotonically_increasing_id().alias("__id"), F.col("value").alias("line")
     )
+    splits = lines.groupBy(*place).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(*place, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     parsed = F.from_json("line", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
-    return lines.where((F.trim("line") != "") & parsed["_corrupt_record"].isNotNull())
+    bad = lines.where((F.trim("line") != "") & parsed["_corrupt_record"].isNotNull()).join(splits, list(place))
+    return bad.select("file", (F.col("__before") + F.col("__id") - F.col("__first")).alias("offset"), "line")
 
 
 def read_location_docs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -125,6 +132,6 @@ def image_size_table(spark: SparkSession, folder: str, ext: str, saved: str | No
 
 def read_generations(spark: SparkSession, path: str) -> DataFrame:
     """Cached generations: missing text becomes '', path lists become arrays."""
-    df = read_csv_table(spark, path, "predictions string, references string, image_paths string")
+    df = read_csv_table(spark, path, "predictions string, references string, image_paths string", line_breaks=True)
     df = df.na.fill("", ["predictions", "references"])
     return df.withColumn("image_paths", F.from_json("image_paths", "array<string>"))

@@ -44,6 +44,17 @@ def test_jsonl(spark, tmp_path):
     assert [(r["line"], r["offset"]) for r in bad] == [('{"a": ', 3)]
 
 
+def test_bad_lines_of_split_files(spark, tmp_path):
+    for f in range(3):
+        (tmp_path / f"{f}.jsonl").write_text("".join("{bad\n" if i % 50 == f else '{"a": 1}\n' for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512b")
+    try:
+        found = readers.bad_lines(spark, str(tmp_path), "a int").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["file"][-7], r["offset"]) for r in found) == sorted((str(f), i) for f in range(3) for i in range(400) if i % 50 == f)
+
+
 def test_image_sizes(spark, tmp_path):
     folder, saved = tmp_path / "img", str(tmp_path / "sizes")
     folder.mkdir()
