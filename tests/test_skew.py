@@ -58,12 +58,6 @@ def test_draws(spark):
     assert {r["g"]: sorted(r["d"]) for r in got} == {"b": [0, 1, 2], "c": list(range(25))}
 
 
-def test_spread(spark):
-    small = spark.range(10).coalesce(1)
-    assert skew.spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert skew.spread(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
-
-
 def test_hot_groups(spark, monkeypatch):
     df = spark.createDataFrame(hot_rows(), "g string, i bigint, v bigint")
     monkeypatch.setattr(skew, "MAX_HOT", 4)
