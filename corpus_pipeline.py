@@ -26,9 +26,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item, exact or near."""
     found = phrases.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return common.keep(docs, found.where("n_hit > 0"), "left_anti")
+    return common.keep(docs, found.where("n_hit > 0 or n_near > 0"), "left_anti")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

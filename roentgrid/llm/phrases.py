@@ -160,9 +160,12 @@ class Shard:
         self.count[:-1][held] = counts[at[held]]
         self.start[:-1][held] = ends[at[held]] - counts[at[held]]
         self.first_word = np.array(row["first_word"].as_py(), np.int64)
+        self.lists = {}
 
     def list_of(self, term: int) -> np.ndarray:
-        return self.positions[self.start[term] : self.start[term] + self.count[term]].astype(np.int64)
+        if term not in self.lists:
+            self.lists[term] = self.positions[self.start[term] : self.start[term] + self.count[term]].astype(np.int64)
+        return self.lists[term]
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first_word, places, "right") - 1
@@ -182,19 +185,27 @@ class Shard:
         return found[self.doc_of(found) == self.doc_of(found + len(window) - 1)]
 
     def near(self, window: np.ndarray, slop: int) -> np.ndarray:
-        """Places of the rarest term around which every term stands within ``slop`` words of its offset, in one document."""
+        """Starts around which every term stands within ``slop`` words of its offset, all in the document of the rarest term.
+
+        Which term is the rarest, and so the cut into shards, does not matter for which documents
+        have a start. Starts may lie up to ``slop`` words outside the document; they are put inside.
+        """
         order = sorted(range(len(window)), key=lambda k: self.count[window[k]])
         found = self.list_of(window[order[0]])
         doc = self.doc_of(found)
         low, high = self.first_word[doc], self.first_word[doc + 1] - 1
-        for k in order[1:]:
-            others = self.list_of(window[k])
-            shift = k - order[0]
-            least = np.maximum(found + shift - slop, low)
-            most = np.minimum(found + shift + slop, high)
-            ok = np.searchsorted(others, most, "right") > np.searchsorted(others, least)
-            found, low, high = found[ok], low[ok], high[ok]
-        return found
+        start = found - order[0]
+        # First what is near enough for any start that the rarest term allows, then start by start.
+        for reach, starts in ((2 * slop, np.zeros(1, np.int64)), (slop, np.arange(-slop, slop + 1))):
+            start, low, high = (start[:, None] + starts).ravel(), np.repeat(low, len(starts)), np.repeat(high, len(starts))
+            for k in order[1:]:
+                if not len(start):
+                    return start
+                others = self.list_of(window[k])
+                least, most = np.maximum(start + k - reach, low), np.minimum(start + k + reach, high)
+                ok = np.searchsorted(others, most, "right") > np.searchsorted(others, least)
+                start, low, high = start[ok], low[ok], high[ok]
+        return np.clip(start, low, high)
 
 
 def _merged(doc, item, start, end):
@@ -255,8 +266,8 @@ def matches(index: DataFrame, benchmark: DataFrame, words: int = WORDS, slop: in
     """Matches of the items' windows of ``words`` words: (shard, doc, item, near, starts, ends).
 
     One row per document and item: exact matches are spans of words [start, end), joined
-    where windows overlap; near ones the places of a window's rarest term, with every other
-    term within ``slop`` words of its offset (None: exact matches only).
+    where windows overlap; near ones are starts of a window with every term within ``slop``
+    words of its offset from there, in any order (None: exact matches only).
     """
     item_type = benchmark.schema["item_id"].dataType
     found = None
@@ -268,14 +279,14 @@ def matches(index: DataFrame, benchmark: DataFrame, words: int = WORDS, slop: in
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slop: int | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slop: int | None = SLOP) -> DataFrame:
     """Per document row: (doc_id, __key, n_words, n_hit, item_ids, n_near).
 
     n_hit counts words inside any exact occurrence of a window of an item (an item of fewer
-    words is one window); item_ids lists the items with one, sorted as strings; n_near the
-    items with a proximity match. Null and empty texts have no words, items with a null id
-    count for words but are not listed, repeated rows are rows of their own, and without
-    items nothing is hit.
+    words is one window); item_ids lists the items with one, sorted as strings; n_near counts
+    the ids of items with a proximity match, of which exact ones are a part. Null and empty
+    texts have no words, items with a null id count for words and as one id but are not
+    listed, repeated rows are rows of their own, and without items nothing is hit.
     """
     index = build_index(docs)
     found = matches(index, benchmark, words, slop)
@@ -292,7 +303,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slo
     hit = found.groupBy("shard", "doc").agg(
         spans.alias("spans"),
         F.array_sort(F.collect_set(F.when(~F.col("near"), F.col("item").cast("string")))).alias("item_ids"),
-        F.count_distinct(F.when(F.col("near"), F.col("item"))).alias("n_near"),
+        F.count_distinct(F.when(F.col("near"), F.struct("item"))).alias("n_near"),
     )
     hit = hit.select("shard", "doc", union.alias("n_hit"), "item_ids", "n_near")
     docs_of = F.arrays_zip("doc_ids", "hs", "first_word", F.slice("first_word", 2, F.size("hs")).alias("to"))
@@ -310,8 +321,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slo
 
 
 def report(found: DataFrame) -> DataFrame:
-    """The digest of ``contamination``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """The digest of ``contamination``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (exactly), n_near."""
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near",
     )

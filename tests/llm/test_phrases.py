@@ -1,6 +1,7 @@
+import corpus_pipeline
 import helpers
 
-from roentgrid.llm import common, phrases
+from roentgrid.llm import common, phrases, queries
 
 ITEM = " ".join(helpers.words_of(11, 25))
 
@@ -51,6 +52,41 @@ def test_proximity(spark):
     assert found == {0: (0, 1), 1: (0, 0), 2: (25, 1)}
 
 
+def near_items(text, items, width=10, slop=4):
+    w, found = helpers.bench_words(text), set()
+    for item, passage in items:
+        v = helpers.bench_words(passage)
+        for i in range(max(1, len(v) - width + 1) if v else 0):
+            window = v[i : i + width]
+            if any(all(x in w[max(0, p + k - slop) : max(0, p + k + slop + 1)] for k, x in enumerate(window)) for p in range(-slop, len(w) + slop)):
+                found.add(item)
+    return found
+
+
+def test_registered_query_and_stage_find_near_passages(spark, tmp_path, monkeypatch):
+    w = ITEM.split()
+    filler = helpers.words_of(41, 30, 5000)
+    inserted = [x for k, x in enumerate(w) for x in ([x, "new"] if k % 5 == 4 else [x])]
+    dropped = [x for k, x in enumerate(w) if k != 2][:14]
+    moved = [x for k in range(0, 24, 2) for x in (w[k + 1], w[k])]
+    apart = [x for x in w for x in [x, "a", "b", "c", "d"]]
+    texts = [" ".join(x) for x in ([*filler, *inserted, *filler], [*filler, *dropped], [*moved, *filler], [*filler, *apart], w, w[:9])] + ["Short and another item here", None, ""]
+    helpers.documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, ITEM), (12, "Short item, here"), (None, " ".join(moved[:12])), (3, "")]
+    table(spark, items).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["doc_id"]: r for r in queries.op5(spark, str(tmp_path)).collect()}
+    want = [near_items(t, items) for t in texts]
+    assert [got[i]["n_near"] for i in range(len(texts))] == [len(x) for x in want]
+    assert all(1 in want[i] for i in (0, 1, 2, 4)) and not want[3] and not want[5] and 12 in want[6]
+    assert not got[0]["contaminated"]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, x in enumerate(want) if not x}
+    # Shards of other sizes have other rarest terms.
+    monkeypatch.setattr(phrases.build_index, "__defaults__", (64,))
+    assert {r["doc_id"]: r for r in queries.op5(spark, str(tmp_path)).collect()} == got
+
+
 def test_repeated_ids_and_empty_tables(spark):
     docs = helpers.documents(spark, [ITEM, "clean", None, ITEM], [5, 5, None, None])
     found = phrases.contamination(docs, table(spark, ITEMS))
