@@ -4,11 +4,13 @@ Emails, IP addresses, card and phone numbers of fixed form are the seeds. Every
 text that looks like an identifier, seed or not, links its value with the lexical patterns
 around it (the words to its left and right). Over this graph of patterns and instances,
 rounds of scoring alternate: a pattern is as sure of a kind as the share of its distinct
-instances that are of that kind, and an instance is as sure as the patterns that hold it.
-Only sure patterns promote instances, and promoted instances count in the next round.
+instances of known kind that are of that kind, and an instance is as sure as the patterns
+that hold it. Only sure patterns promote instances, promoted instances count in the next
+round, and rounds go on until one promotes nothing new.
 
-DataFrame functions only. A pattern is judged by all identifiers around which it stands,
-so words that stand before identifiers of all kinds stay unsure.
+DataFrame functions only. A pattern is judged by all identifiers of known kind around which
+it stands, so words that stand before identifiers of all kinds stay unsure; values of no
+known kind speak neither for nor against it.
 """
 
 from __future__ import annotations
@@ -42,9 +44,10 @@ CHUNK = (
     r"|(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]++"
 )
 CONTEXT = 48
-ROUNDS = 3
-# A sure pattern holds this weight of distinct instances of its kind, and this share of all its instances.
+# A sure pattern holds this weight of distinct instances of its kind, and this share of all its known instances.
 SUPPORT, SURE = 4, 0.8
+# Instances of other kinds that every pattern is taken to hold besides: few instances give little confidence.
+DOUBT = 2
 # Digits that a promoted number has at least.
 DIGITS = 6
 BLOCK = 64
@@ -180,29 +183,33 @@ def _best() -> Column:
     return F.greatest(*[F.struct(F.col(k).alias("w"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)])
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, sure: float = SURE) -> DataFrame:
-    """(value, kind, score): instances that sure patterns promote. Stored after every round."""
+def bootstrap(found: DataFrame, support: float = SUPPORT, sure: float = SURE) -> DataFrame:
+    """(value, kind, score): instances that sure patterns promote. Stored after every round.
+
+    What is promoted stays so, with the kind and score of its round; the last round finds nothing new.
+    """
     chunks = found.select(F.explode("chunks").alias("c")).select("c.*")
     edges = chunks.select(F.explode("patterns").alias("pattern"), "value", F.col("kind").alias("seed")).distinct()
     edges = stored(edges, "edges")
+    unseen = edges.where(F.col("seed").isNull()).select("pattern", "value")
+    seeds = edges.where(F.col("seed").isNotNull()).select("pattern", F.col("seed").alias("kind"), F.lit(1.0).alias("w"))
     promoted = None
-    for _ in range(rounds):
-        if promoted is None:
-            known = edges.select("pattern", F.col("seed").alias("kind"), F.lit(1.0).alias("w"))
-        else:
-            known = edges.join(promoted, "value", "left").select(
-                "pattern", F.coalesce("seed", "kind").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("score")).alias("w")
-            )
+    while True:
         # Links are distinct, so a copied text counts once.
-        rated = known.groupBy("pattern").agg(F.count("*").alias("n"), *_sums(F.col("w"))).withColumn("best", _best())
-        patterns = rated.where((F.col("best.w") >= support) & (F.col("best.w") / F.col("n") >= sure))
-        patterns = patterns.select("pattern", F.col("best.kind").alias("kind"), (F.col("best.w") / (F.col("n") + 1)).alias("conf"))
-        fresh = edges.where(F.col("seed").isNull()).join(patterns, "pattern")
-        scored = fresh.groupBy("value").agg(*_sums(-F.log(1 - F.col("conf")))).withColumn("best", _best())
-        scored = scored.select("value", F.col("best.kind").alias("kind"), (1 - F.exp(-F.col("best.w"))).alias("score"))
+        known, fresh = seeds, unseen
+        if promoted is not None:
+            known = known.unionByName(unseen.join(promoted, "value").select("pattern", "kind", F.col("score").alias("w")))
+            fresh = fresh.join(promoted, "value", "left_anti")
+        rated = known.groupBy("pattern").agg(F.sum("w").alias("all"), *_sums(F.col("w"))).withColumn("best", _best())
+        patterns = rated.where((F.col("best.w") >= support) & (F.col("best.w") / F.col("all") >= sure))
+        patterns = patterns.select("pattern", F.col("best.kind").alias("kind"), (F.col("best.w") / (F.col("all") + DOUBT)).alias("conf"))
+        scored = fresh.join(patterns, "pattern").groupBy("value").agg(*_sums(-F.log(1 - F.col("conf")))).withColumn("best", _best())
+        scored = scored.select("value", F.col("best.kind").alias("kind"), F.round(1 - F.exp(-F.col("best.w")), 9).alias("score"))
         fits = F.col("value").contains("@") == (F.col("kind") == "email")
-        promoted = stored(scored.where(fits & (F.col("score") >= sure)), "promoted")
-    return promoted
+        new = stored(scored.where(fits & (F.col("score") >= sure)), "promoted")
+        if new.isEmpty():
+            return new if promoted is None else promoted
+        promoted = new if promoted is None else stored(promoted.unionByName(new), "promoted")
 
 
 def detect(docs: DataFrame) -> DataFrame:

@@ -37,6 +37,34 @@ def test_contexts_discover_identifiers(spark):
     assert got[9] == ""
 
 
+def spans_of(texts, spark):
+    return {r["doc_id"]: r["spans"] for r in pii.report(pii.detect(helpers.documents(spark, texts))).collect()}
+
+
+def test_unseen_values_do_not_speak_against_their_pattern(spark):
+    words = [" ".join(helpers.words_of(200 + i, 12)) for i in range(50)]
+    texts = [f"{words[i]} call me at +1 (286) 555-51{i:02d}, {words[i]}" for i in range(10)]
+    texts += [f"{words[i]} call me at 286 555 72{i:02d}, {words[i]}" for i in range(10, 40)]
+    texts += [f"{words[40]} invoice 99887766, {words[40]}"]
+    got = spans_of(texts, spark)
+    for i in range(10, 40):
+        at = texts[i].index("286 555")
+        assert got[i] == f"phone:{at}:{at + 12}"
+    assert got[40] == ""
+
+
+def test_discovery_goes_on_until_nothing_is_new(spark):
+    # Each group of numbers stands behind its own words and behind those of the group before.
+    texts = [f"step za is +1 (286) 555-51{i:02d}" for i in range(10)]
+    names = ["za", "zb", "zc", "zd", "ze", "zf", "zg"]
+    for k, (old, new) in enumerate(zip(names, names[1:])):
+        for i in range(12):
+            texts += [f"step {old} is 286 555 {k}0{i:02d}", f"step {new} is 286 555 {k}0{i:02d}"]
+    texts += ["step zg is 287 111 2222", "step zh is 287 111 3333"]
+    got = spans_of(texts, spark)
+    assert [i for i in range(len(texts)) if not got[i]] == [len(texts) - 1]
+
+
 def test_mixed_contexts_prove_nothing(spark):
     kinds = ["+1 (286) 555-51{:02d}", "a{}@b.com", "10.0.0.{}", "token{}99999"]
     texts = [f"one of the {kinds[i % 4].format(i)} was here" for i in range(40)] + ["one of the 1234567 was here"]
