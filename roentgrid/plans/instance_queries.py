@@ -22,15 +22,25 @@ def hash_bucket60(c="ordinal"):
     return F.shiftright(F.col(c), 44)
 
 
+def whole(df, by, text, between=" ", **values):
+    """One row per group again: the ``text`` of its parts, in order, put together, and aggregates of other columns."""
+    parts = F.array_sort(F.collect_list(F.struct("part", text)))
+    return df.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p[text]), between).alias(text), *[v.alias(n) for n, v in values.items()])
+
+
+def n_boxes():
+    return F.sum(F.size("boxes")).cast("bigint")
+
+
 @query(
     "e1_studies",
     f"select study_id, any_value(full_report) as full_report, count(*) as n_images, string_agg(image_path, ' ' order by ordinal) as images from {IMAGES} a group by 1",
 )
 def e1(d: Data):
     out = instances.studies(d.view("v_images"), reports(d), "/img", "ordinal", bucket=hash_bucket60())
-    return out.select(
-        "study_id", "full_report", F.size("image_paths").cast("bigint").alias("n_images"), F.array_join("image_paths", " ").alias("images")
-    )
+    out = out.withColumn("images", F.array_join("image_paths", " "))
+    out = whole(out, ["study_id"], "images", full_report=F.first("full_report"), n_images=F.sum(F.size("image_paths")).cast("bigint"))
+    return out.select("study_id", "full_report", "n_images", "images")
 
 
 @query(
@@ -53,7 +63,8 @@ def e2(d: Data):
 def e3(d: Data):
     out = instances.studies(d.view("v_images"), reports(d), "/img", "ordinal", "frontal_lateral", seed=7)
     lists = instances.study_image_lists(d.view("v_images"), reports(d), "/img", "ordinal", hash_bucket60())
-    lists = lists.where("kind = 'frontal'").select("study_id", F.array_join("image_paths", " ").alias("frontal_paths"))
+    lists = lists.where("kind = 'frontal'").select("study_id", "part", F.array_join("image_paths", " ").alias("frontal_paths"))
+    lists = whole(lists, ["study_id"], "frontal_paths")
     return out.join(lists, "study_id", "left").select("study_id", "n_frontal", "n_lateral", "frontal_path", "lateral_path", "frontal_paths")
 
 
@@ -109,7 +120,9 @@ _NB = "'[' || printf('%.2f', x / iw) || ',' || printf('%.2f', y / ih) || ',' ||
 )
 def e7(d: Data):
     out = instances.phrase_instances_ms(d.view("v_phrases"), bucket=hash_bucket60())
-    return out.select("split", "image_key", "category", "phrase", "prompt", "target", F.size("boxes").cast("bigint").alias("n_boxes"))
+    keys = ["split", "image_key", "category", "phrase", "prompt"]
+    out = whole(out.withColumn("found", bx.format_boxes("boxes")), keys, "found", n_boxes=n_boxes())
+    return out.select(*keys, F.concat("phrase", F.lit(": "), "found").alias("target"), "n_boxes")
 
 
 _REPORT = "select study, string_agg({0}, '. ' order by finding_no) as target, sum(n_boxes)::bigint as n_boxes from v_findings group by 1"
@@ -162,7 +175,7 @@ def e10(d: Data):
     wide = instances.rater_union(d.view("v_raters"), CLASSES)
     labels = instances.label_long(wide, CLASSES, ["image_id"])
     boxes, _ = instances.normalised_boxes(d.view("v_annotations"), d.view("v_sizes"))
-    return instances.pseudo_reports(labels, wide, boxes).select("image_id", "report")
+    return whole(instances.pseudo_reports(labels, wide, boxes), ["image_id"], "report", "")
 
 
 @query(
@@ -172,7 +185,9 @@ def e10(d: Data):
 )
 def e11(d: Data):
     boxes, _ = instances.normalised_boxes(d.view("v_annotations"), d.view("v_sizes"))
-    return instances.phrase_instances_vd(boxes).select("split", "image_key", "phrase", F.size("boxes").cast("bigint").alias("n_boxes"), "target")
+    out = instances.phrase_instances_vd(boxes).withColumn("found", bx.format_boxes("boxes"))
+    out = whole(out, ["split", "image_key", "phrase"], "found", n_boxes=n_boxes())
+    return out.select("split", "image_key", "phrase", "n_boxes", F.concat("phrase", F.lit(": "), "found").alias("target"))
 
 
 @query(
