@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, license_scan, mixing, multi_index, packing, phrases, pii, pu_quality, simhash, toxicity
+from . import (
+    bestfit, divergence, license_scan, mixing, multi_index, packing, periods, phrases, pii, pu_quality, rank_profiles, simhash, toxicity,
+)
+from .oracles import ORACLES as ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,3 +78,19 @@ def op9(spark, folder):
 @query("op10_best_fit")
 def op10(spark, folder):
     return bestfit.best_fit_matrices(table(spark, folder, "documents"))
+
+
+@query("op11_minimizer_runs")
+def op11(spark, folder):
+    return periods.report(periods.runs(periods.planted(table(spark, folder, "documents"))))
+
+
+@query("op12_divergence_cube")
+def op12(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+@query("op13_rank_profiles")
+def op13(spark, folder):
+    docs = table(spark, folder, "documents")
+    return rank_profiles.predict(docs, rank_profiles.learn(docs))
