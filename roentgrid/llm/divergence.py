@@ -105,8 +105,8 @@ def _block(column: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(column), blocks).cast("int")
 
 
-def _partial_sums(rows: pa.Table) -> pa.Table:
-    """Divergences of the pairs of groups of one cell, summed over its terms.
+def _partial_sums(key: tuple, rows: pa.Table) -> pa.Table:
+    """Divergences of the pairs of groups of one cell (language, block, block, term block), summed over its terms.
 
     ``rows`` hold the groups of both sides with their share of an absent term (null term)
     and their shares of the terms that occur. All other terms of the block would have the
@@ -117,7 +117,7 @@ def _partial_sums(rows: pa.Table) -> pa.Table:
     side, gid = (heads.column(c).to_numpy() for c in ("second", "gid"))
     absent = heads.column("p").to_numpy()
     gids, bases = [gid[side == s] for s in (0, 1)], [absent[side == s] for s in (0, 1)]
-    own = len(gids[1]) == 0  # a block met by itself comes once
+    own = key[1].as_py() == key[2].as_py()  # a block met by itself comes once
     orders = [np.argsort(g) for g in gids]
     gids, bases = ([x[o] for x, o in zip(pair, orders, strict=True)] for pair in (gids, bases))
     body = rows.filter(pc.is_valid(term))

@@ -42,15 +42,15 @@ def letters() -> Column:
 
 
 def grams(text: str) -> np.ndarray:
-    """All n-grams of normalised text as integers; a space alone is none, and none has one inside."""
+    """All n-grams of normalised texts, end to end, as integers; spaces alone are none, and none has one inside."""
     c = np.frombuffer(text.encode("utf-32-le"), "<u4")
     if len(c) < 3:
         return np.zeros(0, np.int64)
     wide = c.astype(np.int64)
-    # The last character is a space.
+    solid = c != _SPACE
     two = (wide[:-1] << 2 * _BITS) | (wide[1:] << _BITS)
     three = two[:-1] | wide[2:]
-    return np.concatenate([wide[c != _SPACE] << 2 * _BITS, two, three[c[1:-1] != _SPACE]])
+    return np.concatenate([wide[solid] << 2 * _BITS, two[solid[:-1] | solid[1:]], three[solid[1:-1]]])
 
 
 def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def gram_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
             texts: dict[str, list[str]] = {}
             sizes: dict[str, int] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("letters").to_pylist(), strict=True):
-                # Texts end and begin with a space, so no n-gram but the two spaces spans two of them.
+                # Texts end and begin with a space, so no n-gram spans two of them.
                 texts.setdefault(lang, []).append(text)
                 sizes[lang] = sizes.get(lang, 0) + len(text)
                 if sizes[lang] > CHUNK:
