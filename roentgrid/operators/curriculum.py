@@ -60,23 +60,34 @@ def clamp_weights(df: DataFrame, weight: str = "weight") -> DataFrame:
     return df.withColumn(weight, F.when(w <= 0, F.lit(0.01)).when(w > 1, F.lit(1.0)).otherwise(w))
 
 
-def apply_weights(instances: DataFrame, dataset_w: dict | None, category_w: dict[str, dict] | None, n: int, key: list[str], seed=0) -> DataFrame:
-    """Sequence of n instances under the new weights; a missing level stays uniform.
+def apply_weights(
+    instances: DataFrame, dataset_w: dict | DataFrame | None, category_w: dict[str, dict] | DataFrame | None, n: int, key: list[str], seed=0
+) -> DataFrame:
+    """Sequence of n instances under the new weights; a missing level or class has weight 1.
 
+    Weights are tables (dataset, weight) and (dataset, category, weight) or dictionaries.
     Categories belong to ``dataset``; give the anatomy corpus one dataset name per
     subtask with equal weights, as its subtasks are never re-weighted.
     """
-    groups = sampling.group_sizes(instances, ["dataset", "category"]).limit(sampling.MAX_CLASSES + 1).collect()
-    if len(groups) > sampling.MAX_CLASSES:
-        raise ValueError("too many categories")
-    names: dict[str, list] = {}
-    for r in sorted(groups, key=lambda r: (str(r[0] or ""), r[1] is not None, str(r[1]))):
-        names.setdefault(r[0], []).append(r[1])
-    outer = {d: (dataset_w or {}).get(d, 1.0) if dataset_w else 1.0 for d in names}
-    inner = {d: {c: ((category_w or {}).get(d) or {}).get(c, 1.0) for c in cats} for d, cats in names.items()}
+    spark = instances.sparkSession
+    if isinstance(dataset_w, dict):
+        dataset_w = sampling.weight_table(spark, dataset_w, "dataset")
+    if isinstance(category_w, dict):
+        rows = [(d, c, float(x)) for d, w in category_w.items() for c, x in w.items()]
+        category_w = spark.createDataFrame(rows, "dataset string, category string, weight double")
+    groups = instances.select("dataset", "category").distinct()
+    outer = _with_weights(groups.select("dataset").distinct(), dataset_w, ["dataset"])
+    inner = _with_weights(groups, category_w, ["dataset", "category"])
     return sampling.nested_sequence(instances, outer, inner, "dataset", "category", key, n, seed)
 
 
+def _with_weights(classes: DataFrame, weights: DataFrame | None, by: list[str]) -> DataFrame:
+    if weights is None:
+        return classes.withColumn("weight", F.lit(1.0))
+    found = weights.select(F.struct(*by).alias("__g"), "weight")
+    return classes.withColumn("__g", F.struct(*by)).join(found, "__g", "left").select(*by, F.coalesce("weight", F.lit(1.0)).alias("weight"))
+
+
 def curriculum_weights(scored: DataFrame, metric_weights: dict[str, float], step: int) -> DataFrame:
     """One evaluation's weights in long form (global_step, dataset, subtask, category, weight).
 

@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, hash_int, hash_order
+from ..sources.sinks import stored
 from .skew import draws, group_rank
 
-# Schedules are plan metadata made on the driver; more classes than this is a mistake.
-MAX_CLASSES = 10_000
 # Sequence positions a single data row may serve before it is replicated.
 MAX_FAN_OUT = 1 << 16
 # Most rows of a table of quotas that is broadcast.
@@ -176,143 +175,165 @@ def uniform_subset_tasks(df: DataFrame, n: int, task: str, location: str, key: l
 
 # -- weighted schedules -------------------------------------------------------------------
 
-def interleave_schedule(weights: list[float]) -> list[int]:
-    """Class index per slot of one period.
+def weight_table(spark: SparkSession, weights: dict, name: str) -> DataFrame:
+    """Weights given as a dictionary, as a table (name, weight)."""
+    return spark.createDataFrame([(c, float(w)) for c, w in weights.items()], f"{name} string, weight double")
+
+
+def _turns_up_to(x: Column, c: Column) -> Column:
+    """How many turns of class ``c`` stand in front of free place ``x`` + 1 of the places it left.
+
+    Turn i took place floor(i * step) of those free before, so floor(i * step) - i of the places
+    left are in front of it: turns count as long as that is at most x. The first turn
+    beyond is (x + 1) * slots / spare, rounded up; rounding of the products can move it by one.
+    """
+    guess = F.ceil((x + 1) * c["slots"].cast("double") / c["spare"])
+    beyond = sum((F.floor((guess + d) * c["step"]) - (guess + d) > x).cast("bigint") for d in (-1, 0, 1))
+    return F.least(F.greatest(guess + 2 - beyond, F.lit(0)), c["slots"])
+
+
+def _exact_sum(values: Column) -> Column:
+    """Sum of an array of doubles in order, with the rounding errors added at the end.
+
+    Slots are rounded down, so a total that is off by its last bit can cost a class a slot.
+    """
+
+    def add(a: Column, x: Column) -> Column:
+        total = a["s"] + x
+        lost = F.when(F.abs(a["s"]) >= F.abs(x), (a["s"] - total) + x).otherwise((x - total) + a["s"])
+        return F.struct(total.alias("s"), (a["c"] + lost).alias("c"))
+
+    return F.aggregate(values, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")), add, lambda a: a["s"] + a["c"])
+
+
+def schedule(weights: DataFrame, name: str, within: list[str] | None = None, weight: str = "weight") -> DataFrame:
+    """One period of turns: (within..., slot, name, before, per_period, period).
 
     Equal weights give every class one slot. Otherwise a class has max(20 w / w_min, 1)
-    slots (rounded down), spread evenly over the slots still free, most frequent
-    classes first; zero weights have none.
+    slots (rounded down), spread evenly over the slots still free, most frequent classes
+    first, then by name; zero weights have none. ``before`` counts the earlier slots of
+    the class in the period. Several schedules are made at once, one for each ``within``.
+
+    Every turn works out its own slot: it starts from its place among the places free for
+    its class and adds, for one more frequent class after the other, the turns in front of it.
+    The weights of one schedule form one array; turns are spread over the tasks in blocks.
     """
-    import numpy as np
-
-    if not weights or min(weights) < 0:
-        raise ValueError("weights must be non-negative and not empty")
-    if len(weights) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    if len(set(weights)) == 1:
-        return list(range(len(weights)))
-    used = [i for i, w in enumerate(weights) if w > 0]
-    total = sum(weights[i] for i in used)
-    share = np.array([weights[i] / total for i in used])
-    slots = np.maximum((20 * share / share.min()).astype(int), 1)
-    period = np.empty(slots.sum(), dtype=int)
-    free = np.arange(len(period))
-    for c in np.argsort(-slots, kind="stable"):
-        at = (np.arange(slots[c]) * (len(free) / slots[c])).astype(int)
-        period[free[at]] = used[c]
-        free = np.delete(free, at)
-    return period.tolist()
-
-
-def schedule_rows(weights: dict) -> list[tuple]:
-    """(slot, class, earlier slots of the class, slots of the class) for one period."""
-    weights = {c: w for c, w in weights.items() if w != 0}
-    names = list(weights)
-    period = interleave_schedule(list(weights.values()))
-    seen, rows = dict.fromkeys(names, 0), []
-    for slot, i in enumerate(period):
-        rows.append((slot, names[i], seen[names[i]]))
-        seen[names[i]] += 1
-    return [(slot, name, before, seen[name]) for slot, name, before in rows]
-
-
-def schedule_table(spark: SparkSession, weights: dict) -> DataFrame:
-    return spark.createDataFrame(schedule_rows(weights), "slot bigint, class string, before bigint, per_period bigint")
-
-
-def collect_weights(df: DataFrame, name: str, weight: str = "weight") -> dict:
-    """Small weight table as a dictionary; refuses more than MAX_CLASSES rows."""
-    rows = df.select(name, weight).orderBy(name).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return {r[0]: r[1] for r in rows}
-
-
-def sequence_length(spark: SparkSession, sizes: dict, weights: dict) -> int:
-    """Length of a weighted sequence: enough periods to pass through the slowest class."""
-    per_period = {name: n for _, name, _, n in schedule_rows(weights)}
-    periods = max(math.ceil(sizes[c] / n) for c, n in per_period.items())
-    return periods * len(schedule_rows(weights))
-
-
-def _read_rows(positions: DataFrame, df: DataFrame, by: list[str], key: list[str], seed) -> DataFrame:
-    # Fetch row number (turn mod size) of each class. A row of a tiny class may serve
-    # very many positions: it is then replicated and its positions are spread.
-    sizes = group_sizes(df, by)
-    load = positions.groupBy(*by).agg(F.count("*").alias("__load"))
-    plan = sizes.join(load, by)
-    plan = plan.withColumn("__salts", F.ceil(F.col("__load") / F.col("size") / MAX_FAN_OUT).cast("bigint"))
-    # One row per scheduled class, and no schedule has more than MAX_CLASSES.
-    plan = F.broadcast(plan.select(*by, "size", "__salts"))
-    at = positions.join(plan, by).withColumns(
-        {
-            "__row": F.col("turn") % F.col("size") + 1,
-            "__salt": F.floor(F.col("turn") / F.col("size")).cast("bigint") % F.col("__salts"),
-        }
+    within = within or []
+    group = F.struct(*within) if within else F.struct(F.lit(0).alias("all"))
+    w = F.col(weight).cast("double")
+    checked = F.when(w >= 0, w).otherwise(F.raise_error(F.lit("weights must be non-negative")).cast("double"))
+    rows = weights.select(group.alias("__g"), F.struct(F.col(name).alias("c"), checked.alias("w")).alias("x"))
+    listed = rows.groupBy("__g").agg(F.array_sort(F.collect_list("x")).alias("l")).select("__g", F.filter("l", lambda x: x["w"] > 0).alias("l"))
+    none = F.raise_error(F.lit("no weight above 0")).cast(listed.schema["l"].dataType)
+    listed = listed.select("__g", F.when(F.size("l") > 0, F.col("l")).otherwise(none).alias("l"))
+    sums = listed.select(
+        "__g", "l", _exact_sum(F.transform("l", lambda x: x["w"])).alias("total"),
+        F.array_min(F.transform("l", lambda x: x["w"])).alias("least"), F.array_max(F.transform("l", lambda x: x["w"])).alias("most"),
     )
-    ranked = hash_rank(df, by, key, seed, "__row").join(plan.drop("size"), by)
-    ranked = ranked.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__salts") - 1))).drop("__salts")
-    return at.drop("size", "__salts").join(ranked, [*by, "__row", "__salt"]).drop("__row", "__salt", "turn")
 
+    def slots(x: Column) -> Column:
+        share = F.lit(20) * (x["w"] / F.col("total")) / (F.col("least") / F.col("total"))
+        return F.when(F.col("least") == F.col("most"), F.lit(1).cast("bigint")).otherwise(F.greatest(F.floor(share), F.lit(1).cast("bigint")))
+
+    ordered = F.array_sort(F.transform("l", lambda x: F.struct((-slots(x)).alias("minus"), x["c"].alias("c"))))
+    placed = sums.select("__g", F.posexplode(ordered).alias("place", "x")).select("__g", "place", F.col("x.c").alias("c"), (-F.col("x.minus")).alias("slots"))
+    # One row per class.
+    group_of = Window.partitionBy("__g")
+    so_far = group_of.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    classes = placed.withColumns({"period": F.sum("slots").over(group_of), "spare": F.sum("slots").over(group_of) - F.sum("slots").over(so_far)})
+    classes = classes.withColumn("step", (F.col("spare") + F.col("slots")) / F.col("slots"))
+    above = classes.groupBy("__g").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("place")).alias("o"), "slots", "spare", "step"))).alias("above")
+    )
+    turns = draws(classes, ["__g", "c"], "slots", "before").join(above, "__g")
+    more = F.slice("above", F.size("above") - F.col("place") + 1, F.col("place"))
+    slot = F.aggregate(more, F.floor(F.col("before") * F.col("step")), lambda x, c: x + _turns_up_to(x, c))
+    return turns.select(
+        *[F.col("__g")[c].alias(c) for c in within], slot.alias("slot"), F.col("c").alias(name), "before", F.col("slots").alias("per_period"), "period"
+    )
 
-def weighted_sequence(df: DataFrame, weights: dict, by: str, key: list[str], n: int | None = None, seed=0) -> DataFrame:
-    """Positions 0..n-1, each filled from the class its slot is scheduled for.
 
-    A class is read in hash order, over and over. By default n is the sequence length
-    that passes through every class.
+def _stored_schedule(weights: DataFrame, df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The schedules of the last column within the others, and their classes: (by..., per_period, period, size, length).
+
+    ``length`` is that of the sequence which passes through every class. Both are stored
+    tables, so their sizes are known when they are joined. A class without rows is an error.
     """
-    spark = df.sparkSession
-    df = df.where(F.col(by).isin([c for c, w in weights.items() if w != 0]))
-    if n is None:
-        n = sequence_length(spark, collect_weights(group_sizes(df, [by]), by, "size"), weights)
-    schedule = schedule_table(spark, weights)
-    period = len(schedule_rows(weights))
-    positions = spark.range(n).select(
-        F.col("id").alias("position"), (F.col("id") % period).alias("slot"), F.floor(F.col("id") / period).alias("cycle")
-    )
-    positions = positions.join(schedule, "slot").select(
-        "position", F.col("class").alias(by), (F.col("cycle") * F.col("per_period") + F.col("before")).alias("turn")
+    *within, name = by
+    plan = stored(schedule(weights, name, within), "schedule")
+    sizes = group_sizes(df, by).select(F.struct(*by).alias("__g"), "size")
+    classes = plan.where("before = 0").withColumn("__g", F.struct(*by)).join(sizes, "__g", "left")
+    missing = F.raise_error(F.concat(F.lit("no rows of class "), F.to_json("__g"))).cast("bigint")
+    periods = F.max(F.ceil(F.col("size") / F.col("per_period"))).over(Window.partitionBy(F.struct(*within) if within else F.lit(0)))
+    classes = classes.withColumn("size", F.coalesce("size", missing)).select(*by, "per_period", "period", "size", (periods * F.col("period")).alias("length"))
+    return plan, stored(classes, "classes")
+
+
+def _positions(total: DataFrame) -> DataFrame:
+    """Add ``position`` 0 .. n - 1 to a table of one row, block by block."""
+    return draws(total, ["n"], "n", "position")
+
+
+def _read_rows(positions: DataFrame, classes: DataFrame, load: Column, df: DataFrame, by: list[str], key: list[str], seed) -> DataFrame:
+    # Fetch row number (turn mod size) of each class. A row of a tiny class may serve
+    # very many positions: it is then replicated and its positions are spread. ``load``
+    # bounds the positions of a class. Struct keys let null classes match.
+    g = F.struct(*by).alias("__g")
+    plan = classes.select(g, "size", F.ceil(load / F.col("size") / MAX_FAN_OUT).cast("bigint").alias("__salts"))
+    at = positions.select("position", "turn", g).join(plan, "__g").select(
+        "position", "__g", (F.col("turn") % F.col("size") + 1).alias("__row"),
+        (F.floor(F.col("turn") / F.col("size")) % F.col("__salts")).alias("__salt"),
     )
-    return _read_rows(positions, df, [by], key, seed)
+    rows = df.withColumn("__g", g).join(plan.select("__g", "__salts"), "__g")
+    ranked = hash_rank(rows, by, key, seed, "__row")
+    ranked = ranked.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__salts") - 1))).drop("__salts")
+    return at.join(ranked, ["__g", "__row", "__salt"]).drop("__g", "__row", "__salt")
 
 
-def nested_sequence(df: DataFrame, weights: dict, inner: dict[str, dict], outer_by: str, inner_by: str, key: list[str], n: int, seed=0) -> DataFrame:
+def weighted_sequence(df: DataFrame, weights: dict | DataFrame, by: str, key: list[str], n: int | None = None, seed=0) -> DataFrame:
+    """Positions 0..n-1, each filled from the class its slot is scheduled for.
+
+    ``weights`` is a table (by, weight) or a dictionary. A class is read in hash order, over
+    and over. By default n is the sequence length that passes through every class.
+    """
+    if isinstance(weights, dict):
+        weights = weight_table(df.sparkSession, weights, by)
+    plan, classes = _stored_schedule(weights, df, [by])
+    length = F.max("length") if n is None else F.lit(n).cast("bigint")
+    total = classes.agg(length.alias("n"), F.max("period").alias("__period"))
+    positions = _positions(total).withColumn("slot", F.col("position") % F.col("__period")).join(plan, "slot")
+    positions = positions.select("position", by, (F.floor(F.col("position") / F.col("period")) * F.col("per_period") + F.col("before")).alias("turn"))
+    load = F.ceil((F.col("length") if n is None else F.lit(n)) / F.col("period")) * F.col("per_period")
+    return _read_rows(positions, classes, load, df, [by], key, seed)
+
+
+def nested_sequence(
+    df: DataFrame, weights: dict | DataFrame, inner: dict[str, dict] | DataFrame, outer_by: str, inner_by: str, key: list[str], n: int, seed=0
+) -> DataFrame:
     """Weighted sequence over datasets whose own rows follow weighted schedules too.
 
-    ``weights`` holds the dataset weights, ``inner`` the category weights per dataset.
+    ``weights`` holds the dataset weights (outer_by, weight), ``inner`` the category weights
+    per dataset (outer_by, inner_by, weight); both may be dictionaries.
     """
-    spark = df.sparkSession
-    sizes: dict[str, dict] = {}
-    rows = group_sizes(df, [outer_by, inner_by]).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    for r in rows:
-        sizes.setdefault(r[0], {})[r[1]] = r["size"]
-    inner_rows, lengths = [], []
-    for d, w in inner.items():
-        w = {c: x for c, x in w.items() if x != 0}
-        plan = schedule_rows(w)
-        inner_rows += [(d, *r) for r in plan]
-        lengths.append((d, len(plan), sequence_length(spark, sizes[d], w)))
-    outer = schedule_table(spark, weights)
-    period = len(schedule_rows(weights))
-    lengths = spark.createDataFrame(lengths, "class string, inner_period bigint, inner_length bigint")
-    second = spark.createDataFrame(
-        inner_rows, f"{outer_by} string, inner_slot bigint, {inner_by} string, inner_before bigint, inner_per bigint"
-    )
-    positions = spark.range(n).select(F.col("id").alias("position"), (F.col("id") % period).alias("slot"))
-    positions = positions.join(outer, "slot").join(lengths, "class").select(
-        "position",
-        F.col("class").alias(outer_by),
-        "inner_period",
-        ((F.floor(F.col("position") / period) * F.col("per_period") + F.col("before")) % F.col("inner_length")).alias("at"),
-    )
-    positions = positions.withColumn("inner_slot", F.col("at") % F.col("inner_period"))
-    positions = positions.join(second, [outer_by, "inner_slot"]).select(
-        "position", outer_by, inner_by,
-        (F.floor(F.col("at") / F.col("inner_period")) * F.col("inner_per") + F.col("inner_before")).alias("turn"),
-    )
-    return _read_rows(positions, df, [outer_by, inner_by], key, seed)
+    spark, by = df.sparkSession, [outer_by, inner_by]
+    if isinstance(weights, dict):
+        weights = weight_table(spark, weights, outer_by)
+    if isinstance(inner, dict):
+        rows = [(d, c, float(x)) for d, w in inner.items() for c, x in w.items()]
+        inner = spark.createDataFrame(rows, f"{outer_by} string, {inner_by} string, weight double")
+    outer = stored(schedule(weights, outer_by), "schedule")
+    plan, classes = _stored_schedule(inner, df, by)
+    o = F.struct(outer_by).alias("__o")
+    lengths = classes.groupBy(o).agg(F.max("period").alias("inner_period"), F.max("length").alias("inner_length"))
+    total = outer.agg(F.lit(n).cast("bigint").alias("n"), F.max("period").alias("__period"))
+    positions = _positions(total).withColumn("slot", F.col("position") % F.col("__period")).join(outer, "slot")
+    turn = F.floor(F.col("position") / F.col("period")) * F.col("per_period") + F.col("before")
+    positions = positions.select("position", o, turn.alias("turn")).join(lengths, "__o")
+    positions = positions.withColumn("at", F.col("turn") % F.col("inner_length")).select("position", "__o", "at", (F.col("at") % F.col("inner_period")).alias("slot"))
+    positions = positions.join(plan.withColumn("__o", o), ["__o", "slot"])
+    positions = positions.select("position", *by, (F.floor(F.col("at") / F.col("period")) * F.col("per_period") + F.col("before")).alias("turn"))
+    # No class has more positions than the whole sequence.
+    return _read_rows(positions, classes, F.lit(n), df, by, key, seed)
 
 
 # -- evaluation samples --------------------------------------------------------------------

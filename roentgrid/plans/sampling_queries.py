@@ -238,26 +238,74 @@ def g5(d: Data):
     return out.select("id", "position")
 
 
-def event_weights(d: Data) -> dict:
-    """Sampling weights per language: its share of the characters."""
-    sums = d.table("documents").groupBy("lang").agg(F.sum("n_chars").alias("weight"))
-    return {k: float(v) for k, v in sampling.collect_weights(sums, "lang").items()}
+def d_schedule(weights: str, name: str) -> str:
+    """CTEs that end in <name>(grp, class, slot, before, per, period) for a table <weights>(grp, class, weight).
+
+    Slots are dealt out class by class from a list of the free ones.
+    """
+    n = name
+    # Sums with the rounding errors added at the end.
+    add = "lambda a, b: {s: a.s + b.s, c: a.c + case when a.s >= b.s then (a.s - (a.s + b.s)) + b.s else (b.s - (a.s + b.s)) + a.s end}"
+    total = f"list_reduce(list({{s: weight, c: 0.0::double}} order by class), {add})"
+    return f"""{n}_pos as (select * from {weights} where weight > 0),
+      {n}_tot as (select grp, {total}.s + {total}.c as total, min(weight) as low, max(weight) as high from {n}_pos group by 1),
+      {n}_freq as (select grp, class, case when low = high then 1 else greatest(floor(20 * (weight / total) / (low / total))::bigint, 1) end as per from {n}_pos join {n}_tot using (grp)),
+      {n}_order as (select *, row_number() over (partition by grp order by per desc, class) as k, (sum(per) over (partition by grp))::bigint as period from {n}_freq),
+      {n}_steps as (
+        select grp, 0::bigint as k, range(period) as free, []::bigint[] as taken from (select distinct grp, period from {n}_order) z
+        union all
+        select grp, k, list_filter(free, lambda x: not list_contains(dealt, x)), dealt from (
+          select s.grp, o.k, s.free, list_transform(range(o.per), lambda j: s.free[floor(j * (len(s.free) / o.per))::bigint + 1]) as dealt from {n}_steps s join {n}_order o on s.grp = o.grp and o.k = s.k + 1) z),
+      {n}_slots as (select o.grp, o.class, o.per, o.period, unnest(s.taken) as slot from {n}_steps s join {n}_order o on s.grp = o.grp and s.k = o.k),
+      {n} as (select *, row_number() over (partition by grp, class order by slot) - 1 as before from {n}_slots)"""
+
+
+def d_read(seed, table, inner, outer, key, by):
+    """The end of a nested sequence: rows of ``table`` at <t>(position, grp, class, turn)."""
+    return f"""r as (select *, row_number() over (partition by {outer}, {inner} order by md5('{seed}|' || {by}), {key}) as rk, count(*) over (partition by {outer}, {inner}) as size from {table})
+      select t.position, t.grp as {outer}, t.class as {inner}, r.{key} from t join r on r.{outer} is not distinct from t.grp and r.{inner} is not distinct from t.class and r.rk = t.turn % r.size + 1"""
+
+
+def d_nested(weights: str, inner_weights: str, table: str, outer: str, inner: str, key: str, seed) -> str:
+    """A whole nested sequence over all rows of ``table``, from weights (grp, class, weight) at both levels."""
+    return f"""with recursive w as ({weights}), {d_schedule("w", "o")}, v as ({inner_weights}), {d_schedule("v", "i")},
+      sz as (select {outer} as grp, {inner} as class, count(*) as size from {table} group by 1, 2),
+      len as (select grp, max(period) as period, max(ceil(size / per)::bigint) * max(period) as length from (select distinct grp, class, per, period from i) z join sz using (grp, class) group by 1),
+      pos as (select unnest(range((select count(*) from {table}))) as position),
+      a as (select position, o.class as grp, (position // o.period * o.per + o.before) as turn from pos join o on position % o.period = o.slot),
+      b as (select position, grp, turn % length as at, len.period from a join len using (grp)),
+      t as (select position, i.grp, i.class, (b.at // i.period * i.per + i.before) as turn from b join i on b.grp = i.grp and b.at % b.period = i.slot),
+      {d_read(seed, table, inner, outer, key, f"{key}::varchar")}"""
+
+
+@query("g6_schedule", f"""with recursive w as (select 0 as grp, lang as class, sum(n_chars)::double as weight from documents group by 2), {d_schedule("w", "s")}
+    select slot, class, before, per as per_period, period from s""")
+def g6(d: Data):
+    # Sampling weights per language: its share of the characters.
+    sums = d.table("documents").groupBy(F.col("lang").alias("class")).agg(F.sum("n_chars").alias("weight"))
+    return sampling.schedule(sums, "class")
 
 
-@query("g6_schedule")
-def g6(d: Data):
-    return sampling.schedule_table(d.spark, event_weights(d))
+@query(
+    "g6_schedules",
+    f"""with recursive w as (select source as grp, lang as class, count(*)::double as weight from documents where lang is not null and source is not null group by 1, 2), {d_schedule("w", "s")}
+        select grp as source, slot, class, before, per as per_period, period from s""",
+)
+def g6_many(d: Data):
+    docs = d.table("documents").where("lang is not null and source is not null")
+    sums = docs.groupBy("source", F.col("lang").alias("class")).agg(F.count("*").alias("weight"))
+    return sampling.schedule(sums, "class", ["source"])
 
 
 WEIGHTS = {"de": 0.2, "en": 0.5, "es": 0.0, "fr": 0.35}
-_SLOTS = ", ".join(f"({s}, '{c}', {b}, {n})" for s, c, b, n in sampling.schedule_rows(WEIGHTS))
+_WEIGHTS = "select 0 as grp, * from (values " + ", ".join(f"('{c}', {w}::double)" for c, w in WEIGHTS.items()) + ") z(class, weight)"
 
 
 @query(
     "g7_weighted_sequence",
-    f"""with sch(slot, location, before, per) as (values {_SLOTS}), period as (select count(*) as l from sch), sz as (select location, count(*) as size from v_pool group by 1),
-        n as (select max(ceil(size / per)::bigint) * max(l) as n from sch join sz using (location), period),
-        pos as (select unnest(range((select n from n))) as position), t as (select position, location, (position // l) * per + before as turn from pos, period, sch where position % l = slot),
+    f"""with recursive w as ({_WEIGHTS}), {d_schedule("w", "sch")}, sz as (select location, count(*) as size from v_pool group by 1),
+        n as (select max(ceil(size / per)::bigint) * max(period) as n from sch join sz on sch.class = sz.location),
+        pos as (select unnest(range((select n from n))) as position), t as (select position, class as location, (position // period) * per + before as turn from pos join sch on position % period = slot),
         r as {d_rank(5, by='location')} select position, t.location, r.id from t join sz on t.location = sz.location join r on r.location = t.location and r.rk = turn % size + 1""",
 )
 def g7(d: Data):
@@ -265,17 +313,17 @@ def g7(d: Data):
     return out.select("position", "location", "id")
 
 
-@query("g7_nested_sequence")
+@query(
+    "g7_nested_sequence",
+    d_nested("select distinct 0 as grp, location as class, 1.0::double as weight from v_pool",
+             "select distinct location as grp, category as class, 1.0::double + category[4:]::int % 3 as weight from v_pool", "v_pool", "location", "category", "id", 5),
+)
 def g7_nested(d: Data):
     rows = d.view("v_pool")
-    names = sampling.group_sizes(rows, ["location", "category"]).limit(sampling.MAX_CLASSES + 1).collect()
-    if len(names) > sampling.MAX_CLASSES:
-        raise ValueError(f"more than {sampling.MAX_CLASSES} classes")
-    inner: dict = {}
-    for r in sorted(names):
-        inner.setdefault(r[0], {})[r[1]] = 1.0 + int(r[1][3:]) % 3
-    out = sampling.nested_sequence(rows, {k: 1.0 for k in inner}, inner, "location", "category", ["id"], rows.count(), 5)
-    return out.groupBy("location", "category").agg(F.count("*").alias("n"), F.countDistinct("id").alias("rows"))
+    inner = rows.select("location", "category").distinct().withColumn("weight", F.lit(1.0) + F.substring("category", 4, 9).cast("int") % 3)
+    outer = inner.select("location").distinct().withColumn("weight", F.lit(1.0))
+    out = sampling.nested_sequence(rows, outer, inner, "location", "category", ["id"], rows.count(), 5)
+    return out.select("position", "location", "category", "id")
 
 
 @query("g8_concat_shuffle", """select name, id, row_number() over (order by md5('8|' || name || '|' || id::varchar), name, id) - 1 as position from
@@ -384,13 +432,16 @@ def h3(d: Data):
     return curriculum.clamp_weights(rows)
 
 
-@query("h4_apply_weights")
+@query(
+    "h4_apply_weights",
+    d_nested(f"select 0 as grp, dataset as class, round(e / sum(e) over (), 4) as weight from (select dataset, {_ERR} as e from {_DS} m) a",
+             "select distinct dataset as grp, category as class, 1.0::double as weight from v_eval", "v_eval", "dataset", "category", "example_id", 0),
+)
 def h4(d: Data):
     rows = d.view("v_eval")
-    per_dataset = curriculum.dataset_weights(stats.dataset_metrics(rows, MW), MW)
-    outer = sampling.collect_weights(per_dataset, "dataset")
-    out = curriculum.apply_weights(rows, outer, None, rows.count(), ["example_id"])
-    return out.groupBy("dataset", "category").agg(F.count("*").alias("n"), F.countDistinct("example_id").alias("rows"))
+    per_dataset = curriculum.dataset_weights(stats.dataset_metrics(rows, MW), MW).withColumn("weight", F.round("weight", 4))
+    out = curriculum.apply_weights(rows, per_dataset, None, rows.count(), ["example_id"])
+    return out.select("position", "dataset", "category", "example_id")
 
 
 def scored(d: Data):

@@ -242,8 +242,9 @@ def duck(sql: str) -> str:
     body = sql.strip()
     if not ctes:
         return body
-    if body.lower().startswith("with "):
-        return "with " + ",\n".join(ctes) + ",\n" + body[5:]
+    for head in ("with recursive ", "with "):
+        if body.lower().startswith(head):
+            return head + ",\n".join(ctes) + ",\n" + body[len(head) :]
     return "with " + ",\n".join(ctes) + "\n" + body
 
 

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,24 +86,60 @@ def slots_by_hand(weights):
     return [where[s] for s in sorted(where)]
 
 
-def test_interleave_schedule():
+def test_schedules(spark):
     rng = random.Random(8)
-    for _ in range(50):
-        w = [rng.choice([0, 0.1, 0.25, 0.5, 1, rng.random()]) for _ in range(rng.randint(1, 6))]
-        if not any(w):
-            continue
-        got = sampling.interleave_schedule(w)
-        assert got == slots_by_hand(w)
-    assert sampling.interleave_schedule([1, 1, 1]) == [0, 1, 2]
-    with pytest.raises(ValueError):
-        sampling.interleave_schedule([])
+    groups = [[rng.choice([0, 0.1, 0.25, 0.5, 1, rng.random()]) for _ in range(rng.randint(1, 6))] for _ in range(60)]
+    groups += [[1, 1, 1], [3.0], [0, 2], [1e-3, 1], [0.3, 0.3, 0.1], [1 / 3, 1 / 7, 1 / 49], [float(i + 1) for i in range(40)]]
+    groups = [w for w in groups if any(w)]
+    rows = [(g, f"c{i:02d}", float(x)) for g, w in enumerate(groups) for i, x in enumerate(w)]
+    rng.shuffle(rows)
+    weights = spark.createDataFrame(rows, "g int, class string, weight double").repartition(3)
+    got = {}
+    for r in sampling.schedule(weights, "class", ["g"]).orderBy("g", "slot").collect():
+        got.setdefault(r["g"], []).append(r)
+    for g, w in enumerate(groups):
+        names = [f"c{i:02d}" for i in slots_by_hand([x for x in w if x])] if 0 not in w else None
+        used = [f"c{i:02d}" for i, x in enumerate(w) if x]
+        names = names or [used[i] for i in slots_by_hand([x for x in w if x])]
+        assert [r["slot"] for r in got[g]] == list(range(len(names))) and [r["class"] for r in got[g]] == names
+        seen = Counter()
+        for r in got[g]:
+            assert r["before"] == seen[r["class"]] and r["period"] == len(names) and r["per_period"] == names.count(r["class"])
+            seen[r["class"]] += 1
+
+
+def test_schedule_of_far_weights(spark):
+    weights = spark.createDataFrame([("a", 1e-4), ("b", 1.0)], "class string, weight double")
+    rows = sampling.schedule(weights, "class").orderBy("slot").collect()
+    per = Counter(r["class"] for r in rows)
+    assert [r["slot"] for r in rows] == list(range(len(rows))) and per["a"] == 20 and per["b"] in (199_999, 200_000)
+    gaps = np.diff([r["slot"] for r in rows if r["class"] == "a"])
+    assert gaps.min() > 9_000
+
+
+def test_broken_weights(spark):
+    for w, message in ((-1.0, "non-negative"), (None, "non-negative")):
+        weights = spark.createDataFrame([("a", w), ("b", 1.0)], "class string, weight double")
+        with pytest.raises(Exception, match=message):
+            sampling.schedule(weights, "class").collect()
+    with pytest.raises(Exception, match="no weight above 0"):
+        sampling.schedule(spark.createDataFrame([("a", 0.0)], "class string, weight double"), "class").collect()
+    rows = spark.createDataFrame([("a", 1)], "g string, k int")
+    with pytest.raises(Exception, match="no rows of class"):
+        sampling.weighted_sequence(rows, {"a": 1.0, "b": 1.0}, "g", ["k"]).collect()
+
+
+def test_nested_sequence_with_a_null_class(spark):
+    df = spark.createDataFrame([(None, "p", 1), (None, None, 2), ("y", None, 3)], "dataset string, category string, k int")
+    out = curriculum.apply_weights(df, None, None, 40, ["k"]).collect()
+    assert Counter(r["k"] for r in out) == {3: 20, 1: 10, 2: 10} and sorted(r["position"] for r in out) == list(range(40))
 
 
 def test_weighted_sequence(pool):
     weights = {"a": 1.0, "b": 0.0, "c": 3.0}
     rows = sampling.weighted_sequence(pool, weights, "g", ["k"]).orderBy("position").collect()
     assert [r["position"] for r in rows] == list(range(len(rows)))
-    period = [g for _, g, _, _ in sampling.schedule_rows(weights)]
+    period = ["ac"[i] for i in slots_by_hand([1.0, 3.0])]
     assert Counter(period) == {"a": 20, "c": 60}
     assert [r["g"] for r in rows] == [period[i % 80] for i in range(len(rows))]
     for g in "ac":
