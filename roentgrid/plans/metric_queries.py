@@ -266,14 +266,69 @@ def h(*parts):
     return hash60("concat_ws('|', '42', " + ", ".join(parts) + ")", "duckdb")
 
 
+N_BOOT = 1000
+
+
+def _u32(x: str) -> str:
+    return f"(({x}) & 4294967295::ubigint)"
+
+
+def _mix32(x: str) -> str:
+    """A hash of 32-bit words, kept in 64 bits so that products do not overflow."""
+    x = f"xor({x}, ({x}) >> 16)"
+    x = _u32(f"{x} * 2146121005::ubigint")
+    x = _u32(f"xor({x}, {x} >> 15) * 2221713035::ubigint")
+    return f"xor({x}, {x} >> 16)"
+
+
+def _node_keys(start: str, end: str) -> str:
+    one, two = bootstrap.seed_words(42)
+    return (
+        f"{_mix32(f'xor({_mix32(f'xor({one}::ubigint, b::ubigint)')}, ({start})::ubigint)')} as k1, "
+        f"{_mix32(f'xor({_mix32(f'xor({two}::ubigint, b::ubigint)')}, ({end})::ubigint)')} as k2"
+    )
+
+
+def _word(step: str, j: str) -> str:
+    return _mix32(f"xor({_mix32(_u32(f'k1 + ({j})::ubigint * 2654435769::ubigint'))}, {_mix32(_u32(f'k2 + ({step})::ubigint'))})")
+
+
+def d_draws(totals: str) -> str:
+    """CTEs that end in draws(b, idx) for <totals>(b, n, rows): the tree of counts as a recursion, then every draw of its leaves.
+
+    A node is split digit by digit: ``open`` draws are undecided, ``rest`` of ``total`` is the
+    remainder of the probability of its left half.
+    """
+    size = bootstrap.BLOCK
+    ones = f"""list_sum(list_transform(range((open + 31) // 32), lambda j: bit_count(({_word("step", "j")} & case when 32 * (j + 1) <= open
+        then 4294967295::ubigint else (1::ubigint << (open - 32 * j)::ubigint) - 1 end)::bigint)))::bigint"""
+    half = f"(((first + last) // 2 - first) * {size})"
+    return f"""nodes as (
+        select b, rows, 0::bigint as first, ((rows + {size - 1}) // {size})::bigint as last, n::bigint as n, 1::bigint as step, n::bigint as open, 0::bigint as lft, null::bigint as rest from {totals}
+        union all
+        select b, rows, x.first, x.last, x.n, x.step, x.open, x.lft, x.rest from (
+          select b, rows, unnest(case when open > 0 and coalesce(rest, 1) > 0 then
+              [{{first: first, last: last, n: n, step: step + 1, open: case when digit then ones else open - ones end, lft: lft + case when digit then open - ones else 0 end, rest: twice - case when digit then total else 0 end}}]
+            else [{{first: first, last: (first + last) // 2, n: lft, step: 1::bigint, open: lft, lft: 0::bigint, rest: null::bigint}},
+                  {{first: (first + last) // 2, last: last, n: n - lft, step: 1::bigint, open: n - lft, lft: 0::bigint, rest: null::bigint}}] end) as x
+          from (select *, 2 * coalesce(rest, {half}) as twice, 2 * coalesce(rest, {half}) >= total as digit, {ones} as ones
+            from (select *, least(last * {size}, rows) - first * {size} as total, {_node_keys("first", "last")} from nodes where last - first > 1 and n > 0) y) z) w),
+      leaves as (select b, rows, first, n, {_node_keys("first", "first")} from nodes where last - first = 1 and n > 0 and step = 1),
+      draws as (select b, first * {size} + (({_word("0", "j")} * least({size}, rows - first * {size})::ubigint) >> 32)::bigint as idx from (select *, unnest(range(n)) as j from leaves) x)"""
+
+
+def d_order(key: str) -> str:
+    return f"md5('42|' || {key}::varchar), {key}"
+
+
 @query(
     "i16_bootstrap_mean",
-    f"""with r as (select bbox_iou as v, row_number() over (order by md5('42|' || example_id::varchar), example_id) as idx from v_eval where bbox_iou is not null), n as (select count(*) as n from r),
-        d as (select b, {h("'boot'", "b::varchar", "idx::varchar")} % n + 1 as idx from (select idx, unnest(range(20)) as b from r) x, n),
-        m as (select b, avg(v) as m from d join r using (idx) group by 1) select round(avg(m), 6) as mean, round(stddev_pop(m), 6) as std from m""",
+    f"""with recursive r as (select bbox_iou as v, row_number() over (order by {d_order("example_id")}) - 1 as idx from v_eval where bbox_iou is not null),
+        tot as (select unnest(range({N_BOOT})) as b, count(*) as n, count(*) as rows from r), {d_draws("tot")},
+        m as (select b, avg(v) as m from draws join r using (idx) group by 1) select round(avg(m), 6) as mean, round(stddev_pop(m), 6) as std from m""",
 )
 def i16(d: Data):
-    return rounded(bootstrap.bootstrap_mean(d.view("v_eval"), "bbox_iou", ["example_id"], 20), "mean", "std")
+    return rounded(bootstrap.bootstrap_mean(d.view("v_eval"), "bbox_iou", ["example_id"], N_BOOT), "mean", "std")
 
 
 def _poisson():
@@ -287,55 +342,72 @@ def _poisson():
 
 @query(
     "i16_poisson_bootstrap",
-    f"""with d as (select b, bbox_iou as v, {h("'poisson'", "b::varchar", "example_id::varchar")} / cast(1152921504606846976 as double) as u from (select example_id, bbox_iou, unnest(range(20)) as b from v_eval where bbox_iou is not null) x),
+    f"""with d as (select b, bbox_iou as v, {h("'poisson'", "b::varchar", "example_id::varchar")} / cast(1152921504606846976 as double) as u from (select example_id, bbox_iou, unnest(range({N_BOOT})) as b from v_eval where bbox_iou is not null) x),
         m as (select b, sum(v * k) / sum(k) as m from (select b, v, {_poisson()} as k from d) y group by 1) select round(avg(m), 6) as mean, round(stddev_pop(m), 6) as std from m""",
 )
 def i16_poisson(d: Data):
-    return rounded(bootstrap.poisson_bootstrap_mean(d.view("v_eval"), "bbox_iou", ["example_id"], 20), "mean", "std")
+    return rounded(bootstrap.poisson_bootstrap_mean(d.view("v_eval"), "bbox_iou", ["example_id"], N_BOOT), "mean", "std")
 
 
 @query(
     "i17_bootstrap_by_category",
-    f"""with z as (select category, count(*) as size, sum(count(*)) over (order by category) - count(*) as start from v_eval group by 1),
-        r as (select category, text_score as v, start + row_number() over (partition by category order by md5('42|' || example_id::varchar), example_id) as idx from v_eval join z using (category)),
-        n as (select count(*) as n, count(distinct category) as c from r),
-        d as (select b, start + {h("'sure'", "b::varchar", "category")} % size + 1 as idx from (select *, unnest(range(20)) as b from z) x
-              union all select b, {h("'free'", "b::varchar", "idx::varchar")} % n + 1 from (select idx, unnest(range(20)) as b from r) x, n where idx <= n - c),
-        s as (select b, category, sum(v) as s, count(*) as n, sum(v) / count(*) as m from d join r using (idx) group by 1, 2), p as (select b, sum(s) / sum(n) as micro, avg(m) as macro from s group by 1)
+    f"""with recursive r as (select category, text_score as v, row_number() over (order by {d_order("example_id")}) - 1 as idx,
+          row_number() over (partition by category order by {d_order("example_id")}) as place from v_eval where category is not null and text_score is not null),
+        tot as (select unnest(range({N_BOOT})) as b, count(*) - count(distinct category) as n, count(*) as rows from r), {d_draws("tot")},
+        sure as (select x.b, r.idx from (select category, b, {h("'sure'", "b::varchar", "category")} % size + 1 as place from (select category, count(*) as size, unnest(range({N_BOOT})) as b from r group by 1) y) x join r using (category, place)),
+        s as (select b, category, sum(v) as s, count(*) as n, sum(v) / count(*) as m from (select * from draws union all select * from sure) d join r using (idx) group by 1, 2), p as (select b, sum(s) / sum(n) as micro, avg(m) as macro from s group by 1)
         select 'micro' as level, null as category, round(avg(micro), 6) as mean, round(stddev_pop(micro), 6) as std from p union all select 'macro', null, round(avg(macro), 6), round(stddev_pop(macro), 6) from p
         union all select 'category', category, round(avg(m), 6), round(stddev_pop(m), 6) from s group by 2""",
 )
 def i17(d: Data):
-    return rounded(bootstrap.bootstrap_by_category(d.view("v_eval"), "text_score", "category", ["example_id"], 20), "mean", "std")
+    return rounded(bootstrap.bootstrap_by_category(d.view("v_eval"), "text_score", "category", ["example_id"], N_BOOT), "mean", "std")
 
 
 def d_multilabel(positive, score):
-    return f"""with sm as (select doc_id, row_number() over (order by md5('42|' || doc_id::varchar), doc_id) as idx from (select distinct doc_id from v_labels) x), n as (select count(*) as n from sm),
-    ps as (select doc_id, class, row_number() over (partition by class order by md5('42|' || doc_id::varchar), doc_id) as place from ({positive}) x),
-    su as (select distinct b, idx from (select class, b, {h("'sure'", "b::varchar", "class")} % size + 1 as place from (select class, count(*) as size, unnest(range(20)) as b from ps group by 1) x) y join ps using (class, place) join sm using (doc_id)),
-    dr as (select b, idx from su union all select x.b, {h("'free'", "x.b::varchar", "idx::varchar")} % n + 1 from (select idx, unnest(range(20)) as b from sm) x join (select b, count(*) as k from su group by 1) g on x.b = g.b, n where idx <= n - k),
-    ct as (select b, class, count(case when y_true = 1 and y_pred = 1 then 1 end) as tp, count(case when y_true <> 1 and y_pred = 1 then 1 end) as fp, count(case when y_true = 1 and y_pred <> 1 then 1 end) as fn
-      from dr join sm using (idx) join v_labels using (doc_id) group by 1, 2),
+    return f"""with recursive sm as (select doc_id, row_number() over (order by {d_order("doc_id")}) - 1 as idx from (select distinct doc_id from v_labels) x),
+    ps as (select doc_id, class, row_number() over (partition by class order by {d_order("doc_id")}) as place from ({positive}) x),
+    su as (select distinct b, idx from (select class, b, {h("'sure'", "b::varchar", "class")} % size + 1 as place from (select class, count(*) as size, unnest(range({N_BOOT})) as b from ps group by 1) x) y join ps using (class, place) join sm using (doc_id)),
+    tot as (select b, (select count(*) from sm) - coalesce(k, 0) as n, (select count(*) from sm) as rows from (select unnest(range({N_BOOT})) as b) x left join (select b, count(*) as k from su group by 1) y using (b)), {d_draws("tot")},
+    tm as (select b, idx, count(*) as k from (select * from draws union all select * from su) z group by 1, 2),
+    ct as (select b, class, sum(case when y_true = 1 and y_pred = 1 then k else 0 end) as tp, sum(case when y_true <> 1 and y_pred = 1 then k else 0 end) as fp, sum(case when y_true = 1 and y_pred <> 1 then k else 0 end) as fn,
+      sum(case when (y_true = 1) = (y_pred = 1) then k else 0 end) as same, sum(k) as labels
+      from tm join sm using (idx) join v_labels using (doc_id) group by 1, 2),
     f as ({score}) select round(avg(f), 6) as mean, round(stddev_pop(f), 6) as std from f"""
 
 
-@query(
-    "i18_bootstrap_multilabel_micro",
-    d_multilabel("select doc_id, class from v_labels where y_true > 0", "select b, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) as f from ct group by 1"),
-)
+_POSITIVE = "select doc_id, class from v_labels where y_true > 0"
+_ANY = "select distinct doc_id, 'any' as class from v_labels where y_true > 0"
+_CLASS_F1 = "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)"
+
+
+@query("i18_bootstrap_multilabel_micro", d_multilabel(_POSITIVE, "select b, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) as f from ct group by 1"))
 def i18_micro(d: Data):
-    return rounded(bootstrap.bootstrap_multilabel(d.view("v_labels"), "doc_id", "micro", 20), "mean", "std")
+    return rounded(bootstrap.bootstrap_multilabel(d.view("v_labels"), "doc_id", "micro", N_BOOT), "mean", "std")
 
 
-@query(
-    "i18_bootstrap_multilabel_macro",
-    d_multilabel("select distinct doc_id, 'any' as class from v_labels where y_true > 0", "select b, avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) as f from ct group by 1"),
-)
+@query("i18_bootstrap_multilabel_macro", d_multilabel(_ANY, f"select b, avg({_CLASS_F1}) as f from ct group by 1"))
 def i18_macro(d: Data):
-    out = bootstrap.bootstrap_multilabel(d.view("v_labels"), "doc_id", "macro", 20, ensure_all_classes=False, drop_empty_classes=True)
+    out = bootstrap.bootstrap_multilabel(d.view("v_labels"), "doc_id", "macro", N_BOOT, ensure_all_classes=False, drop_empty_classes=True)
     return rounded(out, "mean", "std")
 
 
+@query("i18_bootstrap_multilabel_weighted", d_multilabel(_POSITIVE, f"select b, coalesce(sum({_CLASS_F1} * (tp + fn)) / nullif(sum(tp + fn), 0), 0) as f from ct group by 1"))
+def i18_weighted(d: Data):
+    return rounded(bootstrap.bootstrap_multilabel(d.view("v_labels"), "doc_id", "weighted", N_BOOT), "mean", "std")
+
+
+@query("i18_bootstrap_plugged_metric", d_multilabel(_ANY, "select b, min(tp / nullif(tp + fn, 0)) as f from ct group by 1"))
+def i18_plugged(d: Data):
+    # The recall of the worst class, as a metric that the library does not have.
+    recall = bootstrap.LabelMetric(lambda t, p: {"hit": t & p, "true": t}, lambda: F.min(F.try_divide("hit", "true")))
+    return rounded(bootstrap.bootstrap_multilabel(d.view("v_labels"), "doc_id", recall, N_BOOT, ensure_all_classes=False), "mean", "std")
+
+
+@query("i18_bootstrap_accuracy", d_multilabel(_POSITIVE, "select b, sum(same) / sum(labels) as f from ct group by 1"))
+def i18_accuracy(d: Data):
+    return rounded(bootstrap.bootstrap_multilabel(d.view("v_labels"), "doc_id", "accuracy", N_BOOT), "mean", "std")
+
+
 # -- plug-ins ------------------------------------------------------------------------------------------
 
 @query(

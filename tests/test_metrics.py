@@ -210,17 +210,95 @@ def test_bootstraps(spark):
     assert ("micro", None) in got and ("macro", None) in got
 
 
-def test_multilabel_draws_are_full_and_cover_classes(spark):
+def test_split_draws_are_whole_and_binomial():
+    b = np.arange(400)
+    n, rows = np.full(400, 9_000), np.full(400, 1_000)
+    got = {}
+    for lines in bootstrap.split_draws(5, b, n, rows, block=64):
+        for i, block, k in zip(*lines, strict=True):
+            assert (i, block) not in got
+            got[(i, block)] = k
+    per_b, per_block = Counter(), {}
+    for (i, block), k in got.items():
+        per_b[i] += k
+        per_block.setdefault(block, []).append(k)
+    assert set(per_b.values()) == {9_000} and sorted(per_block) == list(range(16))
+    for block, ks in per_block.items():
+        p = min(64, 1_000 - 64 * block) / 1_000
+        assert np.mean(ks) == pytest.approx(9_000 * p, rel=0.02)
+        assert np.std(ks) == pytest.approx((9_000 * p * (1 - p)) ** 0.5, rel=0.2)
+    # In small pieces it is the same tree.
+    nodes, words = bootstrap.NODES, bootstrap.WORDS
+    bootstrap.NODES, bootstrap.WORDS = 7, 50
+    again = {(i, block): k for x in bootstrap.split_draws(5, b, n, rows, block=64) for i, block, k in zip(*x, strict=True)}
+    bootstrap.NODES, bootstrap.WORDS = nodes, words
+    assert again == got
+
+
+def test_block_draws_are_even():
+    b = np.arange(300)
+    line, place = bootstrap.block_draws(1, b, np.full(300, 7), np.full(300, 100), 10)
+    assert (np.bincount(line) == 100).all() and np.bincount(place) == pytest.approx(3_000, rel=0.06)
+    # Iterations draw for themselves.
+    assert len({tuple(place[line == i]) for i in range(300)}) == 300
+
+
+def by_hand(entries, totals, sure, rows, block, seed):
+    """Sums per (iteration, group) with one draw after the other."""
+    out = Counter()
+    b, n = np.array(list(totals)), np.array(list(totals.values()))
+    drawn = list(sure)
+    for i, number, k in (x for lines in bootstrap.split_draws(seed, b, n, np.full(len(b), rows), block) for x in zip(*lines, strict=True)):
+        one = (np.array([i]), np.array([number]), np.array([k]))
+        drawn += [(i, number * block + p) for p in bootstrap.block_draws(seed, *one, min(block, rows - number * block))[1]]
+    for i, idx in drawn:
+        for group, v in entries.get(idx, []):
+            out[(i, group)] += v
+    return out
+
+
+def test_resampled_sums(spark):
+    rng = random.Random(2)
+    entries = {i: [(rng.choice(["p", "q", None]), rng.randint(1, 5)) for _ in range(rng.randrange(4))] for i in range(50)}
+    totals, sure = {i: 40 + i for i in range(9)}, [(i, rng.randrange(50)) for i in range(9) for _ in range(3)]
+    flat = spark.createDataFrame([(i, g, float(v)) for i, own in entries.items() for g, v in own], "idx long, group string, v double")
+    got = {}
+    for parts, cells in ((1, bootstrap.CELLS), (5, 60)):
+        whole, bootstrap.CELLS = bootstrap.CELLS, cells
+        df = bootstrap.resampled_sums(
+            flat.repartition(parts), spark.createDataFrame([(b, n, 50) for b, n in totals.items()], "b long, n long, rows long").repartition(parts), ["v"], 3,
+            spark.createDataFrame([(b, i, 50) for b, i in sure], "b long, idx long, rows long"), block=8,
+        )
+        got[parts] = {(r["b"], r["group"]): r["v"] for r in df.collect()}
+        bootstrap.CELLS = whole
+    assert got[1] == got[5] == by_hand(entries, totals, sure, 50, 8, 3)
+
+
+def test_no_draw_leaves_its_task(spark):
+    df = spark.range(100).select("id", F.col("id").cast("double").alias("v"))
+    plan = bootstrap.bootstrap_mean(df, "v", ["id"], 1000)._jdf.queryExecution().toString()
+    assert "ArrowCoGroup" in plan or "FlatMapCoGroupsInArrow" in plan
+    sums = bootstrap.bootstrap_mean(df.where("id < 0"), "v", ["id"], 10).first()
+    assert sums["mean"] is None
+
+
+def test_label_metrics(spark):
     rows = [(i, c, int((i + j) % 9 == 0), int(i % 3 == j % 3)) for i in range(30) for j, c in enumerate("pq")] + [(0, "zero", 0, 1)]
     df = spark.createDataFrame(rows, "k int, class string, y_true int, y_pred int")
-    drawn, samples = bootstrap.multilabel_draws(df, "k", 10, True, 1)
-    per = drawn.groupBy("b").count().collect()
-    assert len(per) == 10 and {r["count"] for r in per} == {30}
-    pos = drawn.join(samples, "idx").join(df.where("y_true = 1"), "k").groupBy("b").agg(F.countDistinct("class").alias("n")).collect()
-    assert {r["n"] for r in pos} == {2}
     kept = bootstrap.bootstrap_multilabel(df, "k", "macro", 5).first()["mean"]
     dropped = bootstrap.bootstrap_multilabel(df, "k", "macro", 5, drop_empty_classes=True).first()["mean"]
     assert dropped == pytest.approx(kept * 3 / 2)
+    # Every class with positives has one in every resample.
+    least = bootstrap.LabelMetric(lambda t, p: {"true": t}, lambda: F.min(F.when(F.col("group") != "zero", F.col("true"))))
+    scores = [r["score"] for r in bootstrap.bootstrap_label_scores(df, "k", least, 40).collect()]
+    assert len(scores) == 40 and min(scores) >= 1
+    bootstrap.register_label_metric("rows", bootstrap.LabelMetric(lambda t, p: {"n": F.lit(True)}, lambda: F.max("n")))
+    drawn = {r["score"] for r in bootstrap.bootstrap_label_scores(df.where("class = 'p'"), "k", "rows", 10).collect()}
+    assert drawn == {30.0}
+    with pytest.raises(ValueError, match="unknown metric"):
+        bootstrap.bootstrap_multilabel(df, "k", "nope")
+    with pytest.raises(Exception, match="no positive label"):
+        bootstrap.bootstrap_multilabel(df.withColumn("y_true", F.lit(0)), "k", ensure_all_classes=False, n_boot=3).collect()
 
 
 def test_registry(pairs):
