@@ -17,7 +17,7 @@ from ..functions import boxes as bx
 from ..functions import text, vocab
 from ..functions.hashing import example_id, hash_order
 from . import joins
-from .skew import collect_parts
+from .skew import PART_ROWS, collect_parts
 
 INSTANCE_COLUMNS = {
     "dataset": "string", "task": "string", "subtask": "string", "split": "string", "example_id": "string",
@@ -171,7 +171,7 @@ def _phrase_columns(boxes: str) -> dict:
     }
 
 
-def phrase_instances_ms(df: DataFrame, fmt: str = "xyxy", ordinal: str = "ordinal", part_size: int = 4096, bucket: Column | None = None) -> DataFrame:
+def phrase_instances_ms(df: DataFrame, fmt: str = "xyxy", ordinal: str = "ordinal", part_size: int = PART_ROWS, bucket: Column | None = None) -> DataFrame:
     """Per image and phrase all boxes, normalised by the first row's image size."""
     raw = F.array("x", "y", "w", "h")
     grouped = collect_parts(
@@ -258,7 +258,7 @@ def normalised_boxes(annotations: DataFrame, sizes: DataFrame) -> tuple[DataFram
     return rows.where(F.col("box").isNotNull()), rows.where(F.col("box").isNull())
 
 
-def phrase_instances_vd(boxes: DataFrame, ordinal: str = "ordinal", fmt: str = "xyxy", part_size: int = 4096) -> DataFrame:
+def phrase_instances_vd(boxes: DataFrame, ordinal: str = "ordinal", fmt: str = "xyxy", part_size: int = PART_ROWS) -> DataFrame:
     """Per image and class all boxes; boxes(split, image_id, class_name, box, ordinal)."""
     box = bx.xyxy_to_cxcywh("box") if fmt == "cxcywh" else F.col("box")
     rows = collect_parts(
@@ -288,7 +288,7 @@ def rater_union(wide: DataFrame, classes: list[str], image: str = "image_id") ->
 CLASS_ORDER = {c: i for i, c in enumerate(vocab.CLASS_PHRASES)}
 
 
-def pseudo_reports(labels: DataFrame, images: DataFrame, boxes: DataFrame, ordinal: str = "ordinal", part_size: int = 4096) -> DataFrame:
+def pseudo_reports(labels: DataFrame, images: DataFrame, boxes: DataFrame, ordinal: str = "ordinal", part_size: int = PART_ROWS) -> DataFrame:
     """Report text per image made of its positive classes.
 
     labels(image_id, class_name), images(image_id), boxes(image_id, class_name, box,

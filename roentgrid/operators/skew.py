@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 1 << 16
-# A group with more than one MAX_HOT-th of all rows is hot.
-MAX_HOT = 4096
+# Items in one part of a list.
+PART_ROWS = 4096
 
 
 def _cols(names):
@@ -77,22 +77,12 @@ def group_rank(
     return running_totals(df, by, order, bucket, at_most, few, **{name: F.lit(1).cast("bigint")})
 
 
-def hot_groups(df: DataFrame, group: str, at_least: int = 1) -> DataFrame:
-    """Groups that hold more than 1 / MAX_HOT of all rows (and more than ``at_least``).
-
-    There can be at most MAX_HOT of them, so the result is safe to broadcast.
-    """
-    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
-    total = sizes.agg(F.sum("__n")).scalar()
-    return sizes.where((F.col("__n") > at_least) & (F.col("__n") * MAX_HOT > total)).select(group)
-
-
 def collect_parts(
     df: DataFrame,
     by: list[str],
     ordinal: str,
     value: Column,
-    part_size: int = 4096,
+    part_size: int = PART_ROWS,
     name: str = "items",
     first: dict[str, str] | None = None,
     bucket: Column | None = None,
@@ -103,37 +93,30 @@ def collect_parts(
     one continues in parts 1, 2, ... and stays whole. ``ordinal`` must be unique within
     a group (an integer, unless ``bucket`` is given). ``first`` maps output names to
     columns whose value at the lowest ordinal is kept per group.
+
+    All groups go the same way: one narrow row per group and bucket gives the items in
+    front of the bucket, rows are ranked inside their bucket and listed part by part.
     """
     first = first or {}
-    df = df.withColumns({"__value": value, "__g": F.struct(*_cols(by))})
-    hot = hot_groups(df, "__g", part_size)
-    part = F.floor((F.col("__rank") - 1) / part_size).cast("bigint")
-    n_parts = F.ceil(F.col("__n") / part_size).cast("bigint")
-    listed = F.array_sort(F.collect_list(F.struct(F.col("__rank").alias("o"), F.col("__value").alias("v"))))
-    items = F.transform(listed, lambda x: x["v"]).alias(name)
-
-    # All other groups: one exchange on the group serves the window and the lists.
-    w = Window.partitionBy("__g")
-    cold = df.join(F.broadcast(hot), "__g", "left_anti").withColumns(
-        {"__rank": F.row_number().over(w.orderBy(ordinal)), "__n": F.count("*").over(w)}
+    keys = ["__g", "__b"]
+    base = df.select(
+        F.struct(*_cols(by)).alias("__g"), (ordinal_bucket(ordinal) if bucket is None else bucket).alias("__b"),
+        F.col(ordinal).alias("__o"), value.alias("__v"), *[F.col(c).alias(f"__f_{n}") for n, c in first.items()],
+    )
+    heads = base.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.min_by(f"__f_{n}", "__o").alias(f"__f_{n}") for n in first])
+    group = Window.partitionBy("__g")
+    offsets = heads.select(
+        *keys, (F.sum("__n").over(group.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(group).alias("__all"),
+        *[F.first_value(f"__f_{n}").over(group.orderBy("__b")).alias(f"__f_{n}") for n in first],
     )
-    at_start = [F.first_value(c).over(w.orderBy(ordinal)).alias(f"__f_{n}") for n, c in first.items()]
-    cold = cold.select("__g", "__rank", "__n", "__value", *at_start).withColumn("part", part)
-    plain = cold.groupBy("__g", "part").agg(
-        F.max("__n").alias("__n"), items, *[F.first(f"__f_{n}").alias(n) for n in first]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__o")) - 1 + F.col("__before")
+    ranked = base.select(*keys, "__o", "__v").join(offsets, keys).withColumn("__rank", rank)
+    listed = F.array_sort(F.collect_list(F.struct(F.col("__rank").alias("o"), F.col("__v").alias("v"))))
+    parts = ranked.groupBy("__g", F.floor(F.col("__rank") / part_size).cast("bigint").alias("part")).agg(
+        F.ceil(F.first("__all") / part_size).cast("bigint").alias("n_parts"),
+        F.transform(listed, lambda x: x["v"]).alias(name), *[F.first(f"__f_{n}").alias(n) for n in first],
     )
-    plain = plain.select("__g", "part", n_parts.alias("n_parts"), name, *first)
-
-    # Hot groups: ranked bucket by bucket and listed part by part, with one narrow row
-    # per part for what belongs to the whole group.
-    rows = df.join(F.broadcast(hot), "__g", "left_semi")
-    ranked = group_rank(rows, by, [F.col(ordinal)], ordinal_bucket(ordinal) if bucket is None else bucket, "__rank")
-    parts = ranked.withColumn("part", part).groupBy("__g", "part").agg(items)
-    heads = rows.groupBy("__g").agg(F.count("*").alias("__n"), *[F.min_by(c, ordinal).alias(n) for n, c in first.items()])
-    heads = heads.withColumn("n_parts", n_parts)
-    heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_parts") - 1)))
-    both = plain.unionByName(parts.join(heads, ["__g", "part"]).select("__g", "part", "n_parts", name, *first))
-    return both.select(*[F.col("__g")[c].alias(c) for c in by], "part", "n_parts", name, *first)
+    return parts.select(*[F.col("__g")[c].alias(c) for c in by], "part", "n_parts", name, *first)
 
 
 def draws(df: DataFrame, by: list[str], count: str, name: str = "draw", block: int = 1 << 12) -> DataFrame:

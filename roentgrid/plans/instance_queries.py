@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import boxes as bx
 from ..functions import text, vocab
 from ..operators import instances
+from ..operators.skew import PART_ROWS
 from .box_queries import d_finding
 from .join_queries import PATH, REPORTS, _GROUPS, reports
 from .registry import d_list, query, r6
@@ -22,25 +22,24 @@ def hash_bucket60(c="ordinal"):
     return F.shiftright(F.col(c), 44)
 
 
-def whole(df, by, text, between=" ", **values):
-    """One row per group again: the ``text`` of its parts, in order, put together, and aggregates of other columns."""
-    parts = F.array_sort(F.collect_list(F.struct("part", text)))
-    return df.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p[text]), between).alias(text), *[v.alias(n) for n, v in values.items()])
+def n_boxes():
+    return F.size("boxes").cast("bigint").alias("n_boxes")
 
 
-def n_boxes():
-    return F.sum(F.size("boxes")).cast("bigint")
+def d_parts(by, rows):
+    """Rows with the ``part`` of their group's list that they fall into and the number of its parts."""
+    return f"""(select *, (row_number() over (partition by {by} order by ordinal) - 1) // {PART_ROWS} as part,
+      ceil(count(*) over (partition by {by}) / {PART_ROWS})::bigint as n_parts from {rows} x)"""
 
 
 @query(
     "e1_studies",
-    f"select study_id, any_value(full_report) as full_report, count(*) as n_images, string_agg(image_path, ' ' order by ordinal) as images from {IMAGES} a group by 1",
+    f"""select study_id, part, n_parts, any_value(full_report) as full_report, count(*) as n_images, string_agg(image_path, ' ' order by ordinal) as images
+        from {d_parts("study_id", IMAGES)} a group by 1, 2, 3""",
 )
 def e1(d: Data):
     out = instances.studies(d.view("v_images"), reports(d), "/img", "ordinal", bucket=hash_bucket60())
-    out = out.withColumn("images", F.array_join("image_paths", " "))
-    out = whole(out, ["study_id"], "images", full_report=F.first("full_report"), n_images=F.sum(F.size("image_paths")).cast("bigint"))
-    return out.select("study_id", "full_report", "n_images", "images")
+    return out.select("study_id", "part", "n_parts", "full_report", F.size("image_paths").cast("bigint").alias("n_images"), F.array_join("image_paths", " ").alias("images"))
 
 
 @query(
@@ -54,18 +53,17 @@ def e2(d: Data):
 
 @query(
     "e3_frontal_lateral",
-    f"""select study_id, count(case when kind = 'frontal' then 1 end) as n_frontal, count(case when kind = 'lateral' then 1 end) as n_lateral,
+    f"""select a.*, part, n_parts, frontal_paths from (select study_id, count(case when kind = 'frontal' then 1 end) as n_frontal, count(case when kind = 'lateral' then 1 end) as n_lateral,
         arg_min(case when kind = 'frontal' then image_path end, case when kind = 'frontal' then md5('7|' || dicom_id) end) as frontal_path,
-        arg_min(case when kind = 'lateral' then image_path end, case when kind = 'lateral' then md5('7|' || dicom_id) end) as lateral_path,
-        string_agg(case when kind = 'frontal' then image_path end, ' ' order by ordinal) as frontal_paths
-        from {IMAGES} a where kind is not null group by 1""",
+        arg_min(case when kind = 'lateral' then image_path end, case when kind = 'lateral' then md5('7|' || dicom_id) end) as lateral_path
+        from {IMAGES} a where kind is not null group by 1) a left join (select study_id, part, n_parts, string_agg(image_path, ' ' order by ordinal) as frontal_paths
+        from {d_parts("study_id", f"(select * from {IMAGES} y where kind = 'frontal')")} z group by 1, 2, 3) b using (study_id)""",
 )
 def e3(d: Data):
     out = instances.studies(d.view("v_images"), reports(d), "/img", "ordinal", "frontal_lateral", seed=7)
     lists = instances.study_image_lists(d.view("v_images"), reports(d), "/img", "ordinal", hash_bucket60())
-    lists = lists.where("kind = 'frontal'").select("study_id", "part", F.array_join("image_paths", " ").alias("frontal_paths"))
-    lists = whole(lists, ["study_id"], "frontal_paths")
-    return out.join(lists, "study_id", "left").select("study_id", "n_frontal", "n_lateral", "frontal_path", "lateral_path", "frontal_paths")
+    lists = lists.where("kind = 'frontal'").select("study_id", "part", "n_parts", F.array_join("image_paths", " ").alias("frontal_paths"))
+    return out.join(lists, "study_id", "left").select("study_id", "n_frontal", "n_lateral", "frontal_path", "lateral_path", "part", "n_parts", "frontal_paths")
 
 
 LOCB = "(select dicom_id, split, location, greatest(0, x1) as x1, greatest(0, y1) as y1, least(1, x2) as x2, least(1, y2) as y2 from v_loc_boxes where location <> 'unknown')"
@@ -115,14 +113,12 @@ _NB = "'[' || printf('%.2f', x / iw) || ',' || printf('%.2f', y / ih) || ',' ||
     "e7_phrase_instances",
     f"""with f as (select p.*, first_value(image_width) over w as iw, first_value(image_height) over w as ih, first_value(category_name) over w as cat
           from v_phrases p window w as (partition by split, dicom_id, label_text order by ordinal))
-        select split, dicom_id as image_key, cat as category, label_text as phrase, 'Ground the phrase: ' || label_text as prompt,
-        label_text || ': ' || string_agg({_NB}, ' ' order by ordinal) as target, count(*) as n_boxes from f group by 1, 2, 3, 4, 5""",
+        select split, dicom_id as image_key, cat as category, label_text as phrase, 'Ground the phrase: ' || label_text as prompt, part, n_parts,
+        label_text || ': ' || string_agg({_NB}, ' ' order by ordinal) as target, count(*) as n_boxes from {d_parts("split, dicom_id, label_text", "f")} f group by 1, 2, 3, 4, 5, 6, 7""",
 )
 def e7(d: Data):
     out = instances.phrase_instances_ms(d.view("v_phrases"), bucket=hash_bucket60())
-    keys = ["split", "image_key", "category", "phrase", "prompt"]
-    out = whole(out.withColumn("found", bx.format_boxes("boxes")), keys, "found", n_boxes=n_boxes())
-    return out.select(*keys, F.concat("phrase", F.lit(": "), "found").alias("target"), "n_boxes")
+    return out.select("split", "image_key", "category", "phrase", "prompt", "part", "n_parts", "target", n_boxes())
 
 
 _REPORT = "select study, string_agg({0}, '. ' order by finding_no) as target, sum(n_boxes)::bigint as n_boxes from v_findings group by 1"
@@ -161,33 +157,38 @@ ANN = """(select * from (select a.ordinal, a.image_id, a.split, a.class_name, gr
   greatest(0, least(1, x_max / width)) as x2, greatest(0, least(1, y_max / height)) as y2 from v_annotations a join v_sizes using (image_id) where x_min is not null) t where x1 < x2 and y1 < y2)"""
 
 
+_LOCAL = "class_name in ('Cardiomegaly', 'Nodule/Mass')"
+
+
 @query(
     "e10_pseudo_reports",
-    f"""with boxes as (select image_id, class_name, string_agg({_D_BOX}, ' ' order by ordinal) as found from {ANN} b group by 1, 2),
-        p as (select r.image_id, r.class_name, case when r.class_name in ('Cardiomegaly', 'Nodule/Mass') then 0 else 1 end as tier, list_position({d_list(vocab.CLASS_PHRASES)}, r.class_name) as place,
-              map({d_list(vocab.CLASS_PHRASES)}, {d_list(vocab.CLASS_PHRASES.values())})[r.class_name] || case when r.class_name in ('Cardiomegaly', 'Nodule/Mass') and found is not null then ' ' || found else '' end as piece
-              from {RATED} r left join boxes b on r.image_id = b.image_id and r.class_name = b.class_name where r.class_name <> 'No finding'),
-        t as (select image_id, string_agg(piece, '. ' order by tier, place) as body from p group by 1)
-        select i.image_id, coalesce(body, '') || case when n.image_id is not null then case when body is null then 'No finding' else '. No other relevant findings are noted.' end else '' end || '.' as report
-        from (select distinct image_id from v_raters) i left join t on i.image_id = t.image_id left join (select image_id from {RATED} r where class_name = 'No finding') n on i.image_id = n.image_id""",
+    f"""with bx as (select image_id, class_name, part, string_agg({_D_BOX}, ' ' order by ordinal) as found from {d_parts("image_id, class_name", ANN)} b group by 1, 2, 3),
+        c as (select r.image_id, r.class_name, case when r.class_name = 'No finding' then 2 when r.{_LOCAL} then 0 else 1 end as tier, list_position({d_list(vocab.CLASS_PHRASES)}, r.class_name) as place,
+              case when r.{_LOCAL} then coalesce(k, 1) else 1 end as k from {RATED} r left join (select image_id, class_name, count(*) as k from bx group by 1, 2) n on r.image_id = n.image_id and r.class_name = n.class_name),
+        o as (select *, (sum(k) over w - k)::bigint as start, (sum(k) over (partition by image_id))::bigint as pieces, count(*) over (partition by image_id) as classes from c window w as (partition by image_id order by tier, place)),
+        p as (select o.*, part, start + part as no from o, unnest(range(k)) as x(part)),
+        t as (select p.image_id, no, pieces, classes, case when p.part > 0 then '' else case when no > 0 then '. ' else '' end || case when tier < 2 then map({d_list(vocab.CLASS_PHRASES)}, {d_list(vocab.CLASS_PHRASES.values())})[p.class_name]
+              when classes > 1 then 'No other relevant findings are noted.' else 'No finding' end end || case when tier = 0 and found is not null then ' ' || found else '' end || case when no = pieces - 1 then '.' else '' end as piece
+              from p left join bx on p.image_id = bx.image_id and p.class_name = bx.class_name and p.part = bx.part),
+        s as (select image_id, case when pieces > classes then no else 0 end as part, case when pieces > classes then pieces else 1 end as n_parts, string_agg(piece, '' order by no) as report from t group by 1, 2, 3)
+        select image_id, coalesce(part, 0)::bigint as part, coalesce(n_parts, 1)::bigint as n_parts, coalesce(report, '.') as report from (select distinct image_id from v_raters) i left join s using (image_id)""",
 )
 def e10(d: Data):
     wide = instances.rater_union(d.view("v_raters"), CLASSES)
     labels = instances.label_long(wide, CLASSES, ["image_id"])
     boxes, _ = instances.normalised_boxes(d.view("v_annotations"), d.view("v_sizes"))
-    return whole(instances.pseudo_reports(labels, wide, boxes), ["image_id"], "report", "")
+    return instances.pseudo_reports(labels, wide, boxes)
 
 
 @query(
     "e11_class_phrases",
-    f"""select split, image_id as image_key, map({d_list(vocab.CLASS_PHRASES)}, {d_list(vocab.CLASS_PHRASES.values())})[class_name] as phrase, count(*) as n_boxes,
-        phrase || ': ' || string_agg({_D_BOX}, ' ' order by ordinal) as target from {ANN} b group by 1, 2, 3""",
+    f"""select split, image_id as image_key, map({d_list(vocab.CLASS_PHRASES)}, {d_list(vocab.CLASS_PHRASES.values())})[class_name] as phrase, part, n_parts, count(*) as n_boxes,
+        phrase || ': ' || string_agg({_D_BOX}, ' ' order by ordinal) as target from {d_parts("split, image_id, class_name", ANN)} b group by 1, 2, 3, 4, 5""",
 )
 def e11(d: Data):
     boxes, _ = instances.normalised_boxes(d.view("v_annotations"), d.view("v_sizes"))
-    out = instances.phrase_instances_vd(boxes).withColumn("found", bx.format_boxes("boxes"))
-    out = whole(out, ["split", "image_key", "phrase"], "found", n_boxes=n_boxes())
-    return out.select("split", "image_key", "phrase", "n_boxes", F.concat("phrase", F.lit(": "), "found").alias("target"))
+    out = instances.phrase_instances_vd(boxes)
+    return out.select("split", "image_key", "phrase", "part", "n_parts", n_boxes(), "target")
 
 
 @query(

@@ -40,4 +40,5 @@ def test_large_groups_against_sql(spark, folder, name, query):
         return sorted((tuple(r) for r in rows), key=repr)
 
     assert in_order(got.select(*columns).collect()) == in_order(want)
+    assert max(r[columns.index("n_parts")] or 0 for r in want) > 1
     assert max(len(v) for r in want for v in r if isinstance(v, str)) > 4096 * 20

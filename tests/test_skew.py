@@ -58,16 +58,16 @@ def test_draws(spark):
     assert {r["g"]: sorted(r["d"]) for r in got} == {"b": [0, 1, 2], "c": list(range(25))}
 
 
-def test_hot_groups(spark, monkeypatch):
-    df = spark.createDataFrame(hot_rows(), "g string, i bigint, v bigint")
-    monkeypatch.setattr(skew, "MAX_HOT", 4)
-    assert [r["g"] for r in skew.hot_groups(df, "g").collect()] == ["hot"]
+def test_collect_parts_takes_one_way(spark):
     rows = hot_rows()
-    got = skew.collect_parts(df, ["g"], "i", F.col("v"), 13, "vs", first={"start": "i"}, bucket=skew.ordinal_bucket("i", 8)).collect()
-    assert sum(len(r["vs"]) for r in got) == len(rows)
-    hot = sorted((r for r in got if r["g"] == "hot"), key=lambda r: r["part"])
-    assert [x for r in hot for x in r["vs"]] == [v for g, _, v in rows if g == "hot"]
+    df = spark.createDataFrame(rows, "g string, i bigint, v bigint")
+    out = skew.collect_parts(df.withColumns({"part": F.lit(7), "items": F.lit(8)}), ["g"], "i", F.col("v"), 13, first={"start": "i"})
+    hot = sorted((r for r in out.collect() if r["g"] == "hot"), key=lambda r: r["part"])
+    assert [x for r in hot for x in r["items"]] == [v for g, _, v in rows if g == "hot"]
     assert {(r["n_parts"], r["start"]) for r in hot} == {(8, 0)}
+    assert skew.collect_parts(df.where("i < 0"), ["g"], "i", F.col("v")).count() == 0
+    # The rows are read once for the lists and once for their narrow totals.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
 
 
 def test_rank_limits_keep_every_row_up_to_the_limit(spark):
