@@ -1,8 +1,9 @@
 """Similarity of two sets of embedded items per pair.
 
-Items of a side come in blocks of bounded size. Blocks of the two sides meet in a
-join on the pair; a block pair is one matrix product inside a task, of which only
-the best value per item leaves the task, never the matrix.
+Items of a side come in blocks of bounded size. The block pairs of a pair are the cells
+of a grid: a block goes once to every block of the other side, under a key of the pair
+and both block numbers, so no key holds more than one cell. A cell is one matrix product
+inside a task, of which only the best value per item leaves the task, never the matrix.
 """
 
 from __future__ import annotations
@@ -28,8 +29,28 @@ def _blocks(items: DataFrame, block: int) -> DataFrame:
     unique = unique.withColumn("__h", hash_order("block", "item_id", "item_type"))
     value = F.struct("item_id", "item_type", "copies", "embedding")
     unique = unique.withColumn("__o", F.struct("__h", "item_id", "item_type"))
-    parts = collect_parts(unique, ["pair_id", "side"], "__o", value, block, "items", bucket=hash_bucket(F.col("__h")))
-    return parts.select("pair_id", "side", *[F.col("items")[c].alias(c) for c in ("item_id", "item_type", "copies", "embedding")])
+    # How many blocks the other side has; pairs without another side drop out.
+    opposite = F.when(F.col("side") == "hyp", "ref").when(F.col("side") == "ref", "hyp")
+    others = unique.groupBy("pair_id", "side").agg(F.ceil(F.count("*") / block).cast("bigint").alias("others"))
+    others = others.select("pair_id", opposite.alias("side"), "others")
+    parts = collect_parts(
+        unique, ["pair_id", "side"], "__o", value, block, "items", bucket=hash_bucket(F.col("__h")), groups=others
+    )
+    cells = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1)))
+    columns = [F.col("items")[c].alias(c) for c in ("item_id", "item_type", "copies", "embedding")]
+    return cells.select("pair_id", "side", "part", "other", *columns)
+
+
+def block_pairs(items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(pair_id, h_block, r_block, the items of both blocks): one row for each cell of a pair's grid."""
+    blocks = _blocks(items, block)
+
+    def side(name, prefix, own, other):
+        rows = blocks.where(F.col("side") == name)
+        columns = [F.col(c).alias(f"{prefix}_{c}") for c in ("item_id", "item_type", "copies", "embedding")]
+        return rows.select("pair_id", F.col(own).alias("h_block"), F.col(other).alias("r_block"), *columns)
+
+    return side("hyp", "h", "part", "other").join(side("ref", "r", "other", "part"), ["pair_id", "h_block", "r_block"])
 
 
 def best_matches(items: DataFrame, affinity: dict | None = None, block: int = BLOCK) -> DataFrame:
@@ -41,13 +62,7 @@ def best_matches(items: DataFrame, affinity: dict | None = None, block: int = BL
     that have both sides.
     """
     weights = None if affinity is None else dict(affinity)
-    blocks = _blocks(items.select("pair_id", "side", "item_id", "item_type", "embedding"), block)
-
-    def side(name, prefix):
-        rows = blocks.where(F.col("side") == name)
-        return rows.select("pair_id", *[F.col(c).alias(f"{prefix}_{c}") for c in ("item_id", "item_type", "copies", "embedding")])
-
-    met = side("hyp", "h").join(side("ref", "r"), "pair_id")
+    met = block_pairs(items.select("pair_id", "side", "item_id", "item_type", "embedding"), block).drop("h_block", "r_block")
     pair_type = met.schema["pair_id"].dataType.simpleString()
     id_type = met.schema["h_item_id"].dataType.elementType.simpleString()
     schema = (

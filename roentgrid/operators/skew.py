@@ -86,13 +86,15 @@ def collect_parts(
     name: str = "items",
     first: dict[str, str] | None = None,
     bucket: Column | None = None,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """Ordered lists per group, in parts of at most ``part_size`` items.
 
     Gives (by..., part, n_parts, items). Ordinary groups have a single part 0; a larger
     one continues in parts 1, 2, ... and stays whole. ``ordinal`` must be unique within
     a group (an integer, unless ``bucket`` is given). ``first`` maps output names to
-    columns whose value at the lowest ordinal is kept per group.
+    columns whose value at the lowest ordinal is kept per group. ``groups`` (by..., values)
+    is a table with one row for each group that is wanted; its values come with every part.
 
     All groups go the same way: one narrow row per group and bucket gives the items in
     front of the bucket, rows are ranked inside their bucket and listed part by part.
@@ -109,14 +111,19 @@ def collect_parts(
         *keys, (F.sum("__n").over(group.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(group).alias("__all"),
         *[F.first_value(f"__f_{n}").over(group.orderBy("__b")).alias(f"__f_{n}") for n in first],
     )
+    given = [c for c in groups.columns if c not in by] if groups is not None else []
+    if groups is not None:
+        known = groups.select(F.struct(*_cols(by)).alias("__g"), *[F.col(c).alias(f"__x_{c}") for c in given])
+        offsets = offsets.join(known, "__g")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__o")) - 1 + F.col("__before")
     ranked = base.select(*keys, "__o", "__v").join(offsets, keys).withColumn("__rank", rank)
     listed = F.array_sort(F.collect_list(F.struct(F.col("__rank").alias("o"), F.col("__v").alias("v"))))
     parts = ranked.groupBy("__g", F.floor(F.col("__rank") / part_size).cast("bigint").alias("part")).agg(
         F.ceil(F.first("__all") / part_size).cast("bigint").alias("n_parts"),
         F.transform(listed, lambda x: x["v"]).alias(name), *[F.first(f"__f_{n}").alias(n) for n in first],
+        *[F.first(f"__x_{c}").alias(c) for c in given],
     )
-    return parts.select(*[F.col("__g")[c].alias(c) for c in by], "part", "n_parts", name, *first)
+    return parts.select(*[F.col("__g")[c].alias(c) for c in by], "part", "n_parts", name, *first, *given)
 
 
 def draws(df: DataFrame, by: list[str], count: str, name: str = "draw", block: int = 1 << 12) -> DataFrame:

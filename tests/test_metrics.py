@@ -210,6 +210,18 @@ def test_bootstraps(spark):
     assert ("micro", None) in got and ("macro", None) in got
 
 
+def test_block_pairs_are_a_grid(spark):
+    sizes = {("p", "hyp"): 23, ("p", "ref"): 11, ("q", "hyp"): 4, ("r", "hyp"): 1, ("r", "ref"): 1}
+    rows = [(p, s, i, "t", [1.0, float(i)]) for (p, s), n in sizes.items() for i in range(n)]
+    items = spark.createDataFrame(rows, "pair_id string, side string, item_id int, item_type string, embedding array<double>").repartition(3)
+    got = similarity.block_pairs(items, 5).collect()
+    cells = [(r["pair_id"], r["h_block"], r["r_block"]) for r in got]
+    assert sorted(cells) == sorted([("p", h, r) for h in range(5) for r in range(3)] + [("r", 0, 0)])
+    for pair, side, name in (("p", "hyp", "h"), ("p", "ref", "r")):
+        blocks = {r[f"{name}_block"]: tuple(r[f"{name}_item_id"]) for r in got if r["pair_id"] == pair}
+        assert sorted(i for b in blocks.values() for i in b) == list(range(sizes[(pair, side)])) and max(map(len, blocks.values())) <= 5
+
+
 def test_split_draws_are_whole_and_binomial():
     b = np.arange(400)
     n, rows = np.full(400, 9_000), np.full(400, 1_000)
