@@ -1,7 +1,8 @@
 """Word-overlap scores: BLEU, ROUGE-N, ROUGE-L, ROUGE-Lsum.
 
-Pairs are rows (pair_id, hyp, ref), spread over the tasks by pair id once. N-grams
-are exploded and counted inside that partitioning, so no n-gram is shuffled.
+Pairs are rows (pair_id, hyp, ref). Everything about a pair is worked out inside its row:
+the n-grams of both sides are hashed, sorted together and merged, so nothing is shuffled
+and each row keeps its place.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import text
-from ..skew import shuffle_partitions
 
 
 def _blank_tokens(col: str) -> Column:
@@ -24,36 +24,51 @@ def rouge_tokens(col) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), "")
 
 
-def _grams(tokens: Column, n: int, side: str) -> Column:
-    hyp, ref = (1, 0) if side == "hyp" else (0, 1)
+def _longer(grams: Column, words: Column, n: int) -> Column:
+    """Hashes of the n-grams, from those of the (n - 1)-grams and of the words."""
+    many = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    return F.zip_with(F.slice(grams, F.lit(1), many), F.slice(words, F.lit(n), many), lambda a, b: F.xxhash64(a, b))
 
-    def gram(i):
-        return F.struct(
-            F.lit(n).alias("n"),
-            F.array_join(F.slice(tokens, i, F.lit(n)), " ").alias("gram"),
-            F.lit(hyp).alias("h"),
-            F.lit(ref).alias("r"),
-        )
 
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), gram))
+def _common(hyp: Column, ref: Column) -> Column:
+    """Size of the intersection of two multisets of hashes.
+
+    If no hash comes twice on one of the sides, it is that of two sets. Else both go into one sorted array, the last bit telling the side: in a run of one hash the
+    hypothesis comes first and every reference item takes one of its items that are left.
+    """
+    sided = F.concat(
+        F.transform(hyp, lambda x: F.shiftleft(x, 1)), F.transform(ref, lambda x: F.shiftleft(x, 1).bitwiseOR(F.lit(1).cast("bigint")))
+    )
+
+    def step(a: Column, x: Column) -> Column:
+        gram, same = F.shiftright(x, 1), a["gram"] == F.shiftright(x, 1)
+        hit = same & (a["left"] > 0)
+        from_hyp = x.bitwiseAND(F.lit(1).cast("bigint")) == 0
+        left = F.when(from_hyp, F.when(same, a["left"] + 1).otherwise(1)).otherwise(F.when(hit, a["left"] - 1).otherwise(0))
+        return F.struct(gram.alias("gram"), left.alias("left"), (a["hits"] + F.when(hit & ~from_hyp, 1).otherwise(0)).alias("hits"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("gram"), F.lit(0).alias("left"), F.lit(0).alias("hits"))
+    merged = F.aggregate(F.sort_array(sided), start, step, lambda a: a["hits"])
+
+    def no_copies(x: Column) -> Column:
+        return F.size(F.array_distinct(x)) == F.size(x)
+
+    return F.when(no_copies(hyp) | no_copies(ref), F.size(F.array_intersect(hyp, ref))).otherwise(merged).cast("bigint")
 
 
 def _matches(pairs: DataFrame, tokens, orders: list[int]) -> DataFrame:
     """Per pair and n: clipped n-gram matches; and the token counts of both sides."""
-    rows = pairs.select("pair_id", tokens("hyp").alias("h"), tokens("ref").alias("r"))
-    # Tokens are made before the exchange so that they are split once per text.
-    rows = rows.repartition(shuffle_partitions(pairs), "pair_id")
-    empty = F.array().cast("array<struct<n: int, gram: string, h: int, r: int>>")
-    grams = F.concat(*[F.coalesce(_grams(F.col(s), n, side), empty) for n in orders for s, side in (("h", "hyp"), ("r", "ref"))])
-    rows = rows.select("pair_id", F.size("h").alias("hyp_len"), F.size("r").alias("ref_len"), F.explode_outer(grams).alias("g"))
-    counts = rows.groupBy("pair_id", "g.n", "g.gram").agg(
-        F.sum("g.h").alias("h"), F.sum("g.r").alias("r"), F.max("hyp_len").alias("hyp_len"), F.max("ref_len").alias("ref_len")
-    )
-    matched = F.least("h", "r")
-    return counts.groupBy("pair_id").agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, matched)), F.lit(0)).alias(f"m{n}") for n in orders],
-        F.max("hyp_len").alias("hyp_len"),
-        F.max("ref_len").alias("ref_len"),
+
+    def words(col: str) -> Column:
+        return F.transform(tokens(col), lambda t: F.xxhash64(t))
+
+    none = F.array().cast("array<bigint>")
+    rows = pairs.select("pair_id", F.coalesce(words("hyp"), none).alias("h1"), F.coalesce(words("ref"), none).alias("r1"))
+    for n in range(2, max(orders) + 1):
+        rows = rows.withColumns({f"{s}{n}": _longer(F.col(f"{s}{n - 1}"), F.col(f"{s}1"), n) for s in "hr"})
+    return rows.select(
+        "pair_id", *[_common(F.col(f"h{n}"), F.col(f"r{n}")).alias(f"m{n}") for n in orders],
+        F.size("h1").alias("hyp_len"), F.size("r1").alias("ref_len"),
     )
 
 
