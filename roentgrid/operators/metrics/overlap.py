@@ -7,6 +7,8 @@ and each row keeps its place.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,24 +123,65 @@ def rouge_n(pairs: DataFrame, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
     )
 
 
+def _lcs_rows(a: list, b: list):
+    """Bit rows of the longest common subsequence of words, one for each prefix of ``b``.
+
+    Bit j of row i is clear where the subsequence of a[: j + 1] and b[:i] is longer than that
+    of a[:j] and b[:i]. A row takes a bit for each word of ``a``.
+    """
+    where: dict = {}
+    for i, word in enumerate(a):
+        where[word] = where.get(word, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    yield row
+    for word in b:
+        hit = row & where.get(word, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def lcs_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence of two lists of words."""
+    row = 0
+    for row in _lcs_rows(a, b):
+        pass
+    return len(a) - row.bit_count()
+
+
+def lcs_places(a: list, b: list) -> list[int]:
+    """Places in ``b`` of one longest common subsequence: from the ends, equal words are
+    taken, else the way goes along ``a`` if the rest is truly longer there, and along ``b`` if not."""
+    rows = list(_lcs_rows(a, b))
+    i, j, places = len(b), len(a), []
+    left = len(a) - rows[-1].bit_count()
+    while left:
+        if a[j - 1] == b[i - 1]:
+            i, j, left = i - 1, j - 1, left - 1
+            places.append(i)
+        elif rows[i] >> (j - 1) & 1 and j - (rows[i - 1] & ((1 << j) - 1)).bit_count() < left:
+            j -= 1
+        else:
+            i -= 1
+    return places
+
+
+def union_hits(hyp: list[list], ref: list[list]) -> int:
+    """Words of the reference sentences in the union of their common subsequences with every
+    sentence of the hypothesis, each word at most as often as the hypothesis has it."""
+    chosen: Counter = Counter()
+    for sentence in ref:
+        found = {i for other in hyp if len(other) for i in lcs_places(other, sentence)}
+        chosen.update(sentence[i] for i in found)
+    return (chosen & Counter(w for other in hyp for w in other)).total()
+
+
 def rouge_l(pairs: DataFrame) -> DataFrame:
     """Per pair ROUGE-L F (longest common subsequence of words)."""
 
-    def common(a, b):
-        # One bit per word of a; a cleared bit marks one more word of the subsequence.
-        where: dict = {}
-        for i, word in enumerate(a):
-            where[word] = where.get(word, 0) | (1 << i)
-        full = (1 << len(a)) - 1
-        row = full
-        for word in b:
-            hit = row & where.get(word, 0)
-            row = ((row + hit) | (row - hit)) & full
-        return len(a) - row.bit_count()
-
     @F.pandas_udf("int")
     def lcs(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series([common(list(a), list(b)) for a, b in zip(hyp, ref)])
+        return pd.Series([lcs_length(list(a), list(b)) for a, b in zip(hyp, ref)])
 
     rows = pairs.select("pair_id", rouge_tokens("hyp").alias("h"), rouge_tokens("ref").alias("r"))
     rows = rows.select("pair_id", lcs("h", "r").alias("hits"), F.size("h").alias("nh"), F.size("r").alias("nr"))
@@ -149,56 +192,9 @@ def rouge_lsum(pairs: DataFrame) -> DataFrame:
     """Per pair ROUGE-Lsum F: per reference sentence the union of its common
     subsequences with every hypothesis sentence."""
 
-    def union_hits(hyp, ref):
-        from collections import Counter
-
-        import numpy as np
-
-        hyp = [list(s) for s in hyp if len(s)]
-        ref = [list(s) for s in ref if len(s)]
-        if not hyp or not ref:
-            return 0
-        codes: dict = {}
-        flat = np.array([codes.setdefault(w, len(codes)) for s in hyp for w in s])
-        starts = np.cumsum([0] + [len(s) for s in hyp])
-        # All hypothesis sentences are filled in one row; a rising offset per
-        # sentence keeps the running maximum from crossing into the next one.
-        lift = np.repeat(np.arange(len(hyp)), np.diff(starts)) * (max(map(len, ref)) + 1)
-        is_start = np.zeros(len(flat), dtype=bool)
-        is_start[starts[:-1]] = True
-        left_hyp, left_ref = Counter(w for s in hyp for w in s), Counter(w for s in ref for w in s)
-        hits = 0
-        for sentence in ref:
-            ids = [codes.get(w, -1) for w in sentence]
-            table = np.zeros((len(ids) + 1, len(flat)), dtype=np.int32)
-            for i, word in enumerate(ids):
-                before = table[i]
-                diagonal = np.concatenate(([0], before[:-1]))
-                diagonal[is_start] = 0
-                best = np.maximum(before, diagonal + (flat == word))
-                table[i + 1] = np.maximum.accumulate(best + lift) - lift
-            chosen = set()
-            for a, b in zip(starts[:-1], starts[1:]):
-                i, j = len(ids), b - a
-                while i and j:
-                    if ids[i - 1] == flat[a + j - 1]:
-                        chosen.add(i - 1)
-                        i, j = i - 1, j - 1
-                    elif (table[i, a + j - 2] if j > 1 else 0) > table[i - 1, a + j - 1]:
-                        j -= 1
-                    else:
-                        i -= 1
-            for i in sorted(chosen):
-                word = sentence[i]
-                if left_hyp[word] > 0 and left_ref[word] > 0:
-                    hits += 1
-                    left_hyp[word] -= 1
-                    left_ref[word] -= 1
-        return hits
-
     @F.pandas_udf("int")
     def union_lcs(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series([union_hits(a, b) for a, b in zip(hyp, ref)])
+        return pd.Series([union_hits(*([list(s) for s in side] for side in (a, b))) for a, b in zip(hyp, ref)])
 
     def split(col):
         return F.transform(text.sentences(col), rouge_tokens)

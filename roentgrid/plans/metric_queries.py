@@ -73,14 +73,47 @@ def i2(d: Data):
     return nudged(overlap.rouge_n(pairs(d)), "rouge_1", "rouge_2")
 
 
-@query("i3_rouge_l")
-def i3(d: Data):
-    return rounded(overlap.rouge_l(pairs(d)), "rouge_l")
+def d_cells(lists: str) -> str:
+    """cells(u, i, j, v) for <lists>(u, h, r): v is the longest common subsequence of the first i words of r and the first j of h."""
+    return f"""cells as (
+        select u, 0::bigint as i, j, 0::bigint as v from {lists}, unnest(range(len(h) + 1)) as x(j)
+        union all
+        select u, i + 1, j, max(best) over (partition by u order by j) from (
+          select c.u, i, j, greatest(v, case when j > 0 and h[j] = r[i + 1] then lag(v) over (partition by c.u order by j) + 1 else 0 end) as best
+          from cells c join {lists} l on c.u = l.u where i < len(r)) y)"""
 
 
-@query("i4_rouge_lsum")
+@query(
+    "i3_rouge_l",
+    f"""with recursive l as (select pair_id as u, {_TOK.replace('{0}', 'hyp')} as h, {_TOK.replace('{0}', 'ref')} as r from v_pairs), {d_cells("l")}
+        select u as pair_id, round(coalesce(2 * v / nullif(len(h) + len(r), 0), 0) + 1e-9, 6) as rouge_l from l join cells using (u) where i = len(r) and j = len(h)""",
+)
+def i3(d: Data):
+    return nudged(overlap.rouge_l(pairs(d)), "rouge_l")
+
+
+# From the last cell of every two sentences back: equal words are taken, else along h if v is greater there, else along r.
+_LSUM = f"""with recursive s as (select pair_id, {d_sentences('hyp')} as hs, {d_sentences('ref')} as rs from v_pairs),
+  hw as (select pair_id, k, {_TOK.replace('{0}', 'hs[k]')} as h from s, unnest(range(1, len(hs) + 1)) as x(k)),
+  rw as (select pair_id, k, {_TOK.replace('{0}', 'rs[k]')} as r from s, unnest(range(1, len(rs) + 1)) as x(k)),
+  l as (select {{p: hw.pair_id, a: hw.k, b: rw.k}} as u, h, r from hw join rw using (pair_id) where len(h) > 0 and len(r) > 0), {d_cells("l")},
+  way as (
+    select u, len(r)::bigint as i, len(h)::bigint as j, false as took from l
+    union all
+    select w.u, case when equal or not along then w.i - 1 else w.i end, case when equal or along then w.j - 1 else w.j end, equal from (
+      select w.u, w.i, w.j, h[w.j] = r[w.i] as equal, a.v > b.v as along from way w join l on w.u = l.u
+      join cells a on a.u = w.u and a.i = w.i and a.j = w.j - 1 join cells b on b.u = w.u and b.i = w.i - 1 and b.j = w.j where w.i > 0 and w.j > 0) w),
+  taken as (select distinct u.p as pair_id, u.b as k, i from way where took),
+  words as (select t.pair_id, r[i + 1] as w, count(*) as n from taken t join rw on t.pair_id = rw.pair_id and t.k = rw.k group by 1, 2),
+  have as (select pair_id, w, count(*) as n from (select pair_id, unnest(h) as w from hw) y group by 1, 2),
+  hits as (select pair_id, sum(least(words.n, have.n)) as m from words join have using (pair_id, w) group by 1),
+  size as (select pair_id, coalesce((select sum(len(h)) from hw where hw.pair_id = s.pair_id), 0) as nh, coalesce((select sum(len(r)) from rw where rw.pair_id = s.pair_id), 0) as nr from s)
+  select pair_id, round(coalesce(2 * m / nullif(nh + nr, 0), 0) + 1e-9, 6) as rouge_lsum from size left join hits using (pair_id)"""
+
+
+@query("i4_rouge_lsum", _LSUM)
 def i4(d: Data):
-    return rounded(overlap.rouge_lsum(pairs(d)), "rouge_lsum")
+    return nudged(overlap.rouge_lsum(pairs(d)), "rouge_lsum")
 
 
 # -- labels ------------------------------------------------------------------------------------

@@ -109,6 +109,21 @@ def test_rouge(pairs):
         assert lsum[i] == pytest.approx(f1(union_hits(sents[1], sents[0]), len(a), len(b)))
 
 
+def test_common_subsequences_of_long_texts():
+    import tracemalloc
+
+    rng = random.Random(3)
+    a, b = ([f"w{rng.randrange(200)}" for _ in range(20_000)] for _ in range(2))
+    tracemalloc.start()
+    places = overlap.lcs_places(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and len(places) == overlap.lcs_length(a, b)
+    at = iter(a)
+    assert all(any(w == x for x in at) for w in (b[i] for i in sorted(places)))
+    assert overlap.union_hits([a], [b]) == len(places)
+
+
 def test_merge_labels(spark):
     rows = [(1, 1, 0, 1), (1, 0, -1, 0), (2, 0, 0, 1), (3, None, None, None)]
     df = spark.createDataFrame(rows, "r int, A int, B int, NF int")
