@@ -227,40 +227,31 @@ def parse_facts(col) -> Column:
 
 
 def drop_repeats(col, ks=tuple(range(1, 9))) -> Column:
-    """Drop consecutive repeats of phrases of k words, for each k in turn, ignoring case."""
-
-    ks = tuple(ks)
-
-    def clean(text):
-        import numpy as np
-
-        if text is None:
-            return None
-        words = np.array(text.split(), dtype=object)
-        if len(words) < 2:
-            return " ".join(words)
-        ids, _ = pd.factorize(np.array(text.lower().split(), dtype=object))
-        for k in ks:
-            if len(ids) < 2 * k:
-                continue
-            # same[i]: word i equals the word k places before it; a stretch of at
-            # least k of those is a repeated phrase.
-            same = np.zeros(len(ids) + 2, dtype=np.int8)
-            same[k + 1 : -1] = ids[k:] == ids[:-k]
-            steps = np.diff(same)
-            starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
-            keep = np.ones(len(ids), dtype=bool)
-            for s, e in zip(starts, ends):
-                if e - s >= k:
-                    keep[s:e] = False
-            ids, words = ids[keep], words[keep]
-        return " ".join(words)
-
-    @F.pandas_udf("string")
-    def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(clean)
-
-    return apply(_c(col))
+    """Drop consecutive repeats of phrases of k words, for each k in turn, ignoring case.
+
+    Every word is marked by whether it equals the word k places before it; a stretch of at
+    least k marks is a repeated phrase. Null stays null.
+    """
+    # Marks in a stretch of at least k: one in front of k marks, or one right after another such.
+    def stretch(k: Column) -> Column:
+        return F.concat(F.lit("(?:(?=1{"), k.cast("string"), F.lit(r"})|\G(?!^))1"))
+
+    def once(value: Column, use) -> Column:
+        """``use`` of a value that is worked out once."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def step(acc: Column, k: Column) -> Column:
+        same = F.transform(acc["low"], lambda x, i: F.when((i >= k) & (x == F.get(acc["low"], i - k)), "1").otherwise("0"))
+        marks = F.regexp_replace(F.array_join(same, ""), stretch(k), F.lit("x"))
+
+        def kept(mark: Column) -> Column:
+            return F.struct(*[F.filter(acc[c], lambda _, i: F.get(mark, i) != "x").alias(c) for c in ("words", "low")])
+
+        return once(marks, lambda m: F.when(m.contains("x"), once(F.split(m, ""), kept)).otherwise(acc))
+
+    words = F.array_remove(F.split(squeeze_ws(col), " "), "")
+    start = F.struct(words.alias("words"), F.transform(words, F.lower).alias("low"))
+    return F.when(_c(col).isNotNull(), F.aggregate(F.array(*map(F.lit, ks)), start, step, lambda acc: F.array_join(acc["words"], " ")))
 
 
 def sentences(col) -> Column:

@@ -296,10 +296,23 @@ def b20(d: Data):
     )
 
 
-@query("b21_drop_repeats")
+# One pass for each k: words equal to the one k places before, in islands of at least k, go.
+_REPEATS = f"""with recursive w as (select doc_id, unnest(s) as w, unnest(range(len(s))) as i from (select doc_id, list_filter(string_split({d_squeeze('text')}, ' '), lambda x: x <> '') as s from documents) a),
+  st as (
+    select doc_id, i, w, lower(w) as l, 0 as k from w
+    union all
+    select doc_id, i, w, l, k + 1 from (select *, count(case when same then 1 end) over (partition by doc_id, island) as run from (
+      select *, sum(case when same then 0 else 1 end) over (partition by doc_id order by i) as island from (
+        select doc_id, i, w, l, k, coalesce(l = lag(l, k + 1) over (partition by doc_id order by i), false) as same from st where k < 8) a) b) c
+    where not same or run <= k),
+  t as (select doc_id, string_agg(w, ' ' order by i) as t from st where k = 8 group by 1)
+  select doc_id, length(text) as before, length(coalesce(t, '')) as after, md5(coalesce(t, '')) as digest from documents left join t using (doc_id)"""
+
+
+@query("b21_drop_repeats", _REPEATS)
 def b21(d: Data):
     rows = d.table("documents").select("doc_id", F.length("text").alias("before"), text.drop_repeats("text").alias("t"))
-    return rows.select("doc_id", "before", F.length("t").alias("after"), F.md5("t").alias("digest"))
+    return rows.select("doc_id", F.col("before").cast("bigint").alias("before"), F.length("t").cast("bigint").alias("after"), F.md5("t").alias("digest"))
 
 
 @query(
