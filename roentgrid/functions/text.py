@@ -152,14 +152,17 @@ TASK_PROMPTS = {
 
 
 
-def prompt_type(col) -> Column:
-    """locate_and_describe, describe or locate by prefix, whatever the case; else null."""
+def prompt_type(col, strict: bool = False) -> Column:
+    """locate_and_describe, describe or locate by prefix, whatever the case; else null, or an error if ``strict``."""
     p = F.lower(_c(col))
-    return (
+    kind = (
         F.when(p.startswith("locate and describe"), "locate_and_describe")
         .when(p.startswith("describe"), "describe")
         .when(p.startswith("locate"), "locate")
     )
+    if not strict:
+        return kind
+    return F.coalesce(kind, F.raise_error(F.concat(F.lit("prompt of no type: "), F.coalesce(_c(col), F.lit("null")))).cast("string"))
 
 
 def clean_generation(col, family: str = "chat") -> Column:

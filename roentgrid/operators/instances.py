@@ -18,6 +18,7 @@ from ..functions import text, vocab
 from ..functions.hashing import example_id, hash_order
 from . import joins
 from .skew import PART_ROWS, collect_parts
+from .skips import Skips, kept
 
 INSTANCE_COLUMNS = {
     "dataset": "string", "task": "string", "subtask": "string", "split": "string", "example_id": "string",
@@ -62,9 +63,9 @@ def image_views(split: DataFrame) -> DataFrame:
 IMAGE = ("subject_id", "dicom_id")
 
 
-def _told(found: DataFrame, reports: DataFrame, ordinal: str) -> DataFrame:
+def _told(found: DataFrame, reports: DataFrame, ordinal: str, skips: Skips | None = None) -> DataFrame:
     """Add the study's non-empty report; studies without one are left out."""
-    info = joins.study_reports(reports, ordinal, told=True)
+    info = joins.study_reports(reports, ordinal, told=True, skips=skips)
     return found.join(info.withColumnRenamed("subject_id", "report_subject_id"), "study_id")
 
 
@@ -73,22 +74,23 @@ def _path(root: str, image):
     return F.when(image.isNotNull(), path)
 
 
-def studies(split: DataFrame, reports: DataFrame, root: str, ordinal: str, mode: str = "standard", seed: int = 0, bucket: Column | None = None) -> DataFrame:
+def studies(split: DataFrame, reports: DataFrame, root: str, ordinal: str, mode: str = "standard", seed: int = 0, bucket: Column | None = None, skips: Skips | None = None) -> DataFrame:
     """One row per study with a non-empty report.
 
     standard: ``image_paths`` of all images, in parts. frontal_only: one
     ``image_path``, PA before AP, then source order. frontal_lateral: one of each
     kind drawn by hash, with the number of images of the kind. Images are reduced to
-    their study before they meet the reports.
+    their study before they meet the reports. Reports are skipped for an unknown path or
+    an empty text.
     """
     views = image_views(split)
     image = F.struct(*IMAGE)
     if mode == "standard":
-        found = _told(collect_parts(views, ["study_id"], ordinal, image, name="images", bucket=bucket), reports, ordinal)
+        found = _told(collect_parts(views, ["study_id"], ordinal, image, name="images", bucket=bucket), reports, ordinal, skips)
         return found.withColumn("image_paths", F.transform("images", lambda x: _path(root, x))).drop("images")
     if mode == "frontal_only":
         best = F.min(F.struct("priority", ordinal, *IMAGE)).alias("image")
-        found = _told(views.where(F.col("priority").isNotNull()).groupBy("study_id").agg(best), reports, ordinal)
+        found = _told(views.where(F.col("priority").isNotNull()).groupBy("study_id").agg(best), reports, ordinal, skips)
         return found.withColumn("image_path", _path(root, F.col("image"))).drop("image")
     if mode == "frontal_lateral":
         order = hash_order(seed, "dicom_id")
@@ -104,7 +106,7 @@ def studies(split: DataFrame, reports: DataFrame, root: str, ordinal: str, mode:
             one("lateral"),
         )
         paths = {f"{k}_path": _path(root, F.col(k)) for k in ("frontal", "lateral")}
-        return _told(found, reports, ordinal).withColumns(paths).drop("frontal", "lateral")
+        return _told(found, reports, ordinal, skips).withColumns(paths).drop("frontal", "lateral")
     raise ValueError(f"unknown mode: {mode}")
 
 
@@ -118,22 +120,19 @@ def study_image_lists(split: DataFrame, reports: DataFrame, root: str, ordinal:
 
 # -- location instances ------------------------------------------------------------
 
-def location_boxes(docs: DataFrame) -> DataFrame:
+def location_boxes(docs: DataFrame, skips: Skips | None = None) -> DataFrame:
     """(dicom_id, split, location, box) with clamped, valid boxes of known locations."""
     rows = docs.select("dicom_id", "split", F.explode("location2bbox").alias("location", "raw"))
-    return (
-        rows.where(F.col("location") != "unknown")
-        .withColumn("box", bx.clamp_box("raw"))
-        .where(F.col("box").isNotNull())
-        .drop("raw")
-    )
+    reasons = {"unknown location": F.col("location") == "unknown", "invalid box": F.col("box").isNull()}
+    return kept(rows.withColumn("box", bx.clamp_box("raw")), skips, "location boxes", reasons).drop("raw")
 
 
-def location_snippets(docs: DataFrame, squeeze: bool = True) -> DataFrame:
+def location_snippets(docs: DataFrame, squeeze: bool = True, skips: Skips | None = None) -> DataFrame:
     """(dicom_id, split, location, snippet) of known locations with a non-empty snippet."""
     rows = docs.select("dicom_id", "split", F.explode("location2report_snippet").alias("location", "raw"))
     rows = rows.withColumn("snippet", text.squeeze_ws("raw") if squeeze else F.col("raw"))
-    return rows.where((F.col("location") != "unknown") & (F.col("snippet") != "")).drop("raw")
+    reasons = {"unknown location": F.col("location") == "unknown", "empty snippet": F.coalesce(F.col("snippet") == "", F.lit(True))}
+    return kept(rows, skips, "location snippets", reasons).drop("raw")
 
 
 def _location_instances(df: DataFrame, subtask: str) -> DataFrame:
@@ -147,21 +146,26 @@ def _location_instances(df: DataFrame, subtask: str) -> DataFrame:
     )
 
 
-def locate_instances(docs: DataFrame) -> DataFrame:
-    return _location_instances(location_boxes(docs), "locate")
+def locate_instances(docs: DataFrame, skips: Skips | None = None) -> DataFrame:
+    return _location_instances(location_boxes(docs, skips), "locate")
 
 
-def describe_instances(docs: DataFrame) -> DataFrame:
-    return _location_instances(location_snippets(docs), "describe")
+def describe_instances(docs: DataFrame, skips: Skips | None = None) -> DataFrame:
+    return _location_instances(location_snippets(docs, skips=skips), "describe")
 
 
-def locate_describe_instances(docs: DataFrame) -> DataFrame:
+def locate_describe_instances(docs: DataFrame, skips: Skips | None = None) -> DataFrame:
     keys = ["dicom_id", "split", "location"]
-    return _location_instances(joins.boxed_and_described(location_boxes(docs), location_snippets(docs), keys), "locate_and_describe")
+    both = joins.boxed_and_described(location_boxes(docs, skips), location_snippets(docs, skips=skips), keys)
+    return _location_instances(both, "locate_and_describe")
 
 
 # -- phrase instances ----------------------------------------------------------------
 
+def _positive(*columns: str) -> Column:
+    return reduce(Column.__and__, [F.coalesce(F.col(c) > 0, F.lit(False)) for c in columns])
+
+
 def _phrase_columns(boxes: str) -> dict:
     return {
         "phrase": "phrase",
@@ -171,8 +175,16 @@ def _phrase_columns(boxes: str) -> dict:
     }
 
 
-def phrase_instances_ms(df: DataFrame, fmt: str = "xyxy", ordinal: str = "ordinal", part_size: int = PART_ROWS, bucket: Column | None = None) -> DataFrame:
-    """Per image and phrase all boxes, normalised by the first row's image size."""
+def phrase_instances_ms(
+    df: DataFrame, fmt: str = "xyxy", ordinal: str = "ordinal", part_size: int = PART_ROWS, bucket: Column | None = None, skips: Skips | None = None
+) -> DataFrame:
+    """Per image and phrase all boxes, normalised by the first row's image size.
+
+    A box or image without extent is an error; with ``skips`` it is left out and counted.
+    """
+    if skips is not None:
+        reasons = {"no image size": ~_positive("image_width", "image_height"), "empty box": ~_positive("w", "h")}
+        df = skips.keep(df, "phrase boxes", reasons)
     raw = F.array("x", "y", "w", "h")
     grouped = collect_parts(
         df, ["split", "dicom_id", "label_text"], ordinal, raw, part_size, "raw",
@@ -248,14 +260,19 @@ def phrase_instances_pc(docs: DataFrame, master: DataFrame, ordinal: str, lang:
     )
 
 
-def normalised_boxes(annotations: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def normalised_boxes(annotations: DataFrame, sizes: DataFrame, skips: Skips | None = None) -> tuple[DataFrame, DataFrame]:
     """Boxes divided by the image size and clamped; and the anomalous rows.
 
     Rows without a box are neither.
     """
-    rows = joins.with_image_size(annotations.where(F.col("x_min").isNotNull()), sizes)
-    rows = rows.withColumn("box", bx.norm_xyxy(F.array("x_min", "y_min", "x_max", "y_max"), "width", "height"))
-    return rows.where(F.col("box").isNotNull()), rows.where(F.col("box").isNull())
+    box = bx.norm_xyxy(F.array("x_min", "y_min", "x_max", "y_max"), "width", "height")
+    rows = joins.with_image_size(annotations.where(F.col("x_min").isNotNull()), sizes).withColumn("box", box)
+    bad = rows.where(F.col("box").isNull())
+    if skips is None:
+        return rows.where(F.col("box").isNotNull()), bad
+    judged = annotations.join(sizes.select("image_id", "width", "height"), "image_id", "left").withColumn("box", box)
+    reasons = {"no box": F.col("x_min").isNull(), "no image size": ~_positive("width", "height"), "empty box": F.col("box").isNull()}
+    return skips.keep(judged, "annotations", reasons), bad
 
 
 def phrase_instances_vd(boxes: DataFrame, ordinal: str = "ordinal", fmt: str = "xyxy", part_size: int = PART_ROWS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .skips import Skips, kept
 
 
 def last_per_key(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
@@ -39,7 +40,7 @@ def output_split(col="split") -> Column:
     return F.when(c.isin("validation", "validate"), "val").otherwise(c)
 
 
-def study_reports(reports: DataFrame, ordinal: str, told: bool = False) -> DataFrame:
+def study_reports(reports: DataFrame, ordinal: str, told: bool = False, skips: Skips | None = None) -> DataFrame:
     """(study_id, part_id, subject_id, full_report), the last report of a study winning.
 
     ``told`` leaves empty reports out first, so that they do not hide an earlier one.
@@ -51,17 +52,21 @@ def study_reports(reports: DataFrame, ordinal: str, told: bool = False) -> DataF
         parts["subject_id"].alias("subject_id"),
         text.full_report("findings", "impression").alias("full_report"),
         ordinal,
-    ).where(F.col("study_id").isNotNull())
+    )
+    reasons = {"no study in the path": F.col("study_id").isNull()}
     if told:
-        rows = rows.where(F.col("full_report") != "")
-    return last_per_key(rows, ["study_id"], ordinal).drop(ordinal)
+        reasons["empty report"] = F.col("full_report") == ""
+    return last_per_key(kept(rows, skips, "reports", reasons), ["study_id"], ordinal).drop(ordinal)
 
 
-def image_paths(split: DataFrame, reports: DataFrame, root: str, ordinal: str) -> DataFrame:
-    """Image path per image; ``image_path`` is null when the study has no report path."""
+def image_paths(split: DataFrame, reports: DataFrame, root: str, ordinal: str, strict: bool = False) -> DataFrame:
+    """Image path per image; when the study has no report path, ``image_path`` is null, or it is an error if ``strict``."""
     parts = study_reports(reports, ordinal).select("study_id", "part_id")
     path = text.image_path(F.lit(root), "part_id", "subject_id", "study_id", "dicom_id")
-    return split.join(parts, "study_id", "left").withColumn("image_path", F.when(F.col("part_id").isNotNull(), path))
+    path = F.when(F.col("part_id").isNotNull(), path)
+    if strict:
+        path = F.coalesce(path, F.raise_error(F.concat(F.lit("no report path of study "), F.col("study_id").cast("string"))).cast("string"))
+    return split.join(parts, "study_id", "left").withColumn("image_path", path)
 
 
 def image_reports(reports: DataFrame, split: DataFrame, ordinal: str) -> DataFrame:

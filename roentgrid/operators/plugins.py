@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +12,6 @@ from ..functions.text import text_key
 from .metrics import labels as label_metrics
 from .metrics import overlap, similarity
 
-MISSING = "PATH_NOT_FOUND"
-
 
 def text_model(fn: Callable, schema: str, batch_size: int = 256) -> Callable[[DataFrame], DataFrame]:
     """Wrap a batch function as a job over rows (key, text).
@@ -59,8 +58,8 @@ def memoized(df: DataFrame, text: str, model: Callable[[DataFrame], DataFrame],
     try:
         known = spark.read.parquet(cache)
         wanted = wanted.join(known.select("key"), "key", "left_anti")
-    except Exception as e:
-        if MISSING not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
     model(wanted).write.mode("append").parquet(cache)
     # Runs at the same time may have stored a text twice.

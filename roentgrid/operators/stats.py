@@ -89,9 +89,10 @@ def category_metrics(df: DataFrame, metrics: list[str]) -> DataFrame:
 def prompt_type_metrics(df: DataFrame) -> DataFrame:
     """Location means over all prompts, shown per prompt type with the metric that applies.
 
-    locate shows IoU, describe the text score, locate_and_describe both.
+    locate shows IoU, describe the text score, locate_and_describe both. A prompt of no
+    type is an error.
     """
-    rows = df.withColumn("subtask", text.prompt_type("prompt"))
+    rows = df.withColumn("subtask", text.prompt_type("prompt", strict=True))
     # One pass: means per location come from sums per (location, prompt type).
     parts = rows.groupBy("dataset", "category", "subtask").agg(
         F.sum("bbox_iou").alias("si"), F.count("bbox_iou").alias("ni"),
@@ -100,8 +101,7 @@ def prompt_type_metrics(df: DataFrame) -> DataFrame:
     means = parts.groupBy("dataset", "category").agg(
         F.try_divide(F.sum("si"), F.sum("ni")).alias("iou"), F.try_divide(F.sum("st"), F.sum("nt")).alias("score")
     )
-    seen = parts.select("dataset", "category", "subtask").where(F.col("subtask").isNotNull())
-    return seen.join(means, ["dataset", "category"]).select(
+    return parts.select("dataset", "category", "subtask").join(means, ["dataset", "category"]).select(
         "dataset", "subtask", "category",
         F.when(F.col("subtask") != "describe", F.col("iou")).alias("bbox_iou"),
         F.when(F.col("subtask") != "locate", F.col("score")).alias("text_score"),

@@ -4,9 +4,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..functions import vocab
+from ..functions import text, vocab
 from ..functions.hashing import hash_int
-from ..operators import curriculum, joins
+from ..operators import curriculum, joins, plugins
 from ..sources import readers, schemas, sinks
 from ..streaming import streams
 from .box_queries import IOU
@@ -229,6 +229,23 @@ def k1(d: Data):
     return done.groupBy("category").agg(F.count("*").alias("n"), r6(F.avg("bbox_iou")).alias("bbox_iou"), F.sum(F.length("clean_pred")).cast("bigint").alias("n_chars"))
 
 
+@query("k1_model_scores", "select event_type, count(*) as n, sum(length(props))::bigint as n_chars, count(distinct props) as scored from events where props is not null group by 1")
+def k1_models(d: Data):
+    # The log comes in two halves, with every fourth row again in the second; the query is started for each.
+    rows = d.table("events").where("props is not null").select("event_id", "event_type", "props")
+    folder = sinks.work_folder(d.spark, "models")
+    model = plugins.text_model(lambda texts: [(len(t),) for t in texts], "n_chars bigint")
+    for half in (rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1 or event_id % 4 = 0")):
+        sinks.write_jsonl(half, os.path.join(folder, "log"))
+        log = streams.stream_log(d.spark, os.path.join(folder, "log"), "event_id bigint, event_type string, props string", files_per_batch=4)
+        streams.model_scores_to(log, ["event_id"], "props", model, folder).awaitTermination()
+    done = streams.read_batches(d.spark, folder)
+    # Stored outputs, not distinct ones: a text that was scored twice would count twice.
+    scored = d.spark.read.parquet(os.path.join(folder, "models")).select("key")
+    texts = done.select("event_type", text.text_key("props").alias("key")).distinct().join(scored, "key").groupBy("event_type").agg(F.count("*").alias("scored"))
+    return done.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars")).join(texts, "event_type")
+
+
 @query("k2_stream_audit", "select (floor(global_step / 50) * 50)::bigint as window_start, dataset_name, category, count(*) as n from v_log group by 1, 2, 3")
 def k2(d: Data):
     rows = d.view("v_log").select("global_step", "process_id", "orig_index", "dataset_name", "category").repartition(4)

@@ -5,8 +5,12 @@ from pyspark.sql import functions as F
 from ..operators import curriculum, instances, labelling, sampling, stats
 from ..operators.metrics import labels as lab
 from ..operators.metrics import overlap
+from ..operators.skips import Skips
+from ..sources.sinks import stored
 from ..streaming.streams import grounding_scores
 from .box_queries import IOU
+from .instance_queries import CLASSES, hash_bucket60
+from .join_queries import REPORTS
 from .registry import query, r6
 from .text_queries import d_eval_text
 from .views import Data, hash60
@@ -129,6 +133,36 @@ def f12(d: Data):
     return stats.skip_counts(labelling.build_queries(rows, "description"))
 
 
+def d_skips(builder, rows, **reasons):
+    cases = " ".join(f"when {condition} then '{reason.replace('_', ' ')}'" for reason, condition in reasons.items())
+    return f"select '{builder}' as builder, case {cases} end as reason, count(*) as n from {rows} group by 2"
+
+
+_OK = "greatest(0, x1) < least(1, x2) and greatest(0, y1) < least(1, y2)"
+_SIZED = """(select a.*, width, height, greatest(0, least(1, x_min / nullif(width, 0))) < greatest(0, least(1, x_max / nullif(width, 0))) and greatest(0, least(1, y_min / nullif(height, 0))) < greatest(0, least(1, y_max / nullif(height, 0))) as good
+  from v_annotations a left join (select * from v_sizes where width < 1000) z using (image_id))"""
+
+
+@query(
+    "f12_builder_skips",
+    " union all ".join([
+        d_skips("reports", REPORTS + " r", no_study_in_the_path="study_id = ''", empty_report="full_report = ''"),
+        d_skips("location boxes", "v_loc_boxes", unknown_location="location = 'unknown'", invalid_box=f"not ({_OK})"),
+        d_skips("phrase boxes", "(select w - 40 as w from v_phrases) p", empty_box="w <= 0"),
+        d_skips("annotations", _SIZED + " a", no_box="x_min is null", no_image_size="width is null", empty_box="not good"),
+    ]),
+)
+def f12_builders(d: Data):
+    skips = Skips()
+    stored(instances.studies(d.view("v_images"), d.view("v_study_reports"), "/img", "ordinal", bucket=hash_bucket60(), skips=skips), "studies")
+    stored(instances.locate_instances(d.location_docs(), skips), "locate")
+    stored(instances.phrase_instances_ms(d.view("v_phrases").withColumn("w", F.col("w") - 40), bucket=hash_bucket60(), skips=skips), "phrases")
+    boxes, _ = instances.normalised_boxes(d.view("v_annotations"), d.view("v_sizes").where("width < 1000"), skips)
+    wide = instances.rater_union(d.view("v_raters"), CLASSES)
+    stored(instances.pseudo_reports(instances.label_long(wide, CLASSES, ["image_id"]), wide, boxes), "reports")
+    return skips.table(d.spark)
+
+
 _RATES = """(select run, location, count(*) as n, avg((gen_has_hallucinated_abnormalities = 'yes')::int) as hallucinated_abnormalities,
   avg((gen_has_hallucinated_devices = 'yes')::int) as hallucinated_devices, avg((nli_status = 'contradiction')::int) as contradictions from v_comparisons group by 1, 2)"""
 

@@ -7,12 +7,14 @@ that a restarted query goes on where it stopped.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
 from ..functions import text
+from ..operators import plugins
 
 
 def grounding_scores(df: DataFrame, truth: str = "gt_text", prediction: str = "pred_text", fmt: str = "cxcywh") -> DataFrame:
@@ -32,17 +34,51 @@ def stream_log(spark: SparkSession, folder: str, schema: str, fmt: str = "json",
     return reader.load(folder)
 
 
-def stream_scores(log: DataFrame, keys: list[str], ingest_time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """Score predictions as they arrive, each key once.
+def first_seen(log: DataFrame, keys: list[str], ingest_time: str | None = None, delay: str | None = "1 day") -> DataFrame:
+    """Rows of a log stream, each key once.
 
-    With an ingest time the remembered keys are bounded to ``delay``; without one all
-    keys of the run are remembered.
+    Keys are remembered for ``delay`` of the ingest time, by default the time a batch is
+    read; None remembers all keys for ever.
     """
-    if ingest_time:
-        log = log.withWatermark(ingest_time, delay).dropDuplicatesWithinWatermark(keys)
-    else:
-        log = log.dropDuplicates(keys)
-    return grounding_scores(log)
+    if delay is None:
+        return log.dropDuplicates(keys)
+    time = ingest_time or "__ingested"
+    stamped = log if ingest_time else log.withColumn(time, F.current_timestamp())
+    return stamped.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys).drop("__ingested")
+
+
+def stream_scores(log: DataFrame, keys: list[str], ingest_time: str | None = None, delay: str | None = "1 day") -> DataFrame:
+    """Score predictions as they arrive, each key once within ``delay``."""
+    return grounding_scores(first_seen(log, keys, ingest_time, delay))
+
+
+def model_scores_to(
+    log: DataFrame, keys: list[str], column: str, model: Callable[[DataFrame], DataFrame], folder: str,
+    ingest_time: str | None = None, delay: str | None = "1 day",
+):
+    """Query that adds a model's outputs for a text column, batch by batch; processes what is there, then stops.
+
+    Outputs are kept in a table next to the results, which every batch reads first: a text
+    is scored once, whichever batch, key or restart it comes with. A batch that is run
+    again replaces its own part. ``read_batches`` gives the rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        scored = plugins.memoized(batch, column, model, os.path.join(folder, "models"))
+        scored.write.mode("overwrite").parquet(os.path.join(folder, "data", f"batch={number}"))
+
+    return (
+        first_seen(log, keys, ingest_time, delay).writeStream.outputMode("append")
+        .foreachBatch(write)
+        .option("checkpointLocation", os.path.join(folder, "_progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows that batch-numbered writes have left."""
+    return spark.read.parquet(os.path.join(folder, "data")).drop("batch")
 
 
 def stream_audit(log: DataFrame, window: int) -> DataFrame:

@@ -204,3 +204,47 @@ def test_stats(spark):
     assert {r["dataset"]: r["text_score"] for r in stats.means_of(sums, ["dataset"], list(w)).collect()} == {"x": 1.0, "y": 0.5}
     with pytest.raises(ValueError):
         stats.weighted_score(df, {"bbox_iou": 0})
+
+
+def test_skips_are_counted_on_the_way(spark):
+    from roentgrid.operators.skips import Skips, kept
+
+    df = spark.createDataFrame([(i, i % 3 or None) for i in range(30)], "i int, v int").repartition(3)
+    reasons = {"null": F.col("v").isNull(), "even": F.col("i") % 2 == 0, "never": F.col("i") < 0}
+    skips = Skips()
+    rows = sorted(r["i"] for r in kept(df, skips, "x", reasons).groupBy("i", "v").count().collect())
+    want = [i for i in range(30) if i % 3 and i % 2]
+    assert rows == want == sorted(r["i"] for r in kept(df, None, "x", reasons).collect())
+    counts = [("x", None, len(want)), ("x", "null", 10), ("x", "even", 20 - len(want))]
+    assert skips.counts() == counts and sorted(map(tuple, skips.table(spark).collect()), key=str) == sorted(counts, key=str)
+    with pytest.raises(ValueError, match="counted already"):
+        skips.keep(df, "x", reasons)
+
+
+def test_boxes_without_extent(spark):
+    from roentgrid.operators.skips import Skips
+
+    rows = [("train", "a", "p", "c", 0.0, 0.0, w, 5.0, size, 100, i) for i, (w, size) in enumerate([(5.0, 100), (0.0, 100), (5.0, 0), (None, 100), (7.0, 100)])]
+    df = spark.createDataFrame(rows, "split string, dicom_id string, label_text string, category_name string, x double, y double, w double, h double, image_width int, image_height int, ordinal bigint")
+    skips = Skips()
+    got = instances.phrase_instances_ms(df, skips=skips).collect()
+    assert len(got) == 1 and len(got[0]["boxes"]) == 2
+    assert dict((r, n) for _, r, n in skips.counts()) == {None: 2, "no image size": 1, "empty box": 2}
+    with pytest.raises(Exception):
+        instances.phrase_instances_ms(df).collect()
+
+
+def test_broken_prompts_and_paths(spark):
+    from roentgrid.operators import joins, stats
+
+    rows = [("d", "c", p, 0.5, 0.5) for p in ("Locate the x.", "find it")]
+    df = spark.createDataFrame(rows, "dataset string, category string, prompt string, bbox_iou double, text_score double")
+    with pytest.raises(Exception, match="prompt of no type: find it"):
+        stats.prompt_type_metrics(df).collect()
+    assert stats.prompt_type_metrics(df.limit(1)).count() == 1
+    split = spark.createDataFrame([("1", "2", "3"), ("1", "9", "4")], "subject_id string, study_id string, dicom_id string")
+    reports = spark.createDataFrame([("files/p10/p1/s2.txt", "a", "b", 1)], "path string, findings string, impression string, ordinal int")
+    paths = {r["study_id"]: r["image_path"] for r in joins.image_paths(split, reports, "/r", "ordinal").collect()}
+    assert paths["2"].endswith("p10/p1/s2/3.jpg") and paths["9"] is None
+    with pytest.raises(Exception, match="no report path of study 9"):
+        joins.image_paths(split, reports, "/r", "ordinal", strict=True).collect()

@@ -121,6 +121,37 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert got["1"][0] == pytest.approx(1.0) and got["2"][0] is None and got["3"][0] == 0.0
 
 
+def test_model_scores_over_restarts(spark, tmp_path):
+    from roentgrid.operators import plugins
+
+    calls, log, out = str(tmp_path / "calls"), str(tmp_path / "log"), str(tmp_path / "out")
+
+    def fn(batch):
+        with open(calls, "a") as f:
+            f.writelines(t + "\n" for t in batch)
+        return [(len(t),) for t in batch]
+
+    model = plugins.text_model(fn, "n int", 2)
+    for rows in ([(1, "aa"), (2, "b"), (3, "aa")], [(1, "aa"), (4, "b"), (5, "ccc")], []):
+        if rows:
+            sinks.write_jsonl(spark.createDataFrame(rows, "id int, t string").repartition(2), log)
+        stream = streams.stream_log(spark, log, "id int, t string", files_per_batch=1)
+        streams.model_scores_to(stream, ["id"], "t", model, out).awaitTermination()
+    got = sorted((r["id"], r["n"]) for r in streams.read_batches(spark, out).collect())
+    assert got == [(1, 2), (2, 1), (3, 2), (4, 1), (5, 3)]
+    assert sorted(open(calls).read().split()) == ["aa", "b", "ccc"]
+
+
+def test_remembered_keys_have_a_time_limit(spark, tmp_path):
+    log = str(tmp_path / "log")
+    sinks.write_jsonl(spark.createDataFrame([(1,), (1,), (2,)], "id int"), log)
+    stream = streams.first_seen(streams.stream_log(spark, log, "id int"), ["id"])
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert stream.columns == ["id"] and "DeduplicateWithinWatermark" in plan
+    streams.append_to(stream, str(tmp_path / "out")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out" / "data")).count() == 2
+
+
 def test_stream_aggregates(spark, tmp_path):
     rows = [(i, 0, i, i, f"ds{i % 2}", "c") for i in range(40)]
     df = spark.createDataFrame(rows, schemas.SAMPLING_LOG).repartition(4)
