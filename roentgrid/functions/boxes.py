@@ -121,52 +121,63 @@ def parse_boxes(col) -> Column:
     found = F.regexp_extract_all(_c(col), F.lit(vocab.BOX), F.lit(0))
 
     def numbers(s):
-        return F.transform(F.split(F.regexp_replace(s, r"[\[\]\s]", ""), ","), lambda x: x.cast("double"))
+        return F.transform(F.split(F.translate(s, "[] \t\n\x0b\f\r", ""), ","), lambda x: x.cast("double"))
 
     return F.transform(found, numbers)
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     # Bind an expression to a lambda variable, so that it is evaluated once however
     # often the body uses it.
     return F.transform(F.array(value), body)[0]
 
 
-def _union_area(boxes: Column) -> Column:
-    # Sweep over the slabs between neighbouring x edges. Within a slab the covered
-    # length is the union of the y intervals of the boxes spanning it, which come in
-    # order of their lower end.
-    def covered(by_y, a, b):
-        def extend(acc, v):
-            spans = (v["l"] <= a) & (v["r"] >= b) & (v["hi"] > acc["end"])
-            longer = F.struct(
-                (acc["len"] + v["hi"] - F.greatest(v["lo"], acc["end"])).alias("len"), v["hi"].alias("end")
+def _sweep_areas(a: Column, b: Column) -> Column:
+    """struct(a, b, ab): areas of the unions of two box lists and of both together, in one sweep.
+
+    The x edges of all boxes are sorted once. In the slab between two of them the boxes that
+    span it are active; they come in order of their lower end, and one pass over them adds
+    up what either list and both cover.
+    """
+
+    def tagged(boxes: Column, side: int) -> Column:
+        return F.transform(boxes, lambda v: F.struct(v[1].alias("lo"), v[3].alias("hi"), v[0].alias("l"), v[2].alias("r"), F.lit(side).alias("side")))
+
+    def reach(acc: Column, v: Column, counts: Column) -> Column:
+        # Covered length so far and where it ends.
+        more = counts & (v["hi"] > acc["end"])
+        longer = F.struct((acc["len"] + v["hi"] - F.greatest(v["lo"], acc["end"])).alias("len"), v["hi"].alias("end"))
+        return F.when(more, longer).otherwise(acc)
+
+    nothing = F.struct(F.lit(0.0).alias("len"), F.lit(float("-inf")).alias("end"))
+    none = F.struct(nothing.alias("a"), nothing.alias("b"), nothing.alias("ab"))
+
+    def covered(active: Column) -> Column:
+        def extend(acc: Column, v: Column) -> Column:
+            first = v["side"] == 0
+            return F.struct(
+                reach(acc["a"], v, first).alias("a"), reach(acc["b"], v, ~first).alias("b"), reach(acc["ab"], v, F.lit(True)).alias("ab")
             )
-            return F.when(spans, longer).otherwise(acc)
 
-        start = F.struct(F.lit(0.0).alias("len"), F.lit(float("-inf")).alias("end"))
-        return F.aggregate(by_y, start, extend, lambda acc: acc["len"])
+        return F.aggregate(active, none, extend)
 
-    def sweep(bs):
-        by_y = F.sort_array(
-            F.transform(bs, lambda b: F.struct(b[1].alias("lo"), b[3].alias("hi"), b[0].alias("l"), b[2].alias("r")))
-        )
-        edges = F.sort_array(F.concat(F.transform(bs, lambda b: b[0]), F.transform(bs, lambda b: b[2])))
-        start = F.struct(F.lit(0.0).alias("area"), F.lit(float("-inf")).alias("at"))
+    def sweep(by_y: Column) -> Column:
+        edges = F.array_sort(F.array_distinct(F.concat(F.transform(by_y, lambda v: v["l"]), F.transform(by_y, lambda v: v["r"]))))
 
-        def slabs(ys):
-            def step(acc, x):
-                area = F.when(
-                    (x > acc["at"]) & (acc["at"] > float("-inf")),
-                    acc["area"] + (x - acc["at"]) * covered(ys, acc["at"], x),
-                ).otherwise(acc["area"])
-                return F.struct(area.alias("area"), x.alias("at"))
+        def step(acc: Column, x: Column) -> Column:
+            active = F.filter(by_y, lambda v: (v["l"] <= acc["at"]) & (v["r"] >= x))
 
-            return F.aggregate(edges, start, step, lambda acc: acc["area"])
+            def add(c: Column) -> Column:
+                width = x - acc["at"]
+                return F.struct(*[(acc[k] + width * c[k]["len"]).alias(k) for k in ("a", "b", "ab")], x.alias("at"))
 
-        return _let(by_y, slabs)
+            here = F.struct(*[acc[k].alias(k) for k in ("a", "b", "ab")], x.alias("at"))
+            return F.when(acc["at"] > float("-inf"), let(covered(active), add)).otherwise(here)
 
-    return _let(boxes, sweep)
+        start = F.struct(*[F.lit(0.0).alias(k) for k in ("a", "b", "ab")], F.lit(float("-inf")).alias("at"))
+        return F.aggregate(edges, start, step)
+
+    return let(F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))), sweep)
 
 
 def _area(b: Column) -> Column:
@@ -179,23 +190,47 @@ def _common(p: Column, q: Column) -> Column:
     return F.greatest(F.lit(0.0), width) * F.greatest(F.lit(0.0), height)
 
 
+def _overlap(p: Column, q: Column) -> Column:
+    """The box that two boxes share; without extent if they share none."""
+    return F.array(F.greatest(p[0], q[0]), F.greatest(p[1], q[1]), F.least(p[2], q[2]), F.least(p[3], q[3]))
+
+
 def union_iou(a, b, fmt: str = "xyxy") -> Column:
     """IoU of the unions of two box lists.
 
-    Invalid boxes are dropped; two empty lists score 1, one empty list scores 0.
-    A pair of single boxes takes a closed form, anything else the slab sweep.
+    Invalid boxes are dropped; two empty lists score 1, one empty list scores 0. Lists of
+    one or two boxes take a closed form by inclusion and exclusion, anything else the
+    sweep over x edges.
     """
     a, b = [F.filter(F.transform(_c(x), lambda y: to_xyxy(y, fmt)), is_valid) for x in (a, b)]
 
     def single(s):
         p, q = s["a"][0], s["b"][0]
-        return _let(_common(p, q), lambda c: c / (_area(p) + _area(q) - c))
+        return let(_common(p, q), lambda c: c / (_area(p) + _area(q) - c))
 
-    def general(s):
-        parts = F.struct(
-            _union_area(s["a"]).alias("a"), _union_area(s["b"]).alias("b"), _union_area(F.concat(s["a"], s["b"])).alias("ab")
+    def few(s):
+        # A list of one box counts as that box twice.
+        ends = F.struct(
+            s["a"][0].alias("p"), F.element_at(s["a"], -1).alias("q"), s["b"][0].alias("r"), F.element_at(s["b"], -1).alias("t")
         )
-        return _let(parts, lambda u: F.greatest(F.lit(0.0), u["a"] + u["b"] - u["ab"]) / u["ab"])
+
+        def shares(e):
+            both = F.struct(_overlap(e["p"], e["q"]).alias("pq"), _overlap(e["r"], e["t"]).alias("rt"))
+
+            def ratio(o):
+                one = _area(e["p"]) + _area(e["q"]) - _common(e["p"], e["q"])
+                two = _area(e["r"]) + _area(e["t"]) - _common(e["r"], e["t"])
+                pairs = sum(_common(x, y) for x in (e["p"], e["q"]) for y in (e["r"], e["t"]))
+                threes = sum(_common(o["pq"], y) for y in (e["r"], e["t"])) + sum(_common(x, o["rt"]) for x in (e["p"], e["q"]))
+                parts = F.struct((one + two).alias("sum"), F.greatest(F.lit(0.0), pairs - threes + _common(o["pq"], o["rt"])).alias("common"))
+                return let(parts, lambda u: u["common"] / (u["sum"] - u["common"]))
+
+            return let(both, ratio)
+
+        return let(ends, shares)
+
+    def general(s):
+        return let(_sweep_areas(s["a"], s["b"]), lambda u: F.greatest(F.lit(0.0), u["a"] + u["b"] - u["ab"]) / u["ab"])
 
     def score(s):
         na, nb = F.size(s["a"]), F.size(s["b"])
@@ -203,10 +238,11 @@ def union_iou(a, b, fmt: str = "xyxy") -> Column:
             F.when((na == 0) & (nb == 0), F.lit(1.0))
             .when((na == 0) | (nb == 0), F.lit(0.0))
             .when((na == 1) & (nb == 1), single(s))
+            .when((na <= 2) & (nb <= 2), few(s))
             .otherwise(general(s))
         )
 
-    return _let(F.struct(a.alias("a"), b.alias("b")), score)
+    return let(F.struct(a.alias("a"), b.alias("b")), score)
 
 
 def grounded_report(sentences, boxes) -> Column:

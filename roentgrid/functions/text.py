@@ -1,12 +1,10 @@
 """Text expressions: report assembly, prompts, cleaning, parsing.
 
-Everything here takes and returns Columns, except ``drop_repeats``, which has no
-built-in form and runs as an Arrow-batched function.
+Everything here takes and returns Columns of built-in functions.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,13 +19,24 @@ def _c(col) -> Column:
 
 
 def strip(col) -> Column:
-    """Remove white space at both ends."""
-    return F.regexp_replace(_c(col), f"^{WS}+|{WS}+$", "")
+    """Remove white space at both ends; a text without any there is left as it is."""
+    c = _c(col)
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(ends.rlike(WS), F.regexp_replace(c, f"^{WS}+|{WS}+$", "")).otherwise(c)
+
+
+# Any character but the blank, printable ASCII and what follows it up to the first other white space.
+NOT_PLAIN = r"[^ -~\u00a1-\u167f]"
 
 
 def squeeze_ws(col) -> Column:
-    """Collapse runs of white space to one blank and strip."""
-    return F.trim(F.regexp_replace(_c(col), f"{WS}+", " "))
+    """Collapse runs of white space to one blank and strip.
+
+    A text of plain characters and single blanks only has nothing to collapse.
+    """
+    c = _c(col)
+    single = ~c.rlike(NOT_PLAIN) & ~c.contains("  ")
+    return F.trim(F.when(single, c).otherwise(F.regexp_replace(c, f"{WS}+", " ")))
 
 
 def path_parts(col, strict: bool = False) -> Column:

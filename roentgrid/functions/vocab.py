@@ -10,8 +10,7 @@ WHITESPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202
 REPORT_PATH = r"p(\d+)/p(\d+)/s(\d+)\.txt"
 
 # A box written as four numbers between square brackets.
-NUMBER = r"(-?\d+\.?\d*)"
-BOX = r"\[\s*" + r"\s*,\s*".join([NUMBER] * 4) + r"\s*\]"
+BOX = r"\[\s*(-?\d+\.?\d*)\s*,\s*(-?\d+\.?\d*)\s*,\s*(-?\d+\.?\d*)\s*,\s*(-?\d+\.?\d*)\s*\]"
 
 # The older box syntax, [(a,b,c,d),(e,f,g,h)].
 LEGACY_BOXES = (

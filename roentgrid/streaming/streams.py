@@ -19,8 +19,8 @@ from ..operators import plugins
 
 def grounding_scores(df: DataFrame, truth: str = "gt_text", prediction: str = "pred_text", fmt: str = "cxcywh") -> DataFrame:
     """Add bbox_iou (null without boxes in the truth) and both texts as compared."""
-    found = bx.parse_boxes(truth)
-    iou = F.when(F.size(found) > 0, bx.union_iou(found, bx.parse_boxes(prediction), fmt))
+    # The boxes of the truth are parsed once.
+    iou = bx.let(bx.parse_boxes(truth), lambda found: F.when(F.size(found) > 0, bx.union_iou(found, bx.parse_boxes(prediction), fmt)))
     return df.withColumns(
         {"bbox_iou": iou, "clean_gt": text.clean_eval_text(truth), "clean_pred": text.clean_eval_text(prediction)}
     )
