@@ -7,7 +7,7 @@ from ..operators import instances
 from ..operators.skew import PART_ROWS
 from .box_queries import d_finding
 from .join_queries import PATH, REPORTS, _GROUPS, reports
-from .registry import d_list, query, r6
+from .registry import ORACLES, d_list, query, r6
 from .text_queries import _D_BOX, d_description
 from .views import Data
 
@@ -191,21 +191,23 @@ def e11(d: Data):
     return out.select("split", "image_key", "phrase", "part", "n_parts", n_boxes(), "target")
 
 
+_ROWS = "split, image_key, category, prompt, target"
+
+
 @query(
     "e12_multitask",
-    f"""with b as (select * from {LOCB} b where x1 < x2 and y1 < y2), s as (select * from {LOCS} s where snippet <> '')
-        select 'cig_location' as dataset, 'locate' as subtask, split, count(*) as n from b group by 3 union all select 'cig_location', 'describe', split, count(*) from s group by 3
-        union all select 'cig_location', 'locate_and_describe', b.split, count(*) from b join s using (dicom_id, location) group by 3
-        union all select 'ms_phrase_grounding', 'phrase', split, count(distinct (dicom_id, label_text)) from v_phrases group by 3
-        union all select 'pc_grounded_report', 'en', split, count(*) from {_SPLITS} s group by 3""",
+    " union all ".join([
+        *[f"select 'cig_location' as dataset, subtask, {_ROWS} from ({ORACLES[name]}) {name[:2]}" for name in ("e4_locate_instances", "e5_describe_instances", "e6_locate_describe_instances")],
+        f"select 'ms_phrase_grounding', 'phrase', {_ROWS} from ({ORACLES['e7_phrase_instances']}) e7",
+        f"select 'pc_grounded_report', 'en', split, image_key, 'unknown', prompt, target from ({ORACLES['e8_grounded_reports']}) e8 where subtask = 'en'",
+    ]),
 )
 def e12(d: Data):
     docs = d.location_docs()
     anatomy = instances.locate_instances(docs).unionByName(instances.describe_instances(docs)).unionByName(instances.locate_describe_instances(docs))
-    ms = instances.phrase_instances_ms(d.view("v_phrases"), bucket=hash_bucket60()).dropDuplicates(["split", "image_key", "phrase"])
+    ms = instances.phrase_instances_ms(d.view("v_phrases"), bucket=hash_bucket60())
     pc = instances.grounded_report_instances(d.grounded_docs(), d.view("v_master"), "ordinal")
-    both = instances.multitask({"cig": anatomy, "ms": ms, "pc": pc.drop("boxes")})
-    return both.groupBy("dataset", "subtask", "split").agg(F.count("*").alias("n"))
+    return instances.multitask({"cig": anatomy, "ms": ms, "pc": pc}).select("dataset", "subtask", "split", "image_key", "category", "prompt", "target")
 
 
 @query(

@@ -11,7 +11,7 @@ from ..sources import readers, schemas, sinks
 from ..streaming import streams
 from .box_queries import IOU
 from .registry import query, r6
-from .sampling_queries import MW, rounded
+from .sampling_queries import _ERR, MW, rounded
 from .text_queries import d_eval_text
 from .views import Data
 
@@ -171,10 +171,18 @@ def a10(d: Data):
     return back.select("step_metric", "step", F.col("metrics")["samples"].alias("samples"), F.col("metrics")["categories"].alias("categories"))
 
 
+_WEIGHTS = f"""m as (select dataset, null::varchar as category, avg(bbox_iou) as bbox_iou, avg(text_score) as text_score from v_eval group by 1
+    union all select dataset, category, avg(bbox_iou), avg(text_score) from v_eval where category is not null group by 1, 2),
+  e as (select dataset, category, {_ERR} as e from m),
+  w as (select dataset, category, e / sum(e) over (partition by category is null, case when category is not null then dataset end) as w from e),
+  weights as (select dataset, category, round(case when w <= 0 then 0.01 when w > 1 then 1 else w end, 6) as weight from w)"""
+
+
 @query(
     "a11_eval_snapshots",
-    """with s as (select unnest([500, 1000])::bigint as global_step) select global_step, 'results' as kind, dataset, count(*) as n from s, v_eval group by 1, 3
-       union all select global_step, 'weights', dataset, count(*) from s, (select distinct dataset, category from v_eval union all select distinct dataset, null from v_eval) w group by 1, 3""",
+    f"""with s as (select unnest([500, 1000])::bigint as global_step), {_WEIGHTS}
+        select global_step, 'results' as kind, dataset, category, count(*) as n, round(avg(text_score), 6) as value from s, v_eval group by 1, 3, 4
+        union all select global_step, 'weights', dataset, category, 1, weight from s, weights""",
 )
 def a11(d: Data):
     folder = sinks.work_folder(d.spark, "snapshots")
@@ -182,29 +190,21 @@ def a11(d: Data):
     for step in (500, 1000):
         weights = curriculum.curriculum_weights(rows, MW, step).drop("global_step")
         sinks.append_eval_snapshot(rows, weights, step, folder)
-    out = None
-    for kind in ("results", "weights"):
-        back = d.spark.read.parquet(os.path.join(folder, kind))
-        part = back.groupBy(F.col("global_step").cast("bigint").alias("global_step"), F.lit(kind).alias("kind"), "dataset").agg(F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    step, by = F.col("global_step").cast("bigint").alias("global_step"), ["dataset", "category"]
+    results = d.spark.read.parquet(os.path.join(folder, "results")).groupBy(step, F.lit("results").alias("kind"), *by)
+    results = results.agg(F.count("*").alias("n"), r6(F.avg("text_score")).alias("value"))
+    weights = d.spark.read.parquet(os.path.join(folder, "weights"))
+    return results.unionByName(weights.select(step, F.lit("weights").alias("kind"), *by, F.lit(1).cast("bigint").alias("n"), r6("weight").alias("value")))
 
 
-@query(
-    "h5_weights_history",
-    "select global_step::bigint as global_step, dataset, category, round(n / 100.0, 6) as weight from (select unnest([3000]) as global_step) s, (select dataset, null as category, count(*) as n from v_eval group by 1 union all select dataset, category, count(*) from v_eval group by 1, 2) w",
-)
+@query("h5_weights_history", f"with {_WEIGHTS} select 3000::bigint as global_step, dataset, category, weight from weights")
 def h5_history(d: Data):
     folder = sinks.work_folder(d.spark, "history")
-    scored = d.view("v_eval")
     used = None
     for step in (2500, 3000, 3500):
-        due = curriculum.curriculum_step(scored, MW, step, 3000, folder)
+        due = curriculum.curriculum_step(d.view("v_eval"), MW, step, 3000, folder)
         used = due if due is not None else used
-    counts = scored.groupBy("dataset").agg(F.count("*").alias("n")).withColumn("category", F.lit(None).cast("string"))
-    counts = counts.unionByName(scored.groupBy("dataset", "category").agg(F.count("*").alias("n")))
-    both = used.join(counts, used["dataset"].eqNullSafe(counts["dataset"]) & used["category"].eqNullSafe(counts["category"]))
-    return both.select(F.col("global_step").cast("bigint").alias("global_step"), used["dataset"], used["category"], F.round(F.col("n") / 100.0, 6).alias("weight"))
+    return used.select(F.col("global_step").cast("bigint").alias("global_step"), "dataset", "category", r6("weight").alias("weight"))
 
 
 # -- streams -----------------------------------------------------------------------------------
