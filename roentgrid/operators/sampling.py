@@ -345,6 +345,13 @@ def _by_tier(df: DataFrame, by: list[str], tier: str, key: list[str], seed, name
     return group_rank(df, by, [tier, "__h", *key], bucket, name, n, 4 * n <= MAX_BROADCAST).drop("__h")
 
 
+def _first_and_rest(df: DataFrame, first: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of ``first`` as tier 0 and all others as tier 1; no row but those of ``first`` has moved for it."""
+    chosen = first.select(F.struct(*key).alias("__key"))
+    rest = df.withColumn("__key", F.struct(*key)).join(chosen, "__key", "left_anti").drop("__key")
+    return first.withColumn("__tier", F.lit(0)).unionByName(rest.withColumn("__tier", F.lit(1)))
+
+
 def core_sample(df: DataFrame, n: int, key: list[str], seed=42, with_share: float = 0.70) -> DataFrame:
     """Stratified sample: a share of rows with a report, the rest without.
 
@@ -361,12 +368,13 @@ def core_sample(df: DataFrame, n: int, key: list[str], seed=42, with_share: floa
     sizes = sizes.withColumn(
         "take", F.when(F.col("has_report"), n_with).otherwise(F.least(n - n_with, F.col("rows"))).cast("bigint")
     ).withColumn("quota", F.ceil(F.col("take") / F.col("groups")).cast("bigint"))
-    ranked = hash_rank(rows, strata, key, f"{seed}-stratum", "__in_stratum")
     # One row with and one without reports.
-    ranked = ranked.join(F.broadcast(sizes.select("has_report", "take", "quota")), "has_report")
-    ranked = ranked.withColumn("__tier", F.when(F.col("__in_stratum") <= F.col("quota"), 0).otherwise(1))
-    ranked = _by_tier(ranked, ["has_report"], "__tier", key, seed, "__rank", n)
-    chosen = ranked.where(F.col("__rank") <= F.col("take"))
+    quotas = F.broadcast(sizes.select("has_report", "take", "quota"))
+    limits = rows.select(*strata).distinct().join(quotas, "has_report").select(F.struct(*strata).alias("__rt_group"), F.col("quota").alias("__limit"))
+    ranked = hash_rank(rows, strata, key, f"{seed}-stratum", "__in_stratum", limits)
+    first = ranked.join(quotas, "has_report").where(F.col("__in_stratum") <= F.col("quota")).select(*rows.columns)
+    ranked = _by_tier(_first_and_rest(rows, first, key), ["has_report"], "__tier", key, seed, "__rank", n)
+    chosen = ranked.join(quotas, "has_report").where(F.col("__rank") <= F.col("take"))
     return chosen.select(*df.columns)
 
 
@@ -380,13 +388,13 @@ def location_core_sample(entries: DataFrame, location: str, n: int, key: list[st
     here = entries.where((F.col("location") == location) & usable)
     cell = F.col("abnormality").isin("yes", "no") & F.col("devices").isin("yes", "no")
     cells = ["abnormality", "devices"]
-    ranked = hash_rank(here.where(cell), cells, key, f"{seed}-cell", "__in_cell")
-    first = ranked.withColumn("__tier", F.when(F.col("__in_cell") <= n // 4, 0).otherwise(1)).drop("__in_cell")
-    rest = here.where(F.coalesce(~cell, F.lit(True))).withColumn("__tier", F.lit(1))
+    # At most n rows of four cells.
+    ranked = hash_rank(here.where(cell), cells, key, f"{seed}-cell", "__in_cell", n // 4, 4 * n <= MAX_BROADCAST)
+    first = ranked.where(F.col("__in_cell") <= n // 4).drop("__in_cell")
     other = entries.where(F.col("has_report") & F.col("has_box")).join(here.select(image).distinct(), image, "left_anti")
     row = F.struct(*[c for c in entries.columns if c != image])
     other = other.groupBy(image).agg(F.min_by(row, F.struct(*key)).alias("r")).select(image, "r.*")
-    pool = first.unionByName(rest).unionByName(other.withColumn("__tier", F.lit(2)))
+    pool = _first_and_rest(here, first, key).unionByName(other.withColumn("__tier", F.lit(2)))
     ranked = _by_tier(pool, [], "__tier", key, seed, "__rank", n)
     return ranked.where(F.col("__rank") <= n).withColumnRenamed("__tier", "tier").select(*entries.columns, "tier")
 
