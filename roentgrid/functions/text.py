@@ -242,7 +242,8 @@ def drop_repeats(col, ks=tuple(range(1, 9))) -> Column:
     """Drop consecutive repeats of phrases of k words, for each k in turn, ignoring case.
 
     Every word is marked by whether it equals the word k places before it; a stretch of at
-    least k marks is a repeated phrase. Null stays null.
+    least k marks is a repeated phrase. Hashes first tell, for all k at once, whether there
+    can be any: most texts have none and are left as they are. Null stays null.
     """
     # Marks in a stretch of at least k: one in front of k marks, or one right after another such.
     def stretch(k: Column) -> Column:
@@ -261,9 +262,33 @@ def drop_repeats(col, ks=tuple(range(1, 9))) -> Column:
 
         return once(marks, lambda m: F.when(m.contains("x"), once(F.split(m, ""), kept)).otherwise(acc))
 
-    words = F.array_remove(F.split(squeeze_ws(col), " "), "")
-    start = F.struct(words.alias("words"), F.transform(words, F.lower).alias("low"))
-    return F.when(_c(col).isNotNull(), F.aggregate(F.array(*map(F.lit, ks)), start, step, lambda acc: F.array_join(acc["words"], " ")))
+    def dropped(words: Column) -> Column:
+        start = F.struct(words.alias("words"), F.transform(words, F.lower).alias("low"))
+        return F.aggregate(F.array(*map(F.lit, ks)), start, step, lambda acc: F.array_join(acc["words"], " "))
+
+    def possible(hashes: Column) -> Column:
+        # One bit for each k; a phrase of k words shows in min(k, 3) marks in a row at least.
+        one, two, more = (sum(1 << k for k in ks if size(k)) for size in (lambda k: k == 1, lambda k: k == 2, lambda k: k > 2))
+
+        def equal(x: Column, i: Column) -> Column:
+            return sum((F.when(x == F.get(hashes, i - k), 1 << k).otherwise(0) for k in ks), F.lit(0))
+
+        def in_a_row(marks: Column) -> Column:
+            def before(i: Column, n: int) -> Column:
+                return F.coalesce(F.get(marks, i - n), F.lit(0))
+
+            def found(x: Column, i: Column) -> Column:
+                return x.bitwiseAND(F.lit(one).bitwiseOR(before(i, 1).bitwiseAND(F.lit(two).bitwiseOR(before(i, 2).bitwiseAND(F.lit(more))))))
+
+            return F.exists(F.transform(marks, found), lambda v: v != 0)
+
+        return once(F.transform(hashes, equal), in_a_row)
+
+    def cleaned(words: Column) -> Column:
+        repeats = once(F.transform(words, lambda w: F.xxhash64(F.lower(w))), possible)
+        return F.when(repeats, dropped(words)).otherwise(F.array_join(words, " "))
+
+    return F.when(_c(col).isNotNull(), once(F.array_remove(F.split(squeeze_ws(col), " "), ""), cleaned))
 
 
 def sentences(col) -> Column:
