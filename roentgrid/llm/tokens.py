@@ -28,16 +28,17 @@ class WordCache(dict):
 
 
 class Encoder:
-    """Encodes texts as ``tokenizers`` does with the same vocabulary and no special tokens.
+    """Encodes texts as ``tokenizers`` does with the same vocabulary and ``add_special_tokens=False``.
 
     A token never spans the place in front of a single space, so a text without double
     spaces is encoded word by word. Plain Latin words go through tiktoken's rank file of
-    the same vocabulary, anything else through ``tokenizers`` itself.
+    the same vocabulary, anything else through ``tokenizers`` itself, and so does a whole
+    text in which an added token of the vocabulary stands, which has an id of its own.
     """
 
     def __init__(self, vocabulary: str):
         self.full = Tokenizer.from_file(public_tokenizers.path(vocabulary + ".json"))
-        self.full.encode_special_tokens = True
+        self.added = [t.content for t in self.full.get_added_tokens_decoder().values()]
         with open(public_tokenizers.path(vocabulary + ".tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -51,6 +52,8 @@ class Encoder:
         return np.array(ids, "<u2").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         if "  " in text:
             return self.encode(text)
         first, *rest = text.split(" ")

@@ -15,22 +15,28 @@ TEXTS = helpers.awkward(["<|endoftext|> in a text", "it's  we'll\n  x", " lead",
 
 @pytest.fixture(scope="module")
 def full():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(full, text):
     return [*full.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+ALPHABET = [*"ab'sZ é\n\t1$ 漢  ", "<|endoftext|>", "<|endoftext", "|>"]
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab'sZ é\n\t1$ 漢  "), max_size=40))
+@given(st.lists(st.sampled_from(ALPHABET), max_size=40).map("".join))
 def test_words_encode_like_whole_texts(text):
     whole = tokens.encoder().full.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(tokens.encoder()(text), "<u2").tolist() == whole
 
 
+def test_added_tokens_have_their_own_id(full):
+    assert np.frombuffer(tokens.encoder()("a <|endoftext|> b<|endoftext|>"), "<u2").tolist().count(50256) == 2
+    assert ids_of(full, "<|endoftext|>") == [50256, 1]
+
+
 def test_concat_and_cut_is_exact(spark, full):
     ids = [None, *range(1, len(TEXTS) - 1), 1]  # a null id and a repeated one
     pieces = packing.concat_and_cut(helpers.documents(spark, TEXTS, ids), window=64).collect()
