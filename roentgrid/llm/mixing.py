@@ -15,9 +15,11 @@ outcomes per gate and predicted odds refines the result, also online. A document
 depends on the model and its own text only.
 
 Counts cover all documents outside the held-out fold. They are gathered per task into
-tables of a fixed number of slots and merged slot block by slot block. The weights that a
-document starts with are learned on a fifth of these documents with the counts of the
-others: each task goes on from document to document, and the tasks' weights are averaged.
+tables of a fixed number of slots and merged slot block by slot block, in 64 bits. The
+weights that a document starts with are fitted on a fifth of these documents with the
+counts of the others: the decisions are counted by gate, rounded inputs and outcome, which
+adds up to the same numbers however rows are split, and a logistic regression per gate is
+solved on that table of fixed size.
 """
 
 from __future__ import annotations
@@ -48,6 +50,9 @@ BLOCK, RATE = 256, 0.02
 TUNING = 3
 TABLES, KINDS, STATES, MET, CELLS, REACH = 2, 4, 4, 2, 33, 8.0
 GATES = KINDS * STATES * MET
+# Inputs are counted in steps of 1 / STEPS up to LIMIT either way; how firmly a gate holds to its first weights.
+STEPS, LIMIT, HOLD = 2, 12, 20.0
+LEVELS = 2 * STEPS * LIMIT + 1
 
 _SPACE = np.ones(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -296,7 +301,7 @@ class Counter:
     """Counts of both outcomes per slot of the tables, added up a few million at a time."""
 
     def __init__(self):
-        self.tables, self.held, self.size = np.zeros((TABLES, 2 << TABLE_BITS), np.int32), [[] for _ in range(TABLES)], 0
+        self.tables, self.held, self.size = np.zeros((TABLES, 2 << TABLE_BITS), np.int64), [[] for _ in range(TABLES)], 0
 
     def add(self, slots, bit):
         for held, slot in zip(self.held, slots, strict=True):
@@ -308,44 +313,55 @@ class Counter:
     def flush(self):
         for table, held in zip(self.tables, self.held, strict=True):
             if held:
-                table += np.bincount(np.concatenate(held), minlength=len(table)).astype(np.int32)
+                table += np.bincount(np.concatenate(held), minlength=len(table))
             held.clear()
         self.size = 0
         return self.tables
 
 
-def _blocks_of(tables):
-    """The slot blocks of a task's tables that hold any count, as record batches."""
-    cut = tables.reshape(-1, 2 * SLOTS)
+def _blocks_of(counts, first: int = 0):
+    """The blocks of a task's counts, numbered from ``first``, that hold any, as record batches."""
+    cut = counts.reshape(-1, 2 * SLOTS)
     for part in range(0, len(cut), 64):
         own = cut[part : part + 64]
         full = np.flatnonzero(own.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(full + part), pa.array([own[k].tobytes() for k in full], pa.binary())], ["block", "counts"])
+        blobs = pa.array([own[k].tobytes() for k in full], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(full + part + first), blobs], ["block", "counts"])
 
 
-def _merged(found: DataFrame) -> np.ndarray:
-    """Sum of the tasks' tables, merged block by block: tables of a fixed size."""
+BLOCKS = TABLES << TABLE_BITS >> SLOTS.bit_length() - 1
+# Blocks of the decisions counted by gate, inputs and outcome.
+CASES = GATES * LEVELS * LEVELS * 3 * 2
+MORE = -(-CASES // (2 * SLOTS))
+
+
+def _merged(found: DataFrame, blocks: int = BLOCKS) -> np.ndarray:
+    """Sum of the tasks' counts, merged block by block: as many blocks as the tables have, at every size of the input."""
 
     def merge(batches):
         sums = {}
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(blob.as_buffer(), np.int32)
-        blobs = [s.astype(np.int32).tobytes() for s in sums.values()]
+                sums[block] = sums.get(block, 0) + np.frombuffer(blob.as_buffer(), np.int64)
+        blobs = [s.tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(blobs, pa.binary())], ["block", "counts"])
 
-    out = np.zeros((TABLES << TABLE_BITS >> SLOTS.bit_length() - 1, 2 * SLOTS), np.int32)
+    out = np.zeros((blocks, 2 * SLOTS), np.int64)
     for row in found.repartition("block").mapInArrow(merge, "block long, counts binary").collect():
-        out[row["block"]] = np.frombuffer(row["counts"], np.int32)
-    return out.reshape(TABLES, -1)
+        out[row["block"]] = np.frombuffer(row["counts"], np.int64)
+    return out
+
+
+def _tables(blocks: np.ndarray) -> np.ndarray:
+    return blocks[:BLOCKS].reshape(TABLES, -1)
 
 
 def _odds(counts: np.ndarray) -> np.ndarray:
-    return np.log((counts[:, 1::2] + 0.4) / (counts[:, ::2] + 0.4)).astype(np.float16)
+    return np.log((counts[:, 1::2] + 0.4) / (counts[:, ::2] + 0.4)).astype(np.float32)
 
 
 def predictor_counts(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Counts of both outcomes in each slot of the three tables, from the decisions of all rows."""
+    """Counts of both outcomes in each slot of the tables, from the decisions of all rows."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
@@ -357,7 +373,7 @@ def predictor_counts(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
                 counter.add(d.slots(index, place), d.bit[index])
         yield from _blocks_of(counter.flush())
 
-    return _merged(docs.select(whole_text().alias("text")).mapInArrow(count, "block long, counts binary"))
+    return _tables(_merged(docs.select(whole_text().alias("text")).mapInArrow(count, "block long, counts binary")))
 
 
 class State:
@@ -377,6 +393,29 @@ class State:
     def refined(self) -> np.ndarray:
         return (self.seen[0] / self.seen[1]).astype(np.float32)
 
+    def fit(self, cases: np.ndarray) -> State:
+        """Solve the weights of every gate on the counted decisions (Newton's rounds), and fill the outcomes."""
+        cases = cases.ravel()[:CASES].reshape(GATES, LEVELS, LEVELS, 3, 2)
+        ones_of = [np.zeros(KINDS * CELLS) for _ in range(2)]
+        for gate, own in enumerate(cases):
+            at = np.nonzero(own.any(-1))
+            x = np.stack([at[0] / STEPS - LIMIT, at[1] / STEPS - LIMIT, at[2] - 1.0], 1)
+            ones, n = own[at][:, 1].astype(float), own[at].sum(1).astype(float)
+            first = self.weights[gate].astype(float)
+            w = first.copy()
+            for _ in range(20):
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                slope = x.T @ (n * p - ones) + HOLD * (w - first)
+                curve = (x * (n * p * (1 - p))[:, None]).T @ x + HOLD * np.eye(len(w))
+                w -= np.clip(np.linalg.solve(curve, slope), -0.5, 0.5)
+            self.weights[gate] = w
+            cell = (np.clip(x @ w, -REACH, REACH) + REACH) * (CELLS - 1) / (2 * REACH) + 0.5
+            cell = cell.astype(np.int64) + gate // (STATES * MET) * CELLS
+            for total, part in zip(ones_of, (ones, n), strict=True):
+                total += np.bincount(cell, weights=part, minlength=len(total))
+        self.seen += np.stack(ones_of)
+        return self
+
 
 class Turns:
     """The decisions of n texts in the order they are taken: turn by turn a block of each text that still goes on."""
@@ -399,30 +438,51 @@ class Turns:
         self.index, self.place = index[order], place[order]
 
 
+def inputs(d: Decisions, odds: np.ndarray, index, place, slots):
+    """Per decision: what each predictor says (log odds; the last one +1, -1 or 0), and the gate."""
+    expect, follows = d.expected(index, place)
+    x = [table.take(slot) for table, slot in zip(odds, slots, strict=True)] + [expect]
+    return x, (d.kind[index].astype(np.int64) * STATES + follows) * MET + (x[1] != 0)
+
+
 def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, slots):
     """log10 probabilities, mixed, refined and learned online, all n texts in step.
 
-    Gives each text's without the spelling, each token's spelling, and what was learned:
-    weights and number of decisions per text and gate, and the outcomes per kind and cell.
+    Gives each text's without the spelling, and each token's spelling.
     """
     index, docs = turns.index, turns.docs
-    expect, follows = d.expected(index, turns.place)
-    x = [odds[k][slot] for k, slot in enumerate(slots)] + [expect]
-    y = d.bit[index].astype(np.float32)
-    kind = docs * KINDS + d.kind[index]
-    gate = (kind * STATES + follows) * MET + (x[1] != 0)
-    kind *= CELLS
+    x, gate = inputs(d, odds, index, turns.place, slots)
+    gate += docs * GATES
+    bit = d.bit[index]
+    # Inputs speak for the outcome that came: their sum is the log odds of it, and what is not sure is the error.
+    sign = bit * np.float32(2) - np.float32(1)
+    for v in x:
+        v *= sign
+    # Only few decisions have an expectation.
+    some = np.flatnonzero(x[-1])
+    some_x, some_ends = x.pop()[some], np.searchsorted(some, turns.ends)
+    # Cells of each outcome apart; those of outcome 0 stand mirrored, as their odds do.
+    pair = 2 * CELLS
+    kind = (docs * KINDS + d.kind[index]) * pair + ~bit * CELLS
     weights = [np.tile(w, n) for w in state.weights.T]
-    refined = np.tile(state.refined(), n)
-    number, seen, logs = np.zeros(n * GATES), np.zeros((2, n * KINDS * CELLS)), np.zeros(len(index), np.float32)
+    refined = np.tile(state.refined().reshape(KINDS, CELLS), (n, 1))
+    table = np.stack([refined, 1 - refined[:, ::-1]], 1)
+    logs = np.zeros(len(index), np.float32)
     scale, half = np.float32((CELLS - 1) / (2 * REACH)), np.float32(0.5)
-    for a, b, m in zip(turns.ends[:-1], turns.ends[1:], turns.active, strict=True):
-        own, ys, gs = [v[a:b] for v in x], y[a:b], gate[a:b]
-        z = weights[0][gs]
+    for k, (a, b, m) in enumerate(zip(turns.ends[:-1], turns.ends[1:], turns.active, strict=True)):
+        own, gs = [v[a:b] for v in x], gate[a:b]
+        e, at = some_x[some_ends[k] : some_ends[k + 1]], some[some_ends[k] : some_ends[k + 1]] - a
+        z = weights[0].take(gs)
         z *= own[0]
-        for w, v in zip(weights[1:], own[1:], strict=True):
-            z += w[gs] * v
-        np.clip(z, -REACH, REACH, out=z)
+        for w, v in zip(weights[1:], own[1:], strict=False):
+            term = w.take(gs)
+            term *= v
+            z += term
+        if len(at):
+            some_gates = gs.take(at)
+            z[at] += weights[-1].take(some_gates) * e
+        np.maximum(z, -REACH, out=z)
+        np.minimum(z, REACH, out=z)
         p = np.exp(-z)
         p += 1
         np.reciprocal(p, out=p)
@@ -431,64 +491,57 @@ def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, sl
         z += half
         cell = z.astype(np.int64)
         cell += kind[a:b]
-        np.add(p, refined[cell], out=logs[a:b])
+        np.add(p, table.reshape(-1).take(cell), out=logs[a:b])
         # What this turn says is used from the next one on.
-        error = (ys - p).astype(np.float64)
-        gates, size = m * GATES, m * KINDS * CELLS
-        count = np.bincount(gs, minlength=gates)
-        number[:gates] += count
-        step = RATE / np.sqrt(np.maximum(count, 1))
-        for w, v in zip(weights, own, strict=True):
-            w[:gates] += step * np.bincount(gs, weights=error * v, minlength=gates)
-        count, ones = np.bincount(cell, minlength=size), np.bincount(cell, weights=ys, minlength=size)
-        refined[:size] += (ones - count * refined[:size]) / (count + 60)
-        seen[0, :size] += ones
-        seen[1, :size] += count
-    # So far the sum of both estimates of outcome 1.
+        np.subtract(1, p, out=p)
+        gates = m * GATES
+        step = RATE / np.sqrt(np.maximum(np.bincount(gs, minlength=gates), 1))
+        for w, v in zip(weights, own, strict=False):
+            w[:gates] += step * np.bincount(gs, weights=p * v, minlength=gates)
+        if len(at):
+            weights[-1][:gates] += step * np.bincount(some_gates, weights=p.take(at) * e, minlength=gates)
+        count = np.bincount(cell, minlength=m * KINDS * pair).reshape(m * KINDS, 2, CELLS)
+        ones, zeros, now = count[:, 0].astype(np.float32), count[:, 1, ::-1].astype(np.float32), refined[: m * KINDS]
+        zeros += ones
+        ones -= zeros * now
+        zeros += 60
+        ones /= zeros
+        now += ones
+        table[: m * KINDS, 0] = now
+        np.subtract(1, now[:, ::-1], out=table[: m * KINDS, 1])
+    # So far the sum of both estimates of what came.
     logs *= half
-    logs += y
-    logs -= 1
-    np.log10(np.abs(logs, out=logs), out=logs)
+    np.log10(logs, out=logs)
     spelled = d.kind[index] >= 2
     total = np.bincount(docs, weights=np.where(spelled, 0, logs), minlength=n)[turns.rank]
-    spelling = np.bincount(turns.place[spelled], weights=logs[spelled], minlength=len(d.token))
-    return total, spelling, np.stack(weights, 1).reshape(n, GATES, -1), number.reshape(n, GATES), seen.reshape(2, n, -1).sum(1)
+    return total, np.bincount(turns.place[spelled], weights=logs[spelled], minlength=len(d.token))
 
 
 def tuned(docs: DataFrame, vocabulary: Vocabulary, counts: np.ndarray) -> tuple[State, np.ndarray]:
-    """Weights to start with, learned on rows that ``counts`` leave out; and the rows' own counts."""
+    """Weights to start with, fitted on rows that ``counts`` leave out; and the rows' own counts."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((vocabulary, _odds(counts)))
 
-    def learn(batches):
-        (vocabulary, odds), state, counter = sent.value, State(), Counter()
-        odds, number = odds.astype(np.float32), np.zeros(GATES)
+    def count(batches):
+        (vocabulary, odds), counter, cases = sent.value, Counter(), np.zeros(MORE * 2 * SLOTS, np.int64)
         for batch in batches:
-            for rows, data, offsets in _chunks(batch):
+            for _, data, offsets in _chunks(batch):
                 d = Decisions(data, offsets, vocabulary)
-                turns = Turns(d, len(rows))
-                slots = d.slots(turns.index, turns.place)
-                _, _, weights, seen, outcomes = mixed(d, odds, len(rows), state, turns, slots)
-                met = seen.sum(0) > 0
-                state.weights[met] = ((weights * seen[..., None]).sum(0)[met] / seen.sum(0)[met, None]).astype(np.float32)
-                state.seen += outcomes
-                number += seen.sum(0)
-                counter.add(slots, d.bit[turns.index])
-        # One more block for the weights, times the decisions they are learned on, and the outcomes.
-        blob = np.concatenate([(state.weights * number[:, None]).ravel(), number, (state.seen - State().seen).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([blob.tobytes()], pa.binary())], ["block", "counts"])
+                index, place = d.run()
+                slots, bit = d.slots(index, place), d.bit[index]
+                (one, two, expect), case = inputs(d, odds, index, place, slots)
+                for v in (one, two):
+                    case *= LEVELS
+                    case += np.rint(np.clip(v, -LIMIT, LIMIT) * STEPS).astype(np.int64) + LIMIT * STEPS
+                case *= 3
+                case += expect.astype(np.int64) + 1
+                cases += np.bincount(case * 2 + bit, minlength=len(cases))
+                counter.add(slots, bit)
         yield from _blocks_of(counter.flush())
+        yield from _blocks_of(cases, BLOCKS)
 
-    found = stored(docs.select(whole_text().alias("text")).mapInArrow(learn, "block long, counts binary"), "tuning")
-    inputs = TABLES + 1
-    total = np.zeros(GATES * (inputs + 1) + 2 * KINDS * CELLS)
-    for row in found.where("block = -1").toLocalIterator():  # one small row per task
-        total += np.frombuffer(row["counts"])
-    state = State()
-    number = total[GATES * inputs : GATES * (inputs + 1)]
-    state.weights[number > 0] = (total[: GATES * inputs].reshape(GATES, -1)[number > 0] / number[number > 0, None]).astype(np.float32)
-    state.seen += total[GATES * (inputs + 1) :].reshape(2, -1)
-    return state, _merged(found.where("block >= 0"))
+    found = _merged(docs.select(whole_text().alias("text")).mapInArrow(count, "block long, counts binary"), BLOCKS + MORE)
+    return State().fit(found[BLOCKS:]), _tables(found)
 
 
 def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, frequent: int = FREQUENT) -> DataFrame:
@@ -516,13 +569,12 @@ def score(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, frequen
 
     def run(batches):
         vocabulary, odds, state = sent.value
-        odds = odds.astype(np.float32)
         base = np.log10((np.r_[vocabulary.counts, 0] + 0.5) / below)
         for batch in batches:
             for rows, data, offsets in _chunks(batch):
                 d, n = Decisions(data, offsets, vocabulary), len(rows)
                 turns = Turns(d, n)
-                total, spelling = mixed(d, odds, n, state, turns, d.slots(turns.index, turns.place))[:2]
+                total, spelling = mixed(d, odds, n, state, turns, d.slots(turns.index, turns.place))
                 frequent = d.known < len(vocabulary.hashes)
                 each = np.where(frequent, base[d.known], 0.0)
                 rare, ends = d.token[~frequent].view(np.int64), np.cumsum(np.bincount(d.doc[~frequent], minlength=n))

@@ -51,12 +51,39 @@ def test_scores_do_not_depend_on_partitions(spark, scored):
         offsets = np.r_[0, np.cumsum([len(x) for x in own])]
         d = mixing.Decisions(np.frombuffer(b"".join(own), np.uint8), offsets, vocabulary)
         turns = mixing.Turns(d, len(own))
-        total, spelling = mixing.mixed(d, odds.astype(np.float32), len(own), mixing.State(), turns, d.slots(turns.index, turns.place))[:2]
+        total, spelling = mixing.mixed(d, odds, len(own), mixing.State(), turns, d.slots(turns.index, turns.place))
         return total + np.bincount(d.doc, weights=spelling, minlength=len(own))
 
     assert np.allclose(run(data), np.concatenate([run([x]) for x in data]), rtol=1e-4)
 
 
+def test_whole_scores_do_not_depend_on_splits(spark, scored):
+    texts, got = scored
+    for parts in (1, 7):
+        rows = mixing.score(helpers.documents(spark, texts).repartition(parts), frequent=60).collect()
+        assert all(abs(r["score"] - got[r["doc_id"]]["score"]) <= 1e-6 * abs(r["score"]) for r in rows)
+
+
+def test_counts_beyond_32_bits(spark):
+    blob = np.full(2 * mixing.SLOTS, 1_200_000_000, np.int64).tobytes()
+    found = spark.createDataFrame([(0, bytearray(blob))] * 3, "block long, counts binary").repartition(3)
+    tables = mixing._tables(mixing._merged(found))
+    assert tables[0, 0] == 3_600_000_000 and np.isfinite(mixing._odds(tables)).all()
+
+
+def test_first_weights_fit_the_counted_decisions():
+    """One gate whose outcomes follow twice the first input's log odds; the others keep their weights."""
+    cases = np.zeros((mixing.GATES, mixing.LEVELS, mixing.LEVELS, 3, 2), np.int64)
+    middle = mixing.LIMIT * mixing.STEPS
+    for level in range(-4, 5):
+        p = 1 / (1 + math.exp(-2 * level / mixing.STEPS))
+        cases[0, middle + level, middle, 1] = round(1e6 * (1 - p)), round(1e6 * p)
+    state = mixing.State().fit(cases)
+    assert abs(state.weights[0, 0] - 2) < 0.01
+    assert np.allclose(state.weights[1:], mixing.State().weights[1:])
+    assert state.seen[1].sum() == pytest.approx(mixing.State().seen[1].sum() + cases.sum())
+
+
 def test_probabilities_add_up():
     """Over all tokens that may come next, the probabilities of the tree's leaves make one."""
     starts, nodes, bits = mixing.huffman([5, 1, 1, 3, 2])
