@@ -433,7 +433,9 @@ class Turns:
         order = _ranges(heads[runs], sizes[runs])
         self.ends = np.r_[0, np.cumsum(np.bincount(turn, weights=sizes))].astype(np.int64) if len(turn) else [0]
         self.active = np.bincount(turn)
-        self.docs = np.repeat(self.rank[doc[runs]], sizes[runs])
+        self.run_docs, sizes = self.rank[doc[runs]], sizes[runs]
+        self.run_starts = np.cumsum(sizes) - sizes
+        self.docs = np.repeat(self.run_docs, sizes)
         index, place = d.run()
         self.index, self.place = index[order], place[order]
 
@@ -441,8 +443,11 @@ class Turns:
 def inputs(d: Decisions, odds: np.ndarray, index, place, slots):
     """Per decision: what each predictor says (log odds; the last one +1, -1 or 0), and the gate."""
     expect, follows = d.expected(index, place)
-    x = [table.take(slot) for table, slot in zip(odds, slots, strict=True)] + [expect]
-    return x, (d.kind[index].astype(np.int64) * STATES + follows) * MET + (x[1] != 0)
+    x = [table.take(slot, mode="clip") for table, slot in zip(odds, slots, strict=True)] + [expect]
+    follows *= MET
+    follows += (d.kind.astype(np.int64) * (STATES * MET)).take(index, mode="clip")
+    follows += x[1] != 0
+    return x, follows
 
 
 def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, slots):
@@ -453,9 +458,8 @@ def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, sl
     index, docs = turns.index, turns.docs
     x, gate = inputs(d, odds, index, turns.place, slots)
     gate += docs * GATES
-    bit = d.bit[index]
     # Inputs speak for the outcome that came: their sum is the log odds of it, and what is not sure is the error.
-    sign = bit * np.float32(2) - np.float32(1)
+    sign = (d.bit * np.float32(2) - np.float32(1)).take(index, mode="clip")
     for v in x:
         v *= sign
     # Only few decisions have an expectation.
@@ -463,7 +467,8 @@ def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, sl
     some_x, some_ends = x.pop()[some], np.searchsorted(some, turns.ends)
     # Cells of each outcome apart; those of outcome 0 stand mirrored, as their odds do.
     pair = 2 * CELLS
-    kind = (docs * KINDS + d.kind[index]) * pair + ~bit * CELLS
+    kind = (d.kind * np.int64(pair) + ~d.bit * CELLS).take(index, mode="clip")
+    kind += docs * (KINDS * pair)
     weights = [np.tile(w, n) for w in state.weights.T]
     refined = np.tile(state.refined().reshape(KINDS, CELLS), (n, 1))
     table = np.stack([refined, 1 - refined[:, ::-1]], 1)
@@ -472,10 +477,10 @@ def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, sl
     for k, (a, b, m) in enumerate(zip(turns.ends[:-1], turns.ends[1:], turns.active, strict=True)):
         own, gs = [v[a:b] for v in x], gate[a:b]
         e, at = some_x[some_ends[k] : some_ends[k + 1]], some[some_ends[k] : some_ends[k + 1]] - a
-        z = weights[0].take(gs)
+        z = weights[0].take(gs, mode="clip")
         z *= own[0]
         for w, v in zip(weights[1:], own[1:], strict=False):
-            term = w.take(gs)
+            term = w.take(gs, mode="clip")
             term *= v
             z += term
         if len(at):
@@ -491,7 +496,7 @@ def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, sl
         z += half
         cell = z.astype(np.int64)
         cell += kind[a:b]
-        np.add(p, table.reshape(-1).take(cell), out=logs[a:b])
+        np.add(p, table.reshape(-1).take(cell, mode="clip"), out=logs[a:b])
         # What this turn says is used from the next one on.
         np.subtract(1, p, out=p)
         gates = m * GATES
@@ -511,10 +516,15 @@ def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, sl
         np.subtract(1, now[:, ::-1], out=table[: m * KINDS, 1])
     # So far the sum of both estimates of what came.
     logs *= half
-    np.log10(logs, out=logs)
-    spelled = d.kind[index] >= 2
-    total = np.bincount(docs, weights=np.where(spelled, 0, logs), minlength=n)[turns.rank]
-    return total, np.bincount(turns.place[spelled], weights=logs[spelled], minlength=len(d.token))
+    np.log(logs, out=logs)
+    logs *= np.float32(1 / math.log(10))
+    spelled = np.flatnonzero((d.kind >= 2).take(index, mode="clip"))
+    letters = logs[spelled]
+    spelling = np.bincount(turns.place[spelled], weights=letters, minlength=len(d.token))
+    logs[spelled] = 0
+    # The decisions of a text stand together in each turn.
+    sums = np.add.reduceat(logs, turns.run_starts, dtype=np.float64) if len(logs) else logs
+    return np.bincount(turns.run_docs, weights=sums, minlength=n)[turns.rank], spelling
 
 
 def tuned(docs: DataFrame, vocabulary: Vocabulary, counts: np.ndarray) -> tuple[State, np.ndarray]:
