@@ -102,6 +102,15 @@ def _spelling_weights() -> np.ndarray:
 SPELLING = huffman(_spelling_weights())
 
 
+def _hash32(x: np.ndarray) -> np.ndarray:
+    """uint32 mix of integers."""
+    x = (x.astype(np.uint64) * _MIX >> np.uint64(32)).astype(np.uint32)
+    return x * np.uint32(0x9E3779B1)
+
+
+SPELLING_MARKS = _hash32(SPELLING[1] + (1 << 24))
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray):
     """(token hashes, document, first byte, end) of texts in order; every text ends with END, of no bytes."""
     hashes, begin, end = hashed_words(data, offsets, _SPACE)
@@ -123,6 +132,7 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.paths = huffman([*self.counts.tolist(), max(rest, 1)])
+        self.marks = _hash32(self.paths[1] + 1)
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """Leaf of each token; the escape for all others."""
@@ -139,14 +149,8 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out + np.repeat(starts - (ends - sizes), sizes)
 
 
-def _hash32(x: np.ndarray) -> np.ndarray:
-    """uint32 mix of integers."""
-    x = (x.astype(np.uint64) * _MIX >> np.uint64(32)).astype(np.uint32)
-    return x * np.uint32(0x9E3779B1)
-
-
 def _spelled(data, begin, end):
-    """Decisions that spell words of the given bytes and a space: (number per word, outcome, node, contexts, place in the word).
+    """Decisions that spell words of the given bytes and a space: (number per word, outcome, node's hash, contexts, place in the word).
 
     The contexts are the two and the four bytes before, and all bytes of the word so far.
     """
@@ -167,12 +171,11 @@ def _spelled(data, begin, end):
     sums = np.cumsum(code * np.cumprod(np.full(len(code), odd)))
     before = np.r_[np.zeros(1, np.uint64), sums[:-1]]
     so_far = (before - before[heads][word]) * np.cumprod(np.full(len(code), inverse))[heads][word]
-    starts, nodes, bits = SPELLING
+    starts, _, bits = SPELLING
     steps = (starts[1:] - starts[:-1])[text]
     path, owner = _ranges(starts[text], steps), np.repeat(np.arange(len(text)), steps)
     number = np.bincount(word, weights=steps, minlength=len(size)).astype(np.int64)
-    node = nodes[path].astype(np.uint64) + np.uint64(1 << 24)
-    return number, bits[path], node, [_hash32(c)[owner] for c in (two, four, so_far)], inner[owner]
+    return number, bits[path], SPELLING_MARKS[path], [_hash32(c)[owner] for c in (two, four, so_far)], inner[owner]
 
 
 class Decisions:
@@ -182,29 +185,27 @@ class Decisions:
         self.token, self.doc, begin, end = tokens(data, offsets)
         distinct, first, which = np.unique(self.token, return_index=True, return_inverse=True)
         leaf = vocabulary.place(distinct)
-        starts, nodes, bits = vocabulary.paths
+        starts, _, bits = vocabulary.paths
         steps = (starts[1:] - starts[:-1])[leaf]
         total, rare = steps.copy(), np.flatnonzero(leaf == len(vocabulary.hashes))
         if len(rare):
-            spelled, s_bits, s_node, s_context, s_inner = _spelled(data, begin[first[rare]], end[first[rare]])
+            spelled, s_bits, s_mark, s_context, s_inner = _spelled(data, begin[first[rare]], end[first[rare]])
             total[rare] += spelled
         self.known, self.which = leaf[which], which
         self.begin = np.r_[0, np.cumsum(total)]
         where, source = _ranges(self.begin[:-1], steps), _ranges(starts[:-1][leaf], steps)
         self.bit, self.kind = np.zeros(self.begin[-1], bool), np.zeros(self.begin[-1], np.int8)
-        node = np.zeros(self.begin[-1], np.uint64)
-        self.bit[where], node[where] = bits[source], nodes[source].astype(np.uint64) + np.uint64(1)
+        own = np.zeros(self.begin[-1], np.uint32)
+        self.bit[where], own[where] = bits[source], vocabulary.marks[source]
         self.kind[where] = where - np.repeat(self.begin[:-1], steps) >= 5
-        own = _hash32(node)
         # Decisions alone, with what the token's bytes add, and as a whole; spelling looks at no token before.
         self.alone, self.one, self.whole = own.copy(), own.copy(), own.copy()
         self.heeds = np.full(len(own), 0xFFFFFFFF, np.uint32)
         if len(rare):
             tail = _ranges(self.begin[:-1][rare] + steps[rare], spelled)
             self.bit[tail], self.kind[tail], self.heeds[tail] = s_bits, 2 + (s_inner > 2), 0
-            own = _hash32(s_node)
             for part, context in zip((self.alone, self.one, self.whole), s_context, strict=True):
-                part[tail] = own ^ context
+                part[tail] = s_mark ^ context
         shift = np.uint32(32 - TABLE_BITS)
         self.alone = (self.alone * np.uint32(0x85EBCA6B) >> shift).astype(np.int32)
 
@@ -248,7 +249,7 @@ class Decisions:
         level = 1 + before + (before & np.r_[False, before[:-1]])
         size = self.begin[1:] - self.begin[:-1]
         # Only decisions of tokens with a guess, as long as the guess has been right.
-        some = np.flatnonzero((guess >= 0)[place])
+        some = np.flatnonzero((guess >= 0).take(place, mode="clip"))
         here, at = index[some], place[some]
         g = guess[at]
         step = here - self.begin[self.which[at]]
