@@ -4,7 +4,7 @@ Paragraphs (lines) are bags of word n-grams. A multinomial logistic regression w
 weights is fitted on notices of each family and on paragraphs of the corpus as the unknown
 class; a second regression on held-back rows calibrates how sure it is that a paragraph is
 a notice at all. A prediction counts once the paragraph also holds most n-grams of one of
-the family's templates. Column functions and joins only; only bounded tables are broadcast.
+the family's templates, and most of those that no other family's templates have. Column functions and joins only; only bounded tables are broadcast.
 """
 
 from __future__ import annotations
@@ -200,7 +200,9 @@ def scan(docs: DataFrame, model: Model, sure: float = SURE, confirmed: float = C
     """(__key, line, family, confidence, likeness): paragraphs predicted to be notices and confirmed by a template.
 
     ``confidence`` is the calibrated probability that the paragraph is no unknown one, and
-    ``likeness`` the share of the nearest template of the family that it holds.
+    ``likeness`` the share of the nearest template of the family that it holds. What notices
+    of several families share, such as the words in front of an identifier, confirms none of
+    them: the family's own n-grams in a template have to be held alike.
     """
     found = logits(paragraphs(docs, model.signs).dropDuplicates(["__key", "line"]), ["__key", "line"], model)
     place = F.array_position(F.slice("z", 1, len(TEMPLATES)), F.array_max(F.slice("z", 1, len(TEMPLATES)))).cast("int")
@@ -209,8 +211,18 @@ def scan(docs: DataFrame, model: Model, sure: float = SURE, confirmed: float = C
     found = found.where(F.col("confidence") >= sure)
     # Templates are compared by their weighted n-grams, those with a sign.
     weighted = {f: [[g for g in t if any(w in model.signs for w in g.split(" "))] for t in ts] for f, ts in model.templates.items()}
-    alike = Model(None, [], [], {f: [t for t in ts if t] for f, ts in weighted.items()})
-    likeness = F.coalesce(*[F.when(F.col("family") == f, alike.likeness(F.col("grams"), [f])) for f in TEMPLATES])
+    grams_of = {f: {g for t in ts for g in t} for f, ts in weighted.items()}
+
+    def held(family: str) -> Column:
+        others = set().union(*(grams for f, grams in grams_of.items() if f != family))
+        shares = [F.lit(0.0)]
+        for t in weighted[family]:
+            parts = [part for part in (t, [g for g in t if g not in others]) if part]
+            if len(parts) == 2:
+                shares.append(F.least(*[F.size(F.array_intersect(strings(part), F.col("grams"))) / len(part) for part in parts]))
+        return F.greatest(*shares, F.lit(0.0))
+
+    likeness = F.coalesce(*[F.when(F.col("family") == f, held(f)) for f in TEMPLATES])
     return found.select("__key", "line", "family", "confidence", likeness.alias("likeness")).where(F.col("likeness") >= confirmed)
 
 

@@ -136,6 +136,15 @@ def test_licenses(spark):
     assert license_scan.licenses(empty, license_scan.learn(empty)).count() == 0
 
 
+def test_shared_words_name_no_family(spark):
+    """Identifiers of licences without templates are unknown, whatever words stand in front of them."""
+    texts = [f"SPDX-License-Identifier: {x}" for x in ("AGPL-3.0-only", "ISC", "Zlib", "EPL-2.0", "MIT", "Apache-2.0", "MPL-2.0", "BSD-3-Clause")]
+    texts += ["Released under the ISC License.", "Licensed under the EUPL."]
+    docs = helpers.documents(spark, texts + texts[4:5] + [prose(i) for i in range(120)])
+    got = {r["doc_id"]: r["license"] for r in license_scan.licenses(docs, license_scan.learn(docs)).collect()}
+    assert [got[i] for i in range(11)] == ["unknown"] * 4 + ["mit", "apache-2.0", "mpl-2.0", "bsd"] + ["unknown"] * 2 + ["mit"]
+
+
 def test_every_template_is_found(spark):
     texts = [t for family in license_scan.TEMPLATES.values() for t in family]
     families = [f for f, ts in license_scan.TEMPLATES.items() for _ in ts]
