@@ -221,20 +221,36 @@ def bootstrap_mean(df: DataFrame, value: str, key: list[str], n_boot: int = 1000
     return sums.select((F.col("s") / F.col("n")).alias("m")).agg(*_summary("m"))
 
 
+def _first_digits(share: float) -> str:
+    """The 15 hex digits of the smallest 60-bit hash that is, as a double, at least this share of 2 ** 60."""
+    low, high = 0, 1 << 60
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if float(mid) / float(1 << 60) >= share else (mid + 1, high)
+    return f"{low:015x}" if low < 1 << 60 else "g"
+
+
 def poisson_bootstrap_mean(df: DataFrame, value: str, key: list[str], n_boot: int = 1000, seed=42) -> DataFrame:
     """(mean, std) like ``bootstrap_mean``, but every row's multiplicity in an iteration is
-    an independent Poisson(1) draw: one pass over the rows and no join."""
-    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("v"))
-    rows = rows.withColumn("b", _iterations(n_boot))
-    u = hash_int(hash_order(seed, F.lit("poisson"), "b", *key)) / F.lit(float(1 << 60))
-    # Inverse distribution function of Poisson(1), until its sum in doubles no longer grows.
-    total, p, count, k = 0.0, 2.718281828459045**-1, F.lit(0), 0
+    an independent Poisson(1) draw: one pass over the rows, in as many tasks as a shuffle has, and no join."""
+    # hash_order(seed, "poisson", b, *key) in pieces: what a row or an iteration adds to the hashed text is
+    # worked out once. Few and narrow rows make much work, so they are dealt out however the input was cut.
+    seed = seed if isinstance(seed, Column) else F.lit(str(seed))
+    lead = F.concat_ws("|", seed.cast("string"), F.lit("poisson"), F.lit(""))
+    tail = F.concat_ws("|", F.lit(""), *[F.col(k).cast("string") for k in key])
+    rows = df.where(F.col(value).isNotNull()).select(lead.alias("lead"), tail.alias("tail"), F.col(value).alias("v"))
+    rows = rows.repartition(shuffle_partitions(df))
+    rows = rows.select("lead", "tail", "v", F.posexplode(F.split(F.lit(" ".join(map(str, range(n_boot)))), " ")).alias("b", "name"))
+    rows = rows.select("b", "v", F.md5(F.concat("lead", "name", "tail")).alias("h"))
+    # Inverse distribution function of Poisson(1), until its sum in doubles no longer grows. Hash digits
+    # sort like the numbers that they are, so they are compared with the digits of the sums.
+    total, p, bounds = 0.0, 2.718281828459045**-1, []
     while total + p > total:
         total += p
-        count = count + F.when(u >= total, 1).otherwise(0)
-        k += 1
-        p /= k
-    rows = rows.withColumn("k", count)
+        bounds.append(_first_digits(total))
+        p /= len(bounds)
+    count = reduce(lambda more, i: F.when(F.col("h") < bounds[i], i).otherwise(more), reversed(range(len(bounds))), F.lit(len(bounds)))
+    rows = rows.select("b", "v", count.alias("k"))
     means = rows.groupBy("b").agg(F.try_divide(F.sum(F.col("v") * F.col("k")), F.sum("k")).alias("m"))
     return means.agg(*_summary("m"))
 
