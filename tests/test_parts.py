@@ -1,0 +1,34 @@
+"""Grouped lists are the same whichever way a group goes."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from roentgrid.operators.skew import collect_parts
+
+
+@pytest.mark.parametrize("bin_rows", [0, 40, 1 << 16])
+@pytest.mark.parametrize("part_size", [1, 4, 1000])
+def test_parts_are_the_same_either_way(spark, bin_rows, part_size):
+    """All groups by buckets, only the large one, and none."""
+    given = [("a", i, f"a{i}") for i in range(50)] + [("b", i, f"b{i}") for i in (7, 3, 5)] + [(None, 2, "n"), ("c", None, "x"), ("c", 1, "y"), ("d", None, "z")]
+    rows = spark.createDataFrame(given, "g string, o long, v string").repartition(3)
+    out = collect_parts(rows, ["g"], "o", F.col("v"), part_size, first={"head": "v"}, bucket=F.floor(F.col("o") / 8), bin_rows=bin_rows)
+    want = []
+    for g in ("a", "b", None, "c"):
+        mine = sorted([(o, v) for x, o, v in given if x == g and o is not None])
+        skipped = sum(x == g and o is None for x, o, _ in given)
+        every = len(mine) + skipped
+        parts = {}
+        for i, (_, v) in enumerate(mine):
+            parts.setdefault((i + skipped) // part_size, []).append(v)
+        want += [(g, p, -(-every // part_size), items, None if skipped else mine[0][1]) for p, items in parts.items()]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_small_groups_take_one_exchange(spark):
+    rows = spark.range(100).select((F.col("id") % 30).alias("g"), F.col("id").alias("o"))
+    collect_parts(rows, ["g"], "o", F.col("o")).write.format("noop").mode("overwrite").save()
+    out = collect_parts(rows, ["g"], "o", F.col("o"))
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" not in final and "Window" not in final
