@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from heapq import heapify, heappop, heappush
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ TABLE_BITS = 20
 SLOTS = 1 << 12  # of a block in which tables are merged
 CHUNK_BYTES = 1 << 18
 MERGE = 1 << 22
+PAIRS = 1 << 16  # token pairs whose decisions are listed at a time
 CHUNK_ROWS = 512
 # Decisions of a document between two updates of its weights, and the learning rate.
 BLOCK, RATE = 256, 0.02
@@ -133,6 +135,7 @@ class Vocabulary:
         self.hashes, self.counts = hashes[order], counts[order]
         self.paths = huffman([*self.counts.tolist(), max(rest, 1)])
         self.marks = _hash32(self.paths[1] + 1)
+        self.steps = np.diff(self.paths[0])
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """Leaf of each token; the escape for all others."""
@@ -149,70 +152,83 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out + np.repeat(starts - (ends - sizes), sizes)
 
 
-def _spelled(data, begin, end):
-    """Decisions that spell words of the given bytes and a space: (number per word, outcome, node's hash, contexts, place in the word).
+class Letters(NamedTuple):
+    """Bytes of words, each with a space behind: the bytes, hashes of the two and of the four before, place in the word, sizes of the words."""
 
-    The contexts are the two and the four bytes before, and all bytes of the word so far.
-    """
+    text: np.ndarray
+    two: np.ndarray
+    four: np.ndarray
+    inner: np.ndarray
+    size: np.ndarray
+
+
+def letters(data, begin, end) -> Letters:
     size = end - begin + 1
     last = np.cumsum(size) - 1
-    at = _ranges(begin, size)
-    text = _LOWER[np.append(data, np.uint8(32))[at]]
+    text = _LOWER[np.append(data, np.uint8(32))[_ranges(begin, size)]]
     text[last] = 32
-    heads = last - size + 1
-    word = np.repeat(np.arange(len(size)), size)
-    inner = np.arange(len(text)) - heads[word]
+    inner = np.arange(len(text)) - np.repeat(last - size + 1, size)
     code = text.astype(np.uint32) + np.uint32(1)
     back = [np.where(inner >= k, np.r_[np.zeros(k, np.uint32), code[:-k]][: len(code)], np.uint32(0)) for k in range(1, 5)]
     two = back[0] + back[1] * np.uint32(257)
     four = two + (back[2] + back[3] * np.uint32(257)) * np.uint32(0x85EBCA6B)
-    # Bytes so far by running sums: divided by the power that the word starts at.
-    odd, inverse = np.uint64(0x5BD1E995), np.uint64(pow(0x5BD1E995, -1, 1 << 64))
-    sums = np.cumsum(code * np.cumprod(np.full(len(code), odd)))
-    before = np.r_[np.zeros(1, np.uint64), sums[:-1]]
-    so_far = (before - before[heads][word]) * np.cumprod(np.full(len(code), inverse))[heads][word]
-    starts, _, bits = SPELLING
-    steps = (starts[1:] - starts[:-1])[text]
-    path, owner = _ranges(starts[text], steps), np.repeat(np.arange(len(text)), steps)
-    number = np.bincount(word, weights=steps, minlength=len(size)).astype(np.int64)
-    return number, bits[path], SPELLING_MARKS[path], [_hash32(c)[owner] for c in (two, four, so_far)], inner[owner]
+    return Letters(text, _hash32(two), _hash32(four), inner, size)
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Stable order of integers."""
+    # Sorting them cut short, with their places behind, is cheaper; it is not enough where only the rest tells two apart.
+    low = np.uint64((1 << len(x).bit_length()) - 1)
+    order = (np.sort(x & ~low | np.arange(len(x), dtype=np.uint64)) & low).astype(np.intp)
+    ranked = x[order]
+    return order if (ranked[1:] >= ranked[:-1]).all() else np.argsort(x, kind="stable")
+
+
+def _alone(marks: np.ndarray) -> np.ndarray:
+    """Slots of decisions in the first table."""
+    return (marks * np.uint32(0x85EBCA6B) >> np.uint32(32 - TABLE_BITS)).astype(np.intp)
+
 
+def _within(context: np.ndarray) -> np.ndarray:
+    """Slots of decisions in the second table, of hashes with their contexts; works in place."""
+    context *= np.uint32(0xC2B2AE35)
+    context >>= np.uint32(32 - TABLE_BITS)
+    return context.astype(np.intp)
 
-class Decisions:
-    """All decisions of a run of texts. Those of a distinct token are worked out once and referred to by index."""
+
+class Pieces(NamedTuple):
+    """Runs of decisions that belong to one token: its place, the first one's index, their number, the token's decisions
+    before them, and whether they spell it."""
+
+    token: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    skip: np.ndarray
+    spells: np.ndarray
+
+    def take(self, at) -> Pieces:
+        return Pieces(*[v[at] for v in self])
+
+    def run(self) -> np.ndarray:
+        return _ranges(self.start, self.size)
+
+
+class Run:
+    """Tokens of a run of texts, with their leaves; ``which`` numbers the distinct ones."""
 
     def __init__(self, data, offsets, vocabulary: Vocabulary):
         self.token, self.doc, begin, end = tokens(data, offsets)
-        distinct, first, which = np.unique(self.token, return_index=True, return_inverse=True)
-        leaf = vocabulary.place(distinct)
-        starts, _, bits = vocabulary.paths
-        steps = (starts[1:] - starts[:-1])[leaf]
-        total, rare = steps.copy(), np.flatnonzero(leaf == len(vocabulary.hashes))
-        if len(rare):
-            spelled, s_bits, s_mark, s_context, s_inner = _spelled(data, begin[first[rare]], end[first[rare]])
-            total[rare] += spelled
-        self.known, self.which = leaf[which], which
-        self.begin = np.r_[0, np.cumsum(total)]
-        where, source = _ranges(self.begin[:-1], steps), _ranges(starts[:-1][leaf], steps)
-        self.bit, self.kind = np.zeros(self.begin[-1], bool), np.zeros(self.begin[-1], np.int8)
-        own = np.zeros(self.begin[-1], np.uint32)
-        self.bit[where], own[where] = bits[source], vocabulary.marks[source]
-        self.kind[where] = where - np.repeat(self.begin[:-1], steps) >= 5
-        # Decisions alone, with what the token's bytes add, and as a whole; spelling looks at no token before.
-        self.alone, self.one, self.whole = own.copy(), own.copy(), own.copy()
-        self.heeds = np.full(len(own), 0xFFFFFFFF, np.uint32)
-        if len(rare):
-            tail = _ranges(self.begin[:-1][rare] + steps[rare], spelled)
-            self.bit[tail], self.kind[tail], self.heeds[tail] = s_bits, 2 + (s_inner > 2), 0
-            for part, context in zip((self.alone, self.one, self.whole), s_context, strict=True):
-                part[tail] = s_mark ^ context
-        shift = np.uint32(32 - TABLE_BITS)
-        self.alone = (self.alone * np.uint32(0x85EBCA6B) >> shift).astype(np.int32)
-
-    def run(self):
-        """Per decision of the texts: index into the distinct tokens' decisions, and its token's place."""
-        sizes = (self.begin[1:] - self.begin[:-1])[self.which]
-        return _ranges(self.begin[:-1][self.which], sizes), np.repeat(np.arange(len(self.which)), sizes)
+        self.order = _ordered(self.token)
+        ranked = self.token[self.order]
+        self.new = np.ones(len(ranked), bool)
+        np.not_equal(ranked[1:], ranked[:-1], out=self.new[1:])
+        self.which = np.empty(len(ranked), np.intp)
+        self.which[self.order] = np.cumsum(self.new) - 1
+        first = self.order[self.new]
+        self.leaf = vocabulary.place(ranked[self.new])
+        self.known = self.leaf[self.which]
+        self.rare = self.leaf == len(vocabulary.hashes)
+        self.letters = letters(data, begin[first[self.rare]], end[first[self.rare]])
 
     def before(self) -> np.ndarray:
         """Hash of the token before each token."""
@@ -220,45 +236,97 @@ class Decisions:
             return self.token
         return np.where(np.r_[True, self.doc[1:] != self.doc[:-1]], NOTHING, np.r_[NOTHING, self.token[:-1]])
 
-    def slots(self, index, place):
-        """Slot of every decision in each table: alone (in spelling: with two bytes), and with the token (four bytes) before."""
-        context = _hash32(self.before())[place]
-        context &= self.heeds[index]
-        context ^= self.one[index]
-        context *= np.uint32(0xC2B2AE35)
-        context >>= np.uint32(32 - TABLE_BITS)
-        return self.alone[index], context.astype(np.int32)
 
-    def expected(self, index, place):
-        """Outcome that the document's own history expects (+1, -1, 0 for none), and its state 0..3.
+class Decisions(Run):
+    """All decisions of a run of texts. Those of a distinct token are worked out once and referred to by index.
 
-        The token before has to have stood in the document; the state is higher when the
-        last one or two expectations came true.
+    A token's path down the tree comes first (escaped ones share one), then what spells it.
+    """
+
+    def __init__(self, data, offsets, vocabulary: Vocabulary):
+        super().__init__(data, offsets, vocabulary)
+        leaves = np.append(self.leaf[~self.rare], len(vocabulary.hashes))
+        starts, _, bits = vocabulary.paths
+        steps = vocabulary.steps[leaves]
+        heads, source = np.cumsum(steps) - steps, _ranges(starts[leaves], steps)
+        row = np.where(self.rare, len(leaves) - 1, np.cumsum(~self.rare) - 1)
+        # Per distinct token: first decision and number of its path, and of what spells it.
+        self.head, self.size = heads[row], steps[row]
+        self.tail, self.extra = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        marks = vocabulary.marks[source]
+        self.bit, alone, self.one, kind = bits[source], marks, marks, np.arange(len(source)) >= np.repeat(heads + 5, steps)
+        if self.rare.any():
+            text, two, four, inner, size = self.letters
+            starts, _, bits = SPELLING
+            steps = np.diff(starts)[text]
+            path, ends = _ranges(starts[text], steps), np.r_[0, np.cumsum(steps)]
+            own, marks, words = np.repeat(np.arange(len(text)), steps), SPELLING_MARKS[path], np.r_[0, np.cumsum(size)]
+            self.tail[self.rare], self.extra[self.rare] = len(source) + ends[words[:-1]], np.diff(ends[words])
+            self.bit, kind = np.append(self.bit, bits[path]), np.append(kind, (2 + (inner > 2)).astype(np.int8)[own])
+            alone, self.one = np.append(alone, marks ^ two[own]), np.append(self.one, marks ^ four[own])
+        # Slots of decisions alone, with what the token's bytes add; kinds and outcomes in one number.
+        self.alone, self.code = _alone(alone), kind.astype(np.int8) * np.int8(2) + ~self.bit
+
+    def pieces(self) -> Pieces:
+        """The decisions of the texts in order, token by token."""
+        spells = self.extra[self.which] > 0
+        count = 1 + spells
+        token = np.repeat(np.arange(len(count)), count)
+        second = np.zeros(len(token), bool)
+        second[np.cumsum(count)[spells] - 1] = True
+        which = self.which[token]
+        start, size = np.where(second, self.tail[which], self.head[which]), np.where(second, self.extra[which], self.size[which])
+        found = Pieces(token, start, size, np.where(second, self.size[which], 0), second)
+        return found if size.all() else found.take(size > 0)
+
+    def slots(self, index, place: Pieces):
+        """Slot of every distinct decision alone (in spelling: with two bytes), and of every one with the token (four bytes) before."""
+        context = np.repeat(np.where(place.spells, np.uint32(0), _hash32(self.before())[place.token]), place.size)
+        context ^= self.one.take(index, mode="clip")
+        return self.alone, _within(context)
+
+    def expected(self):
+        """Per token, by the document's own history: how many of its decisions are expected, whether as they came, and a state 0..3.
+
+        The token before has to have stood in the document; what followed it then is expected
+        up to the first decision that comes out otherwise. The state is higher when the last
+        one or two expectations came true.
         """
         n = len(self.token)
-        outcome, state = np.zeros(len(index), np.float32), np.zeros(len(index), np.int64)
-        if not n:
-            return outcome, state
-        key = self.before() ^ (self.doc.astype(np.uint64) + np.uint64(1)) * _ODD
-        order = np.argsort(key, kind="stable")
-        same = np.flatnonzero(key[order][1:] == key[order][:-1])
         guess = np.full(n, -1)
-        guess[order[same + 1]] = self.which[order[same]]
+        # Places of a token in order: what followed the one before is expected after the next.
+        a, b = self.order[:-1], self.order[1:]
+        same = ~self.new[1:] & (self.doc[a] == self.doc[b])
+        a, b = a[same] + 1, b[same] + 1
+        inside = b < n
+        inside[inside] = self.doc[b[inside]] == self.doc[b[inside] - 1]
+        guess[b[inside]] = self.which[a[inside]]
         right = guess == self.which
         before = np.r_[False, right[:-1]]
         level = 1 + before + (before & np.r_[False, before[:-1]])
-        size = self.begin[1:] - self.begin[:-1]
-        # Only decisions of tokens with a guess, as long as the guess has been right.
-        some = np.flatnonzero((guess >= 0).take(place, mode="clip"))
-        here, at = index[some], place[some]
-        g = guess[at]
-        step = here - self.begin[self.which[at]]
-        there = self.begin[g] + np.minimum(step, size[g] - 1)
-        held = (step < size[g]) & (self.whole[there] == self.whole[here])
-        some, there, at = some[held], there[held], at[held]
-        outcome[some] = self.bit[there] * np.float32(2) - np.float32(1)
-        state[some] = level[at]
-        return outcome, state
+        held = np.where(right, (self.size + self.extra)[self.which], 0)
+        wrong = np.flatnonzero((guess >= 0) & ~right)
+        held[wrong] = self._shared(guess[wrong], self.which[wrong]) + 1
+        return held, right, np.where(guess >= 0, level, 0)
+
+    def _shared(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Number of outcomes that pairs of different tokens begin with in common; no token's outcomes begin another's."""
+        found = np.zeros(len(one), np.int64)
+        both = (self.extra[one] > 0) & (self.extra[other] > 0)
+        heads = [np.where(both, self.tail[v], self.head[v]) for v in (one, other)]
+        lasts = [h + np.where(both, self.extra[v], self.size[v]) - 1 for h, v in zip(heads, (one, other), strict=True)]
+        found[both] = self.size[one[both]]
+        rows, done, width = np.arange(len(one)), 0, 4
+        while len(rows):
+            # The next few outcomes of each pair, twice as many at each turn.
+            span = np.arange(done, done + width)
+            bits = [self.bit[np.minimum(h[:, None] + span, last[:, None])] for h, last in zip(heads, lasts, strict=True)]
+            differ = bits[0] != bits[1]
+            some = differ.any(1)
+            found[rows[some]] += done + differ[some].argmax(1)
+            rows, heads, lasts = rows[~some], [h[~some] for h in heads], [v[~some] for v in lasts]
+            done, width = done + width, width * 2
+        return found
 
 
 def _chunks(batch):
@@ -299,24 +367,52 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 class Counter:
-    """Counts of both outcomes per slot of the tables, added up a few million at a time."""
-
-    def __init__(self):
-        self.tables, self.held, self.size = np.zeros((TABLES, 2 << TABLE_BITS), np.int64), [[] for _ in range(TABLES)], 0
-
-    def add(self, slots, bit):
-        for held, slot in zip(self.held, slots, strict=True):
-            held.append(slot * 2 + bit)
-        self.size += len(bit)
-        if self.size > MERGE:
-            self.flush()
-
-    def flush(self):
-        for table, held in zip(self.tables, self.held, strict=True):
-            if held:
-                table += np.bincount(np.concatenate(held), minlength=len(table))
+    """Counts of both outcomes per slot of the tables. Tokens, pairs of them and letters are counted first, then their decisions."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.tables = vocabulary, np.zeros((TABLES, 2 << TABLE_BITS), np.int64)
+        self.leaves, self.held, self.size = np.zeros(len(vocabulary.steps), np.int64), [[] for _ in range(3)], 0
+
+    def add(self, d: Run):
+        self.leaves += np.bincount(d.known, minlength=len(self.leaves))
+        # Leaves after the token before them, and letters after two and four others: a hash and what comes.
+        text, two, four, _, size = d.letters
+        times = np.repeat(np.bincount(d.which, minlength=len(d.rare))[d.rare], size)
+        for held, context, comes in zip(self.held, (_hash32(d.before()), two, four), (d.known, text, text), strict=True):
+            key = context.astype(np.uint64) << np.uint64(32) | comes.astype(np.uint64)
+            held.append(key if comes is d.known else np.repeat(key, times))
+            self.size += len(held[-1])
+        if self.size > MERGE // 2:
+            self.merge()
+
+    def merge(self):
+        """Count the decisions of what is held."""
+        paths, spelling = (self.vocabulary.paths, self.vocabulary.marks), (SPELLING, SPELLING_MARKS)
+        for held, table, slots, (tree, marks) in zip(self.held, (1, 0, 1), (_within, _alone, _within), (paths, spelling, spelling), strict=True):
+            if not held:
+                continue
+            found, times = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
+            starts, _, bits = tree
+            for a in range(0, len(found), PAIRS):
+                own = found[a : a + PAIRS]
+                leaf = (own & np.uint64(0xFFFFFFFF)).astype(np.intp)
+                steps = starts[leaf + 1] - starts[leaf]
+                index = _ranges(starts[leaf], steps)
+                context = np.repeat((own >> np.uint64(32)).astype(np.uint32), steps)
+                context ^= marks[index]
+                np.add.at(self.tables[table], slots(context) * 2 + bits[index], np.repeat(times[a : a + PAIRS], steps))
         self.size = 0
+
+    def flush(self):
+        self.merge()
+        starts, _, bits = self.vocabulary.paths
+        for a in range(0, len(self.leaves), PAIRS):
+            b = min(a + PAIRS, len(self.leaves))
+            path = slice(starts[a], starts[b])
+            times = np.repeat(self.leaves[a:b], self.vocabulary.steps[a:b])
+            np.add.at(self.tables[0], _alone(self.vocabulary.marks[path]) * 2 + bits[path], times)
+        self.leaves[:] = 0
         return self.tables
 
 
@@ -366,12 +462,10 @@ def predictor_counts(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        vocabulary, counter = sent.value, Counter()
+        vocabulary, counter = sent.value, Counter(sent.value)
         for batch in batches:
             for _, data, offsets in _chunks(batch):
-                d = Decisions(data, offsets, vocabulary)
-                index, place = d.run()
-                counter.add(d.slots(index, place), d.bit[index])
+                counter.add(Run(data, offsets, vocabulary))
         yield from _blocks_of(counter.flush())
 
     return _tables(_merged(docs.select(whole_text().alias("text")).mapInArrow(count, "block long, counts binary")))
@@ -422,33 +516,57 @@ class Turns:
     """The decisions of n texts in the order they are taken: turn by turn a block of each text that still goes on."""
 
     def __init__(self, d: Decisions, n: int):
-        long = np.bincount(d.doc, weights=(d.begin[1:] - d.begin[:-1])[d.which], minlength=n).astype(np.int64)
+        own = d.pieces()
+        doc = d.doc[own.token]
+        long = np.bincount(doc, weights=own.size, minlength=n).astype(np.int64)
+        # Pieces are cut where a block ends.
+        begin = np.cumsum(own.size) - own.size - (np.cumsum(long) - long)[doc]
+        block = begin // BLOCK
+        cuts = (begin + own.size - 1) // BLOCK - block + 1
+        several = _ranges(np.zeros(len(cuts), np.int64), cuts)
+        doc, block, begin, own = (np.repeat(doc, cuts), np.repeat(block, cuts) + several, np.repeat(begin, cuts), Pieces(*[np.repeat(v, cuts) for v in own]))
+        low = np.maximum(block * BLOCK - begin, 0)
+        size = np.minimum((block + 1) * BLOCK - begin, own.size) - low
+        own = own._replace(start=own.start + low, size=size, skip=own.skip + low)
         # Texts by falling length: those that still go on at a turn come first.
         self.rank = np.argsort(np.argsort(-long, kind="stable"))
-        turns = -(-long // BLOCK)
-        doc = np.repeat(np.arange(n), turns)
-        turn = np.arange(len(doc)) - np.repeat(np.cumsum(turns) - turns, turns)
-        heads = (np.cumsum(long) - long)[doc] + turn * BLOCK
+        heads = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])][: len(doc)])
+        numbers = np.diff(np.r_[heads, len(doc)])
+        doc, turn = doc[heads], block[heads]
         sizes = np.minimum(BLOCK, long[doc] - turn * BLOCK)
         runs = np.lexsort((self.rank[doc], turn))
-        order = _ranges(heads[runs], sizes[runs])
         self.ends = np.r_[0, np.cumsum(np.bincount(turn, weights=sizes))].astype(np.int64) if len(turn) else [0]
         self.active = np.bincount(turn)
-        self.run_docs, sizes = self.rank[doc[runs]], sizes[runs]
-        self.run_starts = np.cumsum(sizes) - sizes
-        self.docs = np.repeat(self.run_docs, sizes)
-        index, place = d.run()
-        self.index, self.place = index[order], place[order]
+        self.run_docs, self.run_sizes = self.rank[doc[runs]], sizes[runs]
+        self.docs = np.repeat(self.run_docs, numbers[runs])
+        self.place = own.take(_ranges(heads[runs], numbers[runs]))
+        self.index = self.place.run()
+
 
+def inputs(d: Decisions, odds: np.ndarray, index, place: Pieces, slots, own_kinds):
+    """Per decision, what the tables say for the outcome that came (log odds), its kind and outcome, and the gate.
 
-def inputs(d: Decisions, odds: np.ndarray, index, place, slots):
-    """Per decision: what each predictor says (log odds; the last one +1, -1 or 0), and the gate."""
-    expect, follows = d.expected(index, place)
-    x = [table.take(slot, mode="clip") for table, slot in zip(odds, slots, strict=True)] + [expect]
-    follows *= MET
-    follows += (d.kind.astype(np.int64) * (STATES * MET)).take(index, mode="clip")
-    follows += x[1] != 0
-    return x, follows
+    Also where the history expects something (+1, as it came, or -1). ``own_kinds`` numbers
+    the kinds of each decision's text.
+    """
+    alone, context = slots
+    x = [(odds[0].take(alone) * (d.bit * np.float32(2) - np.float32(1))).take(index, mode="clip"), odds[1].take(context, mode="clip")]
+    code = d.code.take(index, mode="clip")
+    # Outcome 0 turns the sign.
+    x[1].view(np.int32)[:] ^= np.left_shift(code, 31, dtype=np.int32)
+    held, right, state = d.expected()
+    last = held[place.token] - place.skip
+    own = np.clip(last, 0, place.size)
+    ends = np.cumsum(own)
+    some, expect = _ranges(np.cumsum(place.size) - place.size, own), np.ones(ends[-1] if len(ends) else 0, np.float32)
+    expect[ends[(last > 0) & (last <= place.size) & ~right[place.token]] - 1] = -1
+    code = own_kinds + code
+    gate = code & -2
+    gate *= STATES * MET // 2
+    states = np.stack([state[place.token] * MET, np.zeros(len(own), np.int64)], 1)
+    gate += np.repeat(states.ravel(), np.stack([own, place.size - own], 1).ravel())
+    gate += x[1] != 0
+    return x, some, expect, code, gate
 
 
 def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, slots):
@@ -456,24 +574,18 @@ def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, sl
 
     Gives each text's without the spelling, and each token's spelling.
     """
-    index, docs = turns.index, turns.docs
-    x, gate = inputs(d, odds, index, turns.place, slots)
-    gate += docs * GATES
     # Inputs speak for the outcome that came: their sum is the log odds of it, and what is not sure is the error.
-    sign = (d.bit * np.float32(2) - np.float32(1)).take(index, mode="clip")
-    for v in x:
-        v *= sign
+    x, some, some_x, kind, gate = inputs(d, odds, turns.index, turns.place, slots, np.repeat(turns.run_docs * (2 * KINDS), turns.run_sizes))
     # Only few decisions have an expectation.
-    some = np.flatnonzero(x[-1])
-    some_x, some_ends = x.pop()[some], np.searchsorted(some, turns.ends)
+    some_ends = np.searchsorted(some, turns.ends)
     # Cells of each outcome apart; those of outcome 0 stand mirrored, as their odds do.
     pair = 2 * CELLS
-    kind = (d.kind * np.int64(pair) + ~d.bit * CELLS).take(index, mode="clip")
-    kind += docs * (KINDS * pair)
-    weights = [np.tile(w, n) for w in state.weights.T]
+    kind *= CELLS
+    # The weights are held negative: what they add up to goes into the exponential as it is.
+    weights = [np.tile(-w, n) for w in state.weights.T]
     refined = np.tile(state.refined().reshape(KINDS, CELLS), (n, 1))
     table = np.stack([refined, 1 - refined[:, ::-1]], 1)
-    logs = np.zeros(len(index), np.float32)
+    logs = np.zeros(len(gate), np.float32)
     scale, half = np.float32((CELLS - 1) / (2 * REACH)), np.float32(0.5)
     for k, (a, b, m) in enumerate(zip(turns.ends[:-1], turns.ends[1:], turns.active, strict=True)):
         own, gs = [v[a:b] for v in x], gate[a:b]
@@ -485,14 +597,13 @@ def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, sl
             term *= v
             z += term
         if len(at):
-            some_gates = gs.take(at)
-            z[at] += weights[-1].take(some_gates) * e
-        np.maximum(z, -REACH, out=z)
-        np.minimum(z, REACH, out=z)
-        p = np.exp(-z)
+            some_gates = gs.take(at, mode="clip")
+            z[at] += weights[-1].take(some_gates, mode="clip") * e
+        z.clip(-REACH, REACH, out=z)
+        p = np.exp(z)
         p += 1
         np.reciprocal(p, out=p)
-        z += REACH
+        np.subtract(REACH, z, out=z)
         z *= scale
         z += half
         cell = z.astype(np.int64)
@@ -503,12 +614,12 @@ def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, sl
         gates = m * GATES
         step = RATE / np.sqrt(np.maximum(np.bincount(gs, minlength=gates), 1))
         for w, v in zip(weights, own, strict=False):
-            w[:gates] += step * np.bincount(gs, weights=p * v, minlength=gates)
+            w[:gates] -= step * np.bincount(gs, weights=p * v, minlength=gates)
         if len(at):
-            weights[-1][:gates] += step * np.bincount(some_gates, weights=p.take(at) * e, minlength=gates)
-        count = np.bincount(cell, minlength=m * KINDS * pair).reshape(m * KINDS, 2, CELLS)
-        ones, zeros, now = count[:, 0].astype(np.float32), count[:, 1, ::-1].astype(np.float32), refined[: m * KINDS]
-        zeros += ones
+            weights[-1][:gates] -= step * np.bincount(some_gates, weights=p.take(at, mode="clip") * e, minlength=gates)
+        count = np.bincount(cell, minlength=m * KINDS * pair).astype(np.float32).reshape(m * KINDS, 2, CELLS)
+        ones, now = count[:, 0], refined[: m * KINDS]
+        zeros = count[:, 1, ::-1] + ones
         ones -= zeros * now
         zeros += 60
         ones /= zeros
@@ -519,13 +630,11 @@ def mixed(d: Decisions, odds: np.ndarray, n: int, state: State, turns: Turns, sl
     logs *= half
     np.log(logs, out=logs)
     logs *= np.float32(1 / math.log(10))
-    spelled = np.flatnonzero((d.kind >= 2).take(index, mode="clip"))
-    letters = logs[spelled]
-    spelling = np.bincount(turns.place[spelled], weights=letters, minlength=len(d.token))
-    logs[spelled] = 0
-    # The decisions of a text stand together in each turn.
-    sums = np.add.reduceat(logs, turns.run_starts, dtype=np.float64) if len(logs) else logs
-    return np.bincount(turns.run_docs, weights=sums, minlength=n)[turns.rank], spelling
+    place = turns.place
+    sums = np.add.reduceat(logs, np.cumsum(place.size) - place.size, dtype=np.float64) if len(logs) else logs
+    spelling = np.bincount(place.token[place.spells], weights=sums[place.spells], minlength=len(d.token))
+    total = np.bincount(turns.docs, weights=np.where(place.spells, 0, sums), minlength=n)
+    return total[turns.rank], spelling
 
 
 def tuned(docs: DataFrame, vocabulary: Vocabulary, counts: np.ndarray) -> tuple[State, np.ndarray]:
@@ -534,20 +643,25 @@ def tuned(docs: DataFrame, vocabulary: Vocabulary, counts: np.ndarray) -> tuple[
     sent = spark.sparkContext.broadcast((vocabulary, _odds(counts)))
 
     def count(batches):
-        (vocabulary, odds), counter, cases = sent.value, Counter(), np.zeros(MORE * 2 * SLOTS, np.int64)
+        vocabulary, odds = sent.value
+        counter, cases = Counter(vocabulary), np.zeros(MORE * 2 * SLOTS, np.int64)
         for batch in batches:
             for _, data, offsets in _chunks(batch):
                 d = Decisions(data, offsets, vocabulary)
-                index, place = d.run()
-                slots, bit = d.slots(index, place), d.bit[index]
-                (one, two, expect), case = inputs(d, odds, index, place, slots)
-                for v in (one, two):
+                counter.add(d)
+                place = d.pieces()
+                index = place.run()
+                x, some, expect, code, case = inputs(d, odds, index, place, d.slots(index, place), np.int64(0))
+                for v in x:
                     case *= LEVELS
-                    case += np.rint(np.clip(v, -LIMIT, LIMIT) * STEPS).astype(np.int64) + LIMIT * STEPS
+                    case += np.rint(v.clip(-LIMIT, LIMIT) * STEPS).astype(np.int64) + LIMIT * STEPS
                 case *= 3
-                case += expect.astype(np.int64) + 1
-                cases += np.bincount(case * 2 + bit, minlength=len(cases))
-                counter.add(slots, bit)
+                case += 1
+                case[some] += expect.astype(np.int64)
+                cases += np.bincount(case * 2 + 1 - (code & 1), minlength=len(cases))
+        # Inputs spoke for what came: those of outcome 0 are turned round.
+        tally = cases[:CASES].reshape(GATES, LEVELS, LEVELS, 3, 2)
+        tally[..., 0] = tally[:, ::-1, ::-1, ::-1, 0].copy()
         yield from _blocks_of(counter.flush())
         yield from _blocks_of(cases, BLOCKS)
 
