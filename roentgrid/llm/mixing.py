@@ -417,12 +417,13 @@ class Counter:
 
 
 def _blocks_of(counts, first: int = 0):
-    """The blocks of a task's counts, numbered from ``first``, that hold any, as record batches."""
+    """The blocks of a task's counts, numbered from ``first``, that hold any, as record batches; each as narrow as its counts allow."""
     cut = counts.reshape(-1, 2 * SLOTS)
     for part in range(0, len(cut), 64):
         own = cut[part : part + 64]
-        full = np.flatnonzero(own.any(1))
-        blobs = pa.array([own[k].tobytes() for k in full], pa.binary())
+        most = own.max(1)
+        full = np.flatnonzero(most)
+        blobs = pa.array([own[k].astype(np.uint16 if most[k] < 1 << 16 else np.uint32 if most[k] < 1 << 32 else np.int64).tobytes() for k in full], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(full + part + first), blobs], ["block", "counts"])
 
 
@@ -439,7 +440,12 @@ def _merged(found: DataFrame, blocks: int = BLOCKS) -> np.ndarray:
         sums = {}
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(blob.as_buffer(), np.int64)
+                blob = blob.as_buffer()
+                own = np.frombuffer(blob, {1: np.uint16, 2: np.uint32, 4: np.int64}[blob.size // (4 * SLOTS)])
+                if block in sums:
+                    sums[block] += own
+                else:
+                    sums[block] = own.astype(np.int64)
         blobs = [s.tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(blobs, pa.binary())], ["block", "counts"])
 
@@ -653,12 +659,18 @@ def tuned(docs: DataFrame, vocabulary: Vocabulary, counts: np.ndarray) -> tuple[
                 index = place.run()
                 x, some, expect, code, case = inputs(d, odds, index, place, d.slots(index, place), np.int64(0))
                 for v in x:
+                    v.clip(-LIMIT, LIMIT, out=v)
+                    v *= STEPS
+                    np.rint(v, out=v)
                     case *= LEVELS
-                    case += np.rint(v.clip(-LIMIT, LIMIT) * STEPS).astype(np.int64) + LIMIT * STEPS
-                case *= 3
-                case += 1
-                case[some] += expect.astype(np.int64)
-                cases += np.bincount(case * 2 + 1 - (code & 1), minlength=len(cases))
+                    case += v.astype(np.int64)
+                # The middle of all levels and expectations, and outcome 1 less the mark of 0.
+                case *= 6
+                case += ((LEVELS + 1) * LIMIT * STEPS * 3 + 1) * 2 + 1
+                case[some] += 2 * expect.astype(np.int64)
+                code &= 1
+                case -= code
+                cases += np.bincount(case, minlength=len(cases))
         # Inputs spoke for what came: those of outcome 0 are turned round.
         tally = cases[:CASES].reshape(GATES, LEVELS, LEVELS, 3, 2)
         tally[..., 0] = tally[:, ::-1, ::-1, ::-1, 0].copy()

@@ -88,3 +88,14 @@ def test_order_is_stable_where_only_low_bits_differ():
     for x in (rng.integers(0, 50, 1000).astype(np.uint64), rng.integers(0, 1 << 63, 1000).astype(np.uint64) // np.uint64(7) * np.uint64(7), np.zeros(0, np.uint64)):
         x = np.r_[x, x[::2]]
         assert (mixing._ordered(x) == np.argsort(x, kind="stable")).all()
+
+
+def test_blocks_are_sent_as_narrow_as_they_may_be(spark):
+    counts = np.zeros((2, 2 << mixing.TABLE_BITS), np.int64)
+    most = [0xFFFF, 1 << 16, (1 << 32) - 1, 1 << 32, 1 << 40]
+    for block, value in enumerate(most):
+        counts[0, block * 2 * mixing.SLOTS + 5] = value
+    rows = [(k, bytearray(v)) for batch in mixing._blocks_of(counts) for k, v in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+    assert [len(v) // (2 * mixing.SLOTS) for _, v in rows] == [2, 4, 4, 8, 8]
+    found = spark.createDataFrame(rows * 3, "block long, counts binary").repartition(3)
+    assert (mixing._tables(mixing._merged(found)) == 3 * counts).all()
