@@ -173,6 +173,44 @@ def test_watermarked_scores(spark, tmp_path):
     assert spark.read.parquet(out + "/data").count() == 2
 
 
+def test_scores_of_a_log_in_batches_leave_little_behind(spark, tmp_path, monkeypatch):
+    from roentgrid.plans import catalog, io_queries
+    from roentgrid.plans.views import Data
+
+    rows = [(k, k % 50, k % 30, k % 7 + 1, k % 40 + 1.0, 0.05, "ANR"[k % 3], "OF"[k % 2]) for k in range(4000)]
+    columns = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, columns).repartition(4).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(sinks, "work_folder", lambda _, name: str(tmp_path / name))
+    monkeypatch.setattr(io_queries, "BATCH", 40_000, raising=False)
+    got = catalog.QUERIES["k1_stream_scores"](spark, str(tmp_path))
+    scored = streams.grounding_scores(Data(spark, str(tmp_path)).view("v_grounded_text")).groupBy("category")
+    once = scored.agg(F.count("*").alias("n"), F.round(F.avg("bbox_iou"), 6), F.sum(F.length("clean_pred")).alias("n_chars"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, once.collect()))
+    left = [str(f.relative_to(tmp_path / "scores")) for f in (tmp_path / "scores").rglob("*") if f.is_file()]
+    assert not [f for f in left if f.startswith("log") and f.endswith((".json", ".json.gz"))]
+    # Two versions of the state and their offsets, in place of all; keys in files, not in a map.
+    assert not [f for f in left if f.endswith(".delta")] and [f for f in left if f.endswith(".sst")]
+    commits = sorted(int(f.split("/")[-1]) for f in left if "/commits/" in f and f.split("/")[-1].isdigit())
+    assert commits[-1] >= 2 and len(commits) <= 3
+
+
+def test_stream_goes_on_with_the_state_store_it_began_with(spark, tmp_path):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    hdfs = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    spark.conf.set(provider, hdfs)
+    try:
+        for ids in ([(1,), (2,)], [(2,), (3,)]):
+            sinks.write_jsonl(spark.createDataFrame(ids, "id int"), log)
+            streams.append_to(streams.first_seen(streams.stream_log(spark, log, "id int"), ["id"]), out).awaitTermination()
+            assert spark.conf.get(provider, None) == (hdfs if ids[0] == (1,) else None)
+            spark.conf.unset(provider)
+    finally:
+        spark.conf.unset(provider)
+    assert sorted(r["id"] for r in spark.read.parquet(out + "/data").collect()) == [1, 2, 3]
+    assert list((tmp_path / "out").rglob("*.delta"))
+
+
 def test_work_folder_needs_a_shared_folder():
     import pytest
 
